@@ -5,15 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, secrets, urls
+from . import fm, mixing, quality, secrets, toxicity, urls
 from .common import table
 
 
+def op2_ngram_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     return mixing.pfair_mix(docs)
 
 
+def op7_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def list_entries(pages: DataFrame) -> DataFrame:
     """Dated entries for each domain that captures name, by the digest of the domain: stands in for published lists."""
     host = pages.select(urls.host_of(F.col("url")).alias("host")).where("host IS NOT NULL").distinct()
@@ -101,5 +113,5 @@ FROM docs d LEFT JOIN per USING (doc_id)
 """
 
 
-QUERIES = {f.__name__: f for f in (op6_pfair_mix, op8_temporal_url_filter, op10_secret_ledger)}
+QUERIES = {f.__name__: f for f in (op2_ngram_quality_rules, op5_classifier_chain, op6_pfair_mix, op7_factorisation_machine, op8_temporal_url_filter, op10_secret_ledger)}
 ORACLE_SQL = {"op8_temporal_url_filter": OP8_SQL, "op10_secret_ledger": OP10_SQL}
