@@ -5,14 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fm, mixing, quality, secrets, toxicity, urls
+from . import fm, media, mixing, packing, quality, secrets, tokens, toxicity, urls
 from .common import table
 
 
+def tokenizer(name: str) -> str:
+    """The place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_report(table(spark, sf_dir, "documents"))
+
+
 def op2_ngram_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("byte_bpe_50k.tiktoken"))
+
+
+def op4_digest_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))[0]
+
+
 def op5_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -113,5 +132,5 @@ FROM docs d LEFT JOIN per USING (doc_id)
 """
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_quality_rules, op5_classifier_chain, op6_pfair_mix, op7_factorisation_machine, op8_temporal_url_filter, op10_secret_ledger)}
+QUERIES = {f.__name__: f for f in (op1_interleaved_media, op2_ngram_quality_rules, op3_hierarchical_packing, op4_digest_token_counts, op5_classifier_chain, op6_pfair_mix, op7_factorisation_machine, op8_temporal_url_filter, op10_secret_ledger)}
 ORACLE_SQL = {"op8_temporal_url_filter": OP8_SQL, "op10_secret_ledger": OP10_SQL}

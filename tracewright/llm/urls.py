@@ -57,9 +57,10 @@ def temporal_list_join(captures: DataFrame, entries: DataFrame) -> DataFrame:
     seen = captures.select("page_id", "url", "fetched_on").withColumn("host", host_of(F.col("url")))
     keys = ["page_id", "url", "fetched_on", "host"]
     probes = with_domains(seen.where("host IS NOT NULL AND fetched_on IS NOT NULL").select(*keys).distinct()).withColumn("bucket", bucket_of(F.col("fetched_on")))
-    last = captures.agg(F.max("fetched_on").alias("last_day"))
-    spans = validity_intervals(entries).crossJoin(F.broadcast(last)).where("from_date <= last_day")
-    spans = spans.withColumn("bucket", F.explode(F.sequence(bucket_of(F.col("from_date")), bucket_of(F.least(F.date_sub("to_date", 1), "last_day"))))).drop("last_day")
+    # Two scalars: open intervals are cut into buckets only as far as there are captures.
+    first, last = (F.lit(d).cast("date") for d in captures.agg(F.min("fetched_on"), F.max("fetched_on")).first())
+    spans = validity_intervals(entries).where((F.col("from_date") <= last) & (F.col("to_date") > first))
+    spans = spans.withColumn("bucket", F.explode(F.sequence(bucket_of(F.greatest("from_date", first)), bucket_of(F.least(F.date_sub("to_date", 1), last)))))
     hits = probes.join(spans, ["domain", "bucket"]).where("from_date <= fetched_on AND fetched_on < to_date")
     rank = F.struct(F.length("domain"), F.when(F.col("list") == ALLOW, 1).otherwise(0), F.col("list"))
     best = hits.groupBy(*keys).agg(
