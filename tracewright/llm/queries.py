@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fm, media, mixing, packing, quality, secrets, tokens, toxicity, urls
+from . import fm, media, minhash, mixing, packing, quality, secrets, tokens, toxicity, urls
 from .common import table
 
 
@@ -104,6 +104,10 @@ FROM caps c LEFT JOIN best b ON c.page_id = b.page_id AND c.url IS NOT DISTINCT
 """
 
 
+def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets_report(table(spark, sf_dir, "documents"))
 
@@ -132,5 +136,5 @@ FROM docs d LEFT JOIN per USING (doc_id)
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_interleaved_media, op2_ngram_quality_rules, op3_hierarchical_packing, op4_digest_token_counts, op5_classifier_chain, op6_pfair_mix, op7_factorisation_machine, op8_temporal_url_filter, op10_secret_ledger)}
+QUERIES = {f.__name__: f for f in (op1_interleaved_media, op2_ngram_quality_rules, op3_hierarchical_packing, op4_digest_token_counts, op5_classifier_chain, op6_pfair_mix, op7_factorisation_machine, op8_temporal_url_filter, op9_circulant_minhash, op10_secret_ledger)}
 ORACLE_SQL = {"op8_temporal_url_filter": OP8_SQL, "op10_secret_ledger": OP10_SQL}
