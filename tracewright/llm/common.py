@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 2 << 20
 #: A key that holds a third of all rows is spread over so many join partitions.
 SALTS = 32
+#: A key is hot with one in HOT_SHARE of all rows, and HOT_ROWS at least.
+HOT_SHARE, HOT_ROWS = 1000, 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,11 +54,19 @@ def drop_stored(df: DataFrame) -> None:
 def salted_left_join(left: DataFrame, right: DataFrame, key: str, spread_by: str, salts: int = SALTS) -> DataFrame:
     """left ⟕ right on key, where right has one row a key and left may have a third of its rows under one key.
 
-    The left rows of a key go to `salts` partitions by a hash of spread_by; each right row is sent to all of them.
+    A key with 1/HOT_SHARE of the left rows or more is hot, so there are HOT_SHARE hot keys at most and their list may be
+    broadcast. Left rows of a hot key go to `salts` partitions by a hash of spread_by, and its right row to all of them;
+    other keys are joined as they are. left is written first (short rows), as it is read for the counts and for the join.
     """
-    salt = F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")
-    many = right.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    return left.withColumn("_salt", salt).join(many, [key, "_salt"], "left").drop("_salt")
+    left = stored(left, "keys")
+    many = max(HOT_ROWS, left.count() // HOT_SHARE)
+    hot = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where((F.col("_n") >= many) & F.col(key).isNotNull()).select(key, F.lit(True).alias("_hot"))
+    hot = F.broadcast(stored(hot, "hot"))
+    salt = F.when(F.col("_hot") | F.col(key).isNull(), F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")).otherwise(0)
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    spread = left.join(hot, key, "left").withColumn("_salt", salt).drop("_hot")
+    sent = right.join(hot, key, "left").withColumn("_salt", F.explode(every)).drop("_hot")
+    return spread.join(sent, [key, "_salt"], "left").drop("_salt")
 
 
 def slices(texts: list[bytes], most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:

@@ -193,7 +193,7 @@ def media_features(store: DataFrame) -> DataFrame:
 def resolved(sequences: DataFrame, features: DataFrame, key: str) -> DataFrame:
     """One row for each item of each sequence, in columns key, position, kind, text, digest, caption and the media's."""
     items = sequences.select(key, F.explode("sequence").alias("x")).select(key, "x.*")
-    return salted_left_join(items, features, "digest", key, salts=8)
+    return salted_left_join(items, features, "digest", key)
 
 
 def media_report(docs: DataFrame) -> DataFrame:

@@ -88,6 +88,6 @@ def count_tokens(docs: DataFrame, path: str, cache: DataFrame | None = None, lim
         fresh = fresh.join(known.select("content"), "content", "left_anti")
     new = stored(encode_misses(fresh, path), "token-counts")
     every = new if known is None else new.unionByName(known)
-    out = salted_left_join(rows.select("doc_id", "n_bytes", "content"), every, "content", "doc_id", salts=8)
+    out = salted_left_join(rows.select("doc_id", "n_bytes", "content"), every, "content", "doc_id")
     counts = out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
     return counts, new.select("content", F.lit(version).alias("tokenizer"), "n_tokens")
