@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.text import quote_key
+from ..sources.storage import stored
 from .scan import explanation
 
 MAX_EVIDENCE = 5
@@ -23,7 +24,8 @@ def deduplicated(raw: DataFrame) -> DataFrame:
     applied before the shuffle too.
     """
     seq = F.struct("v", "c", "ord", "r")
-    keyed = raw.withColumn("quote_key", quote_key(F.col("quote"))).withColumn("seq", seq)
+    # Findings are few next to the spans they come from, and both aggregates below read them: scan once.
+    keyed = stored(raw, "findings").withColumn("quote_key", quote_key(F.col("quote"))).withColumn("seq", seq)
     group = ["trace_id", "metric_name", "failure_type", "agent", "quote_key"]
     counts = keyed.groupBy(*group).agg(F.count(F.lit(1)).alias("occurrences"), F.min("seq").alias("seq"), F.first("severity").alias("severity"), F.min("v").alias("v"))
     first = Window.partitionBy(*group).orderBy("seq")
@@ -41,8 +43,6 @@ def ancestors(spans: DataFrame) -> DataFrame:
 
     A span without a parent, or whose parent is not in the trace, ends the chain; a cycle's spans are listed once each.
     """
-    from ..sources.storage import stored
-
     up = spans.select("trace_id", "idx", F.array_compact(F.array("parent")).alias("ancestors")).dropDuplicates(["trace_id", "idx"])
     for _ in range(DOUBLINGS):
         known = up.select("trace_id", F.col("idx").alias("_last"), F.col("ancestors").alias("_more"))
@@ -70,6 +70,7 @@ def collapsed(findings: DataFrame, paths: DataFrame) -> DataFrame:
     Each TOOL finding is sent to its span's ancestors, so the join is an equi-join on the span.
     """
     scope = F.col("v") < 2
+    findings = stored(findings, "grouped")
     tool = findings.where(scope & (F.col("primary_kind") == "TOOL")).select("trace_id", "metric_name", "failure_type", F.col("primary_idx").alias("idx"), F.col("quote_key").alias("tool_quote"))
     above = tool.join(paths, ["trace_id", "idx"]).select("trace_id", "metric_name", "failure_type", "tool_quote", F.explode("ancestors").alias("above")).distinct()
     f, a = findings.alias("f"), above.alias("a")

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import idx_order, present, stripped
+from ..sources.storage import stored
 
 MODES = ("none", "strict", "soft")
 #: Metrics that are no longer read, weights, and the failure type that each judge metric stands for.
@@ -115,6 +116,7 @@ def ranked_idxs(rows: DataFrame) -> DataFrame:
 
 def reports(rows: DataFrame) -> DataFrame:
     """One diagnostic status a key: verdict, severity counts, ranked lists, primary type and culprit, first idx both ways."""
+    rows = stored(rows, "issues")
     bad = lambda s: F.count_if(F.col("usable") & (F.col("severity") == s)).alias(f"{s}_issues")
     counts = rows.groupBy(*KEY).agg(
         F.count_if("usable").alias("issues"), F.count_if(~F.col("usable")).alias("review_targets"), bad("critical"), bad("major"), bad("minor"),

@@ -46,6 +46,9 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     if kind in ("csv", "tsv", "txt"):
         head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 4096)).first()[0]
         text, encoding = next((head.decode(e, "strict"), e) for e in (*ENCODINGS, "iso-8859-1") if decodes(head, e))
+        if encoding.startswith("windows"):
+            # Spark 4 reads such charsets only when the session allows Java's own.
+            spark.conf.set("spark.sql.legacy.javaCharsets", "true")
         return numbered(spark.read.option("header", True).option("multiLine", True).option("encoding", encoding).option("sep", sniffed(text.lstrip("\ufeff"))).csv(path))
     raise ValueError(f"no reader for .{kind}")
 
