@@ -1,0 +1,127 @@
+"""Secrets, URL lists and mixing against brute force."""
+
+import datetime as dt
+import hashlib
+import re
+from collections import Counter
+from fractions import Fraction
+
+from pyspark.sql import functions as F
+
+from tracewright.llm import mixing, secrets, urls
+
+ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
+
+
+def base_spans(text):
+    out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 16]
+    return sorted(out)
+
+
+def check_secrets(docs):
+    want = Counter()
+    for r in docs.collect():
+        spans = base_spans(r["text"] or "")
+        told = ",".join(f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, k, e in spans)
+        n = Counter(k for _, k, _ in spans)
+        want[r["doc_id"], n[0], n[1], n[2], hashlib.sha256(told.encode()).hexdigest()] += 1
+    got = secrets.secrets_report(docs).collect()
+    assert Counter(tuple(r)[:5] for r in got) == want
+    return got
+
+
+def test_secrets(odd_docs, small_docs, no_docs):
+    assert sum(r["n_assign"] for r in check_secrets(odd_docs)) == 2
+    check_secrets(small_docs)
+    check_secrets(no_docs)
+
+
+def test_the_ledger_scans_only_what_is_new(odd_docs):
+    some = odd_docs.where("doc_id % 2 = 0")
+    _, ledger = secrets.find_secrets(some)
+    again, fresh = secrets.find_secrets(odd_docs, ledger)
+    whole, every = secrets.find_secrets(odd_docs)
+    known = {r["blob"] for r in ledger.collect()}
+    new = [r["blob"] for r in fresh.collect()]
+    assert len(new) == len(set(new)) and not known & set(new) and known | set(new) == {r["blob"] for r in every.collect()}
+    row = lambda r: (r["path"], r["blob"], str(r["spans"]))
+    assert Counter(map(row, again.collect())) == Counter(map(row, whole.collect()))
+    _, other = secrets.find_secrets(some, ledger, rule_version="next")
+    assert other.count() == len(known)
+
+
+def test_redaction(odd_docs):
+    got = {r["doc_id"]: r for r in secrets.redacted(odd_docs).collect()}
+    before = {r["doc_id"]: r for r in odd_docs.collect()}
+    assert len(got) == len(before)
+    for doc, r in got.items():
+        text = before[doc]["text"]
+        if not base_spans(text or ""):
+            assert r == before[doc]
+        else:
+            assert not base_spans(r["text"]) and "[SECRET]" in r["text"] and r["n_chars"] == len(r["text"])
+
+
+def test_intervals_and_the_as_of_join(spark):
+    day = lambda m, d: dt.date(2024, m, d)
+    entries = spark.createDataFrame(
+        [("bad", "example.com", day(1, 10), "add"), ("bad", "example.com", day(3, 1), "remove"), ("bad", "example.com", day(3, 1), "add"), ("allow", "good.example.com", day(1, 1), "add"), ("bad", "late.org", day(6, 1), "add"), ("bad", "late.org", day(7, 1), "add")],
+        "list string, domain string, on_date date, action string")
+    caps = spark.createDataFrame(
+        [(1, "http://www.example.com/x", day(1, 9)), (2, "http://www.EXAMPLE.com:80/x", day(1, 10)), (3, "http://example.com./", day(2, 29)), (4, "http://example.com/", day(3, 1)), (5, "http://a.good.example.com/", day(2, 1)),
+         (6, "https://u:p@late.org/", day(8, 1)), (7, None, day(8, 1)), (8, "no url", day(8, 1)), (9, "http://late.org/", None), (10, "http://notexample.com/", day(2, 1)), (3, "http://example.com./", day(2, 29))],
+        "page_id long, url string, fetched_on date")
+    got = Counter((r["page_id"], r["n_active"], r["matched_domain"], r["blocked"]) for r in urls.temporal_list_join(caps, entries).collect())
+    assert got == Counter({
+        (1, 0, None, False): 1, (2, 1, "example.com", True): 1, (3, 1, "example.com", True): 2, (4, 0, None, False): 1, (5, 2, "good.example.com", False): 1, (6, 1, "late.org", True): 1,
+        (7, 0, None, False): 1, (8, 0, None, False): 1, (9, 0, None, False): 1, (10, 0, None, False): 1,
+    })
+    assert urls.temporal_list_join(caps.limit(0), entries).count() == 0
+    assert urls.temporal_list_join(caps, entries.limit(0)).where("blocked").count() == 0
+
+
+def test_a_cycle_keeps_every_source_within_one_block():
+    for weights in ({"a": 1, "b": 1}, {"a": 7, "b": 2, "c": 1}, {"a": 36.5, **{f"s{i}": 3.34 for i in range(19)}}, {"x": 1000, "y": 1}, {None: 3, "n": 2}):
+        share = mixing.quantised(weights, 1000)
+        slots, n = mixing.pfair_cycle(share), sum(share.values())
+        assert len(slots) == n and Counter(s for s, _ in slots) == share
+        done = Counter()
+        for t, (s, _) in enumerate(slots, 1):
+            done[s] += 1
+            assert all(abs(done[x] - Fraction(share[x] * t, n)) < 1 for x in share)
+
+
+def check_mix(docs, **options):
+    got = mixing.pfair_mix(docs, **options).collect()
+    assert Counter((r["doc_id"], r["source"]) for r in got) == Counter((r["doc_id"], r["source"]) for r in docs.select("doc_id", "source").collect())
+    assert len({r["position"] for r in got}) == len(got)
+    slots = {}
+    for r in got:
+        assert slots.setdefault(r["slot"], (r["source"], r["block"])) == (r["source"], r["block"])
+    assert sorted(slots) == list(range(len(slots)))
+    blocks = Counter(s for s, _ in slots.values())
+    assert all({b for s, b in slots.values() if s == x} == set(range(n)) for x, n in blocks.items())
+    return got
+
+
+def test_mixing(odd_docs, small_docs, no_docs):
+    check_mix(odd_docs, block_docs=2, quanta=10)
+    check_mix(small_docs)
+    check_mix(no_docs)
+    cols = mixing.mixed(small_docs)
+    assert cols.columns == small_docs.columns and cols.count() == small_docs.count()
+
+
+def test_all_sources_are_near_their_weights_while_they_last(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 6 == 0, "a").when(F.col("id") % 3 == 0, "b").otherwise("c").alias("source"))
+    got = check_mix(docs, weights={"a": 5, "b": 3, "c": 2}, block_docs=4, quanta=10)
+    slots = dict(sorted({r["slot"]: (r["source"], r["phase"]) for r in got}.items()))
+    done = Counter()
+    for t, (s, phase) in slots.items():
+        if phase:
+            break
+        done[s] += 1
+        assert all(abs(done[x] - Fraction(w * (t + 1), 10)) < 1 for x, w in {"a": 5, "b": 3, "c": 2}.items())
+    assert sum(done.values()) > 100
