@@ -1,7 +1,7 @@
 """Toxicity by a classifier chain over the words and word beginnings that tell toxic from other documents.
 
 Categories are predicted in order by linear models; each later model also gets the earlier categories' probabilities, in
-training those that models of other folds predicted (out of fold). Features are the presence of at most FEATURES keys
+training those that models of other folds predicted (out of fold). Features are the presence, weighted by its log-odds, of at most FEATURES keys
 (whole words of up to 7 bytes, and beginnings of 4, 5 and 6 bytes), chosen by chi-square on a bounded labelled sample.
 
 Defined cases: a null or empty text has no features; a document without a label is scored like any other; without labels
@@ -27,6 +27,8 @@ LEAST_ROWS = 6
 #: Keys must be so many standard errors from what chance gives.
 LEAST_CHI2 = 30.0
 FOLDS = 3
+#: A text with a single telling word must be learned too, so weights may grow.
+TRAINING = {"l2": 1e-6, "rate": 0.1, "steps": 400}
 FLAG_AT = 0.5
 #: Every ASCII character that is no letter or digit parts words.
 BREAKS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -60,6 +62,11 @@ def word_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return key[fresh], np.bincount(owner[fresh], minlength=len(texts))
 
 
+def evidence(df: np.ndarray, pos: np.ndarray, n: int, n_pos: int) -> np.ndarray:
+    """Smoothed log-odds of each key's presence in toxic against other rows: the value of the feature where it is present."""
+    return np.log((pos + 0.5) / (n_pos + 1)) - np.log((df - pos + 0.5) / (n - n_pos + 1))
+
+
 def columns_of(keys: np.ndarray, counts: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(columns, columns a text) of the keys that are in the sorted array `known`."""
     if not len(known):
@@ -70,40 +77,40 @@ def columns_of(keys: np.ndarray, counts: np.ndarray, known: np.ndarray) -> tuple
     return at[ok], np.bincount(own[ok], minlength=len(counts))
 
 
-def chain_inputs(idx: np.ndarray, counts: np.ndarray, n_known: int, earlier: list[np.ndarray]) -> Rows:
-    """Presence of keys, then the earlier categories' probabilities."""
-    n, k = len(counts), len(earlier)
+def chain_inputs(idx: np.ndarray, counts: np.ndarray, value: np.ndarray, earlier: list[np.ndarray]) -> Rows:
+    """Present keys at their value, then the earlier categories' probabilities."""
+    n, k, n_known = len(counts), len(earlier), len(value)
     own = np.concatenate((np.repeat(np.arange(n), counts), np.repeat(np.arange(n), k)))
     order = np.argsort(own, kind="stable")
     cols = np.concatenate((idx, np.tile(np.arange(k) + n_known, n)))
-    vals = np.concatenate((np.ones(len(idx)), np.column_stack(earlier).ravel() if k else np.zeros(0)))
+    vals = np.concatenate((value[idx], np.column_stack(earlier).ravel() if k else np.zeros(0)))
     return Rows(cols[order], vals[order], counts + k)
 
 
-def train_chain(idx: np.ndarray, counts: np.ndarray, n_known: int, targets: list[np.ndarray]) -> list[tuple[np.ndarray, float]]:
+def train_chain(idx: np.ndarray, counts: np.ndarray, value: np.ndarray, targets: list[np.ndarray]) -> list[tuple[np.ndarray, float]]:
     """One (weights, intercept) a category; later ones are trained on out-of-fold probabilities of the earlier."""
     fold, earlier, models = np.arange(len(counts)) % FOLDS, [], []
     for k, y in enumerate(targets):
-        x, dim = chain_inputs(idx, counts, n_known, earlier), n_known + k
+        x, dim = chain_inputs(idx, counts, value, earlier), len(value) + k
         oof = np.zeros(len(y))
         for f in range(FOLDS):
             rest, own = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
-            w, b = fit_logistic(x.take(rest), y[rest], dim, l2=1e-4)
+            w, b = fit_logistic(x.take(rest), y[rest], dim, **TRAINING)
             oof[own] = sigmoid(x.take(own).dot(w) + b)
-        models.append(fit_logistic(x, y, dim, l2=1e-4))
+        models.append(fit_logistic(x, y, dim, **TRAINING))
         earlier.append(oof)
     return models
 
 
-def predict_chain(models: list, idx: np.ndarray, counts: np.ndarray, n_known: int) -> list[np.ndarray]:
+def predict_chain(models: list, idx: np.ndarray, counts: np.ndarray, value: np.ndarray) -> list[np.ndarray]:
     out: list[np.ndarray] = []
     for w, b in models:
-        out.append(sigmoid(chain_inputs(idx, counts, n_known, out).dot(w) + b))
+        out.append(sigmoid(chain_inputs(idx, counts, value, out).dot(w) + b))
     return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None = None, rows: int = SAMPLE_ROWS) -> dict:
-    """{known: sorted keys, models: one a category}. The keys' document counts are summed in Spark over the sample."""
+    """{known: sorted keys, value: their evidence, models: one a category}. The keys' document counts are summed in Spark over the sample."""
     categories = categories or CATEGORIES
 
     def keyed(batches):
@@ -122,33 +129,37 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None =
     rows_of = stored(chosen.select("doc_id", "text", *flags).mapInArrow(keyed, schema), "toxic-sample")
     n, n_pos = rows_of.agg(F.count(F.lit(1)), F.coalesce(F.sum("y0"), F.lit(0))).first()
     if not 0 < n_pos < n:
-        return {"known": np.zeros(0, np.uint64), "models": [(np.zeros(i), -40.0) for i in range(len(flags))]}
+        return {"known": np.zeros(0, np.uint64), "value": np.zeros(0), "models": [(np.zeros(i), -40.0) for i in range(len(flags))]}
     seen = rows_of.select("y0", F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("df"), F.sum("y0").alias("pos"))
     expect = F.col("df") * F.lit(n_pos / n)
     gap = F.col("pos") - expect
     chi2 = gap * gap / (expect * F.lit(1 - n_pos / n))
     best = seen.where(F.col("df") >= LEAST_ROWS).withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "key").limit(FEATURES)
-    known = np.sort(np.array([r["key"] for r in best.select("key").collect()], np.int64).view(np.uint64))
+    chosen = best.select("key", "df", "pos").collect()
+    known = np.array([r["key"] for r in chosen], np.int64).view(np.uint64)
+    order = np.argsort(known)
+    known = known[order]
+    value = evidence(*(np.array([r[c] for r in chosen], np.float64)[order] for c in ("df", "pos")), n, n_pos)
     picked = F.array_intersect("keys", F.array(*[F.lit(int(k)) for k in known.view(np.int64)])) if len(known) else F.array().cast("array<long>")
     got = sorted(rows_of.select("doc_id", picked.alias("keys"), *names[2:]).collect(), key=lambda r: r["doc_id"])
     keys = [np.sort(np.array(r["keys"], np.int64).view(np.uint64)) for r in got]
     idx, counts = columns_of(np.concatenate(keys), np.array([len(k) for k in keys]), known)
     targets = [np.array([r[f"y{i}"] for r in got], np.float64) for i in range(len(flags))]
-    return {"known": known, "models": train_chain(idx, counts, len(known), targets)}
+    return {"known": known, "value": value, "models": train_chain(idx, counts, value, targets)}
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None = None) -> DataFrame:
     """doc_id, a probability for each category (p_<name>), and toxic (the first category's reaches FLAG_AT)."""
     categories = categories or CATEGORIES
     model = fit(docs, labels, categories)
-    known, models = model["known"], model["models"]
+    known, value, models = model["known"], model["value"], model["models"]
 
     def run(batches):
         for b in batches:
             texts = as_bytes(b.column(1))
             for i, j in slices(texts):
                 idx, counts = columns_of(*word_keys(texts[i:j]), known)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *map(pa.array, predict_chain(models, idx, counts, len(known)))], names)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *map(pa.array, predict_chain(models, idx, counts, value))], names)
 
     names = ["doc_id", *[f"p_{c}" for c in categories]]
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{c} double" for c in names[1:]))
