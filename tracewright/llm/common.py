@@ -10,7 +10,7 @@ from itertools import chain
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are handled in slices of about so many bytes, so that a task's memory does not follow the Arrow batch.
@@ -34,14 +34,31 @@ def scratch(spark: SparkSession) -> str:
     return f"{where.rstrip('/')}/tracewright"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """df, written to the shared folder and read back: it cuts the lineage, and a lost executor costs nothing that was written."""
+#: Rows of a stored table that one task writes, where a bound on the rows is known.
+TASK_ROWS = 100_000
+
+
+def stored(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """df, written to the shared folder and read back: it cuts the lineage, and a lost executor costs nothing that was written.
+
+    rows: a bound on the rows, if known; then no more tasks write, and later read, than that many rows need.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(4, -(-rows // TASK_ROWS)))
     path = f"{scratch(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_with(df: DataFrame, label: str, *aggs: Column, rows: int | None = None) -> tuple[DataFrame, tuple]:
+    """stored(df), and aggregates of its rows that the same job computes."""
+    seen = Observation()
+    named = [a.alias(f"a{i}") for i, a in enumerate(aggs)]
+    out = stored(df.observe(seen, *named), label, rows)
+    return out, tuple(seen.get[f"a{i}"] for i in range(len(aggs)))
+
+
 def drop_stored(df: DataFrame) -> None:
     """Delete the files of a stored() table that nothing reads any more."""
     spark = df.sparkSession

@@ -7,16 +7,18 @@ and the least value over the set is the coordinate. Bands of ROWS coordinates ar
 1. One pass over the texts gives each document its set, the set's digest and its band keys. Equal sets are one class, and
    only its representative (the least id) goes on.
 2. Representatives that share a band key with another meet in a bucket. A bucket never emits all its pairs: leaders, one in
-   the first round and twice as many in each further one, are paired with the members whose component is not theirs yet.
+   the first round and more in further ones, are paired with the members whose component is not theirs yet.
    Pairs are confirmed on the full sets; links merge components; the next round sees only what is still apart. A bucket is
-   finished when every member was compared with, or is connected to, every other. Buckets that stay large after the first
-   round, as those of a shared passage do, are split by the members' further bands before that.
+   finished when every member was compared with, or is connected to, every other. Before that, representatives whose own
+   shingles rule out any link leave: what no other candidate has cannot be in an intersection, so a document that shares
+   a passage and nothing else, or an outlier among near copies, is never compared at all. This test is exact.
 3. Components come from links by alternating least-neighbour steps over checkpointed tables.
 
 At a similarity of 0.75 a pair misses all 32 bands of 4 rows with probability (1 - 0.75^4)^32 = 5e-6.
 
 Defined cases: fewer than 5 words are one shingle; without words or text the set is empty, linked with nothing; repeated
-rows of one id count as one document and stay repeated in the result; other columns are ignored.
+rows of one id count as one document and stay repeated in the result; a row without an id is linked with nothing, kept, and
+has no component; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,19 +26,19 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, drop_stored, hashed_words, mix64, salted_left_join, slices, starts, stored
+from .common import as_bytes, drop_stored, hashed_words, mix64, salted_left_join, slices, starts, stored, stored_with
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4
 #: Link if 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: A bucket whose members lie in more components than this after the first round is split by its members' other bands.
-WIDE = 24
-#: The rounds (from 0) before which wide buckets are split; later ones compare whatever is left with doubling leaders.
-SPLIT_TURNS = (1, 2)
+#: How often documents that cannot be linked are sought; each time, those found no longer count as others' company.
+SIEVINGS = 1
+#: Leaders of a bucket in each round; the last number holds for all further rounds.
+LEADERS = (1, 8, 64)
 #: Bytes of a shingle's hash that are stored for verification: at 48 bits, two sets of 10,000 meet by chance once in 3e6.
 KEEP_BYTES = 6
 STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -160,27 +162,36 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.select("a", "b", F.col("shingles").alias("left"), "right").mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame, label: str = "comp") -> DataFrame:
+def marks() -> tuple[Column, Column]:
+    """Count and digest of an edge table: they tell whether a step changed it."""
+    return F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+
+
+def star_step(edges: DataFrame, label: str, rows: int) -> tuple[DataFrame, tuple]:
+    """(edges after a large-star and a small-star step, their count and digest). The connected sets stay the same."""
+    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    low = large.groupBy("u").agg(F.min("v").alias("m"))
+    small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return stored_with(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), label, *marks(), rows=rows)
+
+
+def components(links: DataFrame, label: str = "comp", rows: int | None = None) -> DataFrame:
     """(id, comp): the least id reachable over links(a, b), for every linked id but those least ones.
 
     Alternates large-star and small-star steps until nothing changes. Minima are taken map-side first, and the joins that
     send them back have no order to keep, so Spark may split a hub's edges over tasks.
     """
-    edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), label)
-    before = None
-    while True:
-        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), label)
-        state = tuple(after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    edges, before = stored_with(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), label, *marks(), rows=rows)
+    while before[0]:
+        after, state = star_step(edges, label, 2 * before[0])
         drop_stored(edges)
         edges = after
         if state == before:
-            return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("comp"))
+            break
         before = state
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("comp"))
 
 
 def with_comp(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
@@ -196,47 +207,83 @@ def crowded(members: DataFrame) -> DataFrame:
     return members.join(many, "bucket", "left_semi")
 
 
-def near_links(reps: DataFrame, docs: DataFrame) -> DataFrame | None:
-    """Confirmed links (a, b) among representatives(id, bands) that connect all that are similar; None if there are none."""
+def shingle_rows(sets: DataFrame) -> DataFrame:
+    """(shingle, id) of sets(id, n, shingles)."""
+
+    def run(batches):
+        for b in batches:
+            ids, blobs = b.column(0).to_numpy(), b.column(1).to_pylist()
+            for i, j in slices(blobs, 1 << 20):
+                keys = long(b"".join(blobs[i:j])).view(np.int64)
+                counts = [len(x) // KEEP_BYTES for x in blobs[i:j]]
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(ids[i:j], counts))], ["shingle", "id"])
+
+    return sets.select("id", "shingles").mapInArrow(run, "shingle long, id long")
+
+
+def linkable(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """members less those that cannot reach PERCENT with any other of them.
+
+    An intersection holds no shingle that only one set has, so it is at most n - own; with a set of m shingles, PERCENT
+    needs (100 + PERCENT) * intersection >= PERCENT * (n + m), and m is at least the least n of the bucket-mates.
+    """
+    sizes = sets.select("id", "n")
+    own = shingle_rows(sets).groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+    sized = members.join(sizes, "id")
+    least = sized.groupBy("bucket").agg(F.min("n").alias("m"))
+    mate = sized.join(least, "bucket").groupBy("id").agg(F.min("m").alias("m"))
+    able = sizes.join(own, "id", "left").join(mate, "id").withColumn("own", F.coalesce("own", F.lit(0)))
+    enough = (100 + PERCENT) * (F.col("n") - F.col("own")) * 100 >= PERCENT * (F.col("n") * 100 + F.greatest(F.col("m") * 100, PERCENT * F.col("n")))
+    return members.join(able.where(enough).select("id"), "id", "left_semi").select("bucket", "id")
+
+
+def near_components(reps: DataFrame, docs: DataFrame) -> DataFrame | None:
+    """(id, comp) of the representatives(id, bands) that are linked to a lesser id; None if nothing is linked."""
     members = stored(crowded(reps.select(F.explode("bands").alias("bucket"), "id")), "buckets")
     # Only documents that meet another need their sets; Spark broadcasts their ids while they are few, and else shuffles.
     met = members.select(F.col("id").alias("doc_id")).distinct()
     sets = stored(full_sets(docs.select("doc_id", "text").join(met, "doc_id", "left_semi")), "sets")
-    links = comps = tried = None
+    for _ in range(SIEVINGS):
+        left = stored(crowded(linkable(members, sets)), "buckets")
+        fewer = stored(sets.join(left.select("id").distinct(), "id", "left_semi"), "sets")
+        drop_stored(members)
+        drop_stored(sets)
+        members, sets = left, fewer
+    members, (n,) = stored_with(members, "buckets", F.count(F.lit(1)))
+    edges = tried = None
     turn = 0
-    while True:
-        now = with_comp(members, comps)
-        state = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.approx_count_distinct("comp").alias("n_comp"))
-        live = stored(now.join(state.where("lo <> hi").select("bucket", "n_comp"), "bucket").select("bucket", "id", "comp", "n_comp"), "live")
-        if live.isEmpty():
-            return links
-        if turn in SPLIT_TURNS:
-            wide = live.where(F.col("n_comp") > WIDE).select("bucket", "id", "comp")
-            further = wide.join(reps.select("id", "bands"), "id").select("bucket", "id", "comp", F.explode("bands").alias("band"))
-            finer = crowded(further.where("band <> bucket").select(F.xxhash64("bucket", "band").alias("bucket"), "id", "comp"))
-            live = stored(live.where(F.col("n_comp") <= WIDE).select("bucket", "id", "comp").unionByName(finer), "live")
-        least = F.min(F.struct(F.col("id").alias("id"), F.col("comp").alias("comp")))
-        leaders = live.groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(2**turn)).alias("seat")).agg(least.alias("x")).select("bucket", F.col("x.id").alias("leader"), F.col("x.comp").alias("l_comp"))
-        pairs = live.join(leaders, "bucket").where("comp <> l_comp").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+    while n:
+        k = LEADERS[min(turn, len(LEADERS) - 1)]
+        # edges name a smaller id of the same component for most ids by now; that is enough to pass over settled pairs.
+        comps = None if edges is None else edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("comp"))
+        now = with_comp(members, comps).select("bucket", "id", "comp")
+        seat, one = F.pmod(F.xxhash64("id"), F.lit(k)), F.struct("id", "comp")
+        heads = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *[F.min(F.when(seat == i, one)).alias(f"x{i}") for i in range(k)])
+        heads = heads.where("lo <> hi").select("bucket", F.array_compact(F.array(*[f"x{i}" for i in range(k)])).alias("leaders"))
+        live, (n_live,) = stored_with(now.join(heads, "bucket"), "live", F.count(F.lit(1)), rows=n)
+        each = live.select("id", "comp", F.explode("leaders").alias("x")).where(F.col("comp") != F.col("x.comp"))
+        pairs = each.select(F.least("id", "x.id").alias("a"), F.greatest("id", "x.id").alias("b")).distinct()
+        pairs, (n_pairs,) = stored_with(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs", F.count(F.lit(1)), rows=n_live * k)
         tried = pairs if tried is None else tried.unionByName(pairs)
-        found = stored(verified(pairs, sets), "links")
-        links = found if links is None else links.unionByName(found)
-        comps = components(links)
-        members = live.join(leaders.select("bucket", F.col("leader").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id")
+        found = verified(pairs, sets).select(F.col("b").alias("u"), F.col("a").alias("v"))
+        more, (n_edges, _) = stored_with(found if edges is None else found.unionByName(edges), "links", *marks(), rows=n_pairs)
+        edges, _ = star_step(more, "edges", 2 * n_edges)
+        rest = live.where(~F.array_contains(F.transform("leaders", lambda x: x["id"]), F.col("id"))).select("bucket", "id")
+        members, (n,) = stored_with(rest, "buckets", F.count(F.lit(1)), rows=n_live)
         turn += 1
+    return None if edges is None else components(edges.select(F.col("u").alias("a"), F.col("v").alias("b")))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
     sketch = stored(sketches(docs), "sketches")
-    whole = sketch.where("class_key IS NOT NULL")
+    whole = sketch.where("class_key IS NOT NULL AND doc_id IS NOT NULL")
     reps = stored(whole.groupBy("class_key").agg(F.min(F.struct("doc_id", "bands")).alias("x")).select("class_key", F.col("x.doc_id").alias("id"), F.col("x.bands").alias("bands")), "classes")
-    links = near_links(reps.select("id", "bands"), docs)
-    classes = with_comp(reps.select("class_key", "id"), components(links) if links is not None else None).select("class_key", "comp")
+    comps = near_components(reps.select("id", "bands"), docs)
+    classes = with_comp(reps.select("class_key", "id"), comps).select("class_key", "comp")
     out = salted_left_join(sketch.select("doc_id", "n_shingles", "class_key"), classes, "class_key", "doc_id")
-    own = F.coalesce("comp", "doc_id")
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), (own == F.col("doc_id")).alias("kept"))
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
