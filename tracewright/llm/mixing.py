@@ -90,13 +90,14 @@ def pfair_phases(blocks: dict, weights: dict, quanta: int) -> list[tuple]:
 
 
 def numbered(docs: DataFrame, block_docs: int) -> DataFrame:
-    """docs with seq, a gapless number from 0 within the source, without sorting a source in one task.
+    """doc_id, source, row (all columns of docs) and seq, a gapless number from 0 within the source, without sorting a source
+    in one task.
 
     Rows go to buckets by a hash of the document; buckets are numbered apart and shifted by the sizes of those before.
     """
     spark = docs.sparkSession
     spread = max(SPREAD, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(spread)).cast("int"))
+    rows = docs.select("doc_id", "source", F.struct("*").alias("row")).withColumn("_bucket", F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(spread)).cast("int"))
     sizes = rows.groupBy("source", "_bucket").count()
     # At most MOST_SOURCES * spread rows, so it can be sent to all.
     before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -104,7 +105,7 @@ def numbered(docs: DataFrame, block_docs: int) -> DataFrame:
     inside = Window.partitionBy("source", "_bucket").orderBy(F.xxhash64("doc_id"), "doc_id")
     rows = rows.withColumn("_n", F.row_number().over(inside) - 1)
     on = rows["source"].eqNullSafe(sizes["source"]) & (rows["_bucket"] == sizes["_bucket"])
-    out = rows.join(F.broadcast(sizes), on).select(*[rows[c] for c in docs.columns], (F.col("_n") + F.col("_before")).alias("seq"))
+    out = rows.join(F.broadcast(sizes), on).select(rows["doc_id"], rows["source"], "row", (F.col("_n") + F.col("_before")).alias("seq"))
     return out.withColumn("block", F.floor(F.col("seq") / block_docs))
 
 
@@ -113,7 +114,8 @@ SPREAD = 64
 
 
 def pfair_mix(docs: DataFrame, weights: dict | None = None, block_docs: int = BLOCK_DOCS, quanta: int = QUANTA) -> DataFrame:
-    """docs with block, slot, release, deadline and position (the place in the mixed order, gapless but at blocks' ends).
+    """doc_id, source, row (docs' own columns, so that none clash), block, phase, slot, release, deadline and position (the
+    place in the mixed order, gapless but at blocks' ends).
 
     release and deadline are the slots of the block's Pfair window in its phase, from the phase's first slot; slots of a
     last cycle move forward where dry sources are skipped, so there slot >= release need not hold.
@@ -138,7 +140,7 @@ def pfair_mix(docs: DataFrame, weights: dict | None = None, block_docs: int = BL
     base = F.col("_c") * F.col("quanta")
     slot = F.col("first_slot") + base + F.col("k")
     return got.select(
-        *docs.columns, "block", "phase", slot.alias("slot"),
+        "doc_id", "source", "row", "block", "phase", slot.alias("slot"),
         (F.col("first_slot") + base + F.floor((F.col("j") - 1) * F.col("quanta") / F.col("share"))).alias("release"),
         (F.col("first_slot") + base + F.ceil(F.col("j") * F.col("quanta") / F.col("share"))).alias("deadline"),
         (slot * block_docs + F.pmod(F.col("seq"), F.lit(block_docs))).alias("position"),
@@ -159,4 +161,4 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     """docs in mixed order: partitions are ranges of position, sorted within."""
     ordered = pfair_mix(docs, **options)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return ordered.repartitionByRange(n, "position").sortWithinPartitions("position").select(*docs.columns)
+    return ordered.repartitionByRange(n, "position").sortWithinPartitions("position").select("row.*")

@@ -38,7 +38,7 @@ def op5_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return mixing.pfair_mix(docs)
+    return mixing.pfair_mix(docs).drop("row")
 
 
 def op7_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
