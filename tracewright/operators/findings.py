@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import rules
 from ..functions.text import quote_key
 from ..sources.storage import stored
 from .scan import explanation
