@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import labelled
-from .common import as_bytes, hashed_words, mix64, slices, starts
+from .common import as_bytes, hashed_words, mix64, slices
 from .linear import Rows, fit_logistic, fit_platt, seg_sum, sigmoid
 
 MIN_WORDS = 20
@@ -103,18 +103,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = labelled.SAMPLE_ROWS) ->
 
     def features(batches):
         for b in batches:
-            for ids, val in gram_rows(as_bytes(b.column(1))):
-                yield pa.RecordBatch.from_arrays([pa.array([ids.astype("<u2").tobytes()]), pa.array([val.astype("<f4").tobytes()])], ["ids", "val"])
-
-    def with_labels(batches):
-        for b in batches:
-            x = pa.Table.from_batches(list(features([b]))) if b.num_rows else None
-            if x is not None:
-                x = x.combine_chunks()
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *[x.column(i).combine_chunks() for i in range(2)]], ["doc_id", "quality", "ids", "val"])
+            for i, (ids, val) in enumerate(gram_rows(as_bytes(b.column(1)))):
+                cells = [pa.array([ids.astype("<u2").tobytes()]), pa.array([val.astype("<f4").tobytes()])]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(2).slice(i, 1), *cells], ["doc_id", "quality", "ids", "val"])
 
     chosen = labelled.sample(docs.select("doc_id", "text"), labels, rows).select("doc_id", "text", "quality")
-    got = chosen.mapInArrow(with_labels, "doc_id long, quality int, ids binary, val binary").collect()
+    got = chosen.mapInArrow(features, "doc_id long, quality int, ids binary, val binary").collect()
     got.sort(key=lambda r: r["doc_id"])
     if not got:
         return {"w": np.zeros(2 << BITS, np.float32), "b": 0.0, "a": 1.0, "c": 0.0}
