@@ -261,7 +261,8 @@ def near_components(reps: DataFrame, docs: DataFrame) -> DataFrame | None:
         heads = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *[F.min(F.when(seat == i, one)).alias(f"x{i}") for i in range(k)])
         heads = heads.where("lo <> hi").select("bucket", F.array_compact(F.array(*[f"x{i}" for i in range(k)])).alias("leaders"))
         live, (n_live,) = stored_with(now.join(heads, "bucket"), "live", F.count(F.lit(1)), rows=n)
-        each = live.select("id", "comp", F.explode("leaders").alias("x")).where(F.col("comp") != F.col("x.comp"))
+        # Most members are in their leaders' component already; only the others are paired.
+        each = live.select("id", F.explode(F.filter("leaders", lambda x: x["comp"] != F.col("comp"))).alias("x"))
         pairs = each.select(F.least("id", "x.id").alias("a"), F.greatest("id", "x.id").alias("b")).distinct()
         pairs, (n_pairs,) = stored_with(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs", F.count(F.lit(1)), rows=n_live * k)
         tried = pairs if tried is None else tried.unionByName(pairs)
