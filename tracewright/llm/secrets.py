@@ -117,10 +117,12 @@ def secrets_report(docs: DataFrame, ledger: DataFrame | None = None) -> DataFram
 def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with every found span replaced by the mark; n_chars follows. Overlapping spans give one mark. All rows stay."""
     found, _ = find_secrets(docs)
-    dirty = found.where(F.size("spans") > 0).groupBy("path", "blob").agg(F.first("spans").alias("_found")).withColumnsRenamed({"path": "_path", "blob": "_blob"})
-    same = F.col("doc_id").eqNullSafe(F.col("_path")) & (F.sha2(F.col("text"), 256) == F.col("_blob"))
+    dirty = found.where(F.size("spans") > 0).groupBy("path", "blob").agg(F.first("spans").alias("spans"))
+    own = max(docs.columns, key=len)  # longer names than any of docs' columns cannot clash
+    dirty = dirty.toDF(f"{own}_path", f"{own}_blob", f"{own}_spans")
+    same = F.col("doc_id").eqNullSafe(F.col(f"{own}_path")) & (F.sha2(F.col("text"), 256) == F.col(f"{own}_blob"))
     joined = docs.join(dirty, same, "left")
-    text, spans = F.col("text"), F.col("_found")
+    text, spans = F.col("text"), F.col(f"{own}_spans")
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
