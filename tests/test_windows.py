@@ -1,0 +1,21 @@
+"""Candidate windows of the events table: every finding of every metric is numbered and has its window."""
+
+import duckdb
+
+from tests.test_entry import SMALL, TABLES, canonical
+from tracewright.plans import queries
+
+
+def test_windows_hold_findings_of_all_metrics(spark):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
+    registered = queries.ORACLE_SQL["candidate_window"]
+    assert registered.startswith(queries.WINDOW_SQL)
+    # The registered SQL keeps two metrics; over all findings it is the same text behind DEDUP_SQL.
+    want = con.execute(queries.DEDUP_SQL + registered[len(queries.WINDOW_SQL) :]).df()
+    got = queries.q_window(spark, SMALL).toPandas()
+    assert canonical(got) == canonical(want)
+    part = con.execute(registered).df()
+    print(len(part), "rows of two metrics,", len(got), "rows of all")
+    assert len(got) > len(part)
