@@ -20,11 +20,12 @@ import base64
 import re
 import struct
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_bytes, slices, stored
@@ -95,23 +96,26 @@ def cuts(n: int, window: int = WINDOW) -> list[tuple[int, int]]:
     return out
 
 
-def tokenized_pieces(docs: DataFrame, json_path: str, ranks_path: str) -> DataFrame:
-    """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens."""
+def tokenized_pieces(docs: DataFrame, json_path: str, ranks_path: str, keep: tuple = ()) -> DataFrame:
+    """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens and the document's columns in `keep`."""
     closing = struct.pack("<I", CLOSING_ID)
 
     def run(batches):
         for b in batches:
             raw, ids = as_bytes(b.column(1)), b.column(0).to_pylist()
             for i, j in slices(raw):
-                rows = []
-                for doc, buf in zip(ids[i:j], encoded([t.decode("utf-8", "replace") for t in raw[i:j]], json_path, ranks_path), strict=True):
+                rows, of = [], []
+                for at, buf in enumerate(encoded([t.decode("utf-8", "replace") for t in raw[i:j]], json_path, ranks_path), i):
                     buf += closing
                     n = len(buf) // 4
-                    rows += [(doc, s, m, zlib.crc32(buf[4 * s : 4 * (s + m)]), n) for s, m in cuts(n)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
+                    rows += [(ids[at], s, m, zlib.crc32(buf[4 * s : 4 * (s + m)]), n) for s, m in cuts(n)]
+                    of += [at] * (len(rows) - len(of))
+                kept = [b.column(2 + k).take(pa.array(of, pa.int64())) for k in range(len(keep))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] + kept, [*names, *keep])
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    schema = ", ".join([f"{c} long" for c in names] + [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep])
+    return docs.select(F.col("doc_id").cast("long"), "text", *keep).mapInArrow(run, schema)
 
 
 def pack_tiers(lengths: np.ndarray, window: int = WINDOW, tiers: tuple = TIERS) -> tuple[np.ndarray, np.ndarray]:
@@ -149,20 +153,58 @@ def step_groups(where: np.ndarray, lengths: np.ndarray, group: int = STEP_GROUP)
     return np.where(lap % 2 == 0, k, n_groups - 1 - k)
 
 
-def packed(docs: DataFrame, json_path: str, ranks_path: str) -> DataFrame:
-    """Every piece with sequence_id, offset, tier and step_group. The token pass runs once; only piece rows are shuffled."""
-    pieces = stored(tokenized_pieces(docs, json_path, ranks_path), "pieces")
-    shards = max(1, -(-pieces.count() // SHARD_PIECES))
+def along(where: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Windows renumbered by the place of their longest piece (the first of them), for pieces that come in order."""
+    first = np.lexsort((np.arange(len(where)), -lengths, where))
+    opens = first[np.concatenate(([True], where[first][1:] != where[first][:-1]))] if len(where) else first
+    number = np.empty(len(opens), np.int64)
+    number[np.argsort(opens, kind="stable")] = np.arange(len(opens))
+    return number[where]
+
+
+def ranked(pieces: DataFrame, placed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """pieces with `rank`, a gapless number from 0 along the documents' positions: pieces(_row) of one document stay together.
+
+    Only short rows travel: positions are worked out on one row a document and joined back on its row number. Pieces are
+    numbered in ranges of positions, which are shifted by the pieces before them.
+    """
+    docs = pieces.where("start = 0").select("doc_id", "source", "_row")
+    at = placed(docs).select(F.col("row._row").alias("_row"), "position")
+    rows = stored(pieces.join(at, "_row").withColumn("_range", F.floor(F.col("position") / SHARD_PIECES)), "placed")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    # One row for each SHARD_PIECES documents.
+    sizes = rows.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_range").orderBy("position", "start")
+    return rows.withColumn("_n", F.row_number().over(inside) - 1).join(sizes, "_range").withColumn("rank", F.col("_n") + F.col("_before"))
+
+
+def packed(docs: DataFrame, json_path: str, ranks_path: str, placed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Every piece with sequence_id, offset, tier and step_group. The token pass runs once; only piece rows are shuffled.
+
+    placed: gives documents (with doc_id and source) a position, as mixing.pfair_mix does. Then shards are consecutive
+    ranges of positions, and sequence ids rise along them; else shards are taken by a hash.
+    """
+    if placed:
+        docs = docs.withColumn("_row", F.monotonically_increasing_id())
+    pieces = stored(tokenized_pieces(docs, json_path, ranks_path, ("source", "_row") if placed else ()), "pieces")
+    order = ["rank"] if placed else ["doc_id", "start"]
 
     def shard(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "start"], kind="stable")
+        pdf = pdf.sort_values(order, kind="stable")
         where, offset = pack_tiers(pdf["length"].to_numpy())
+        if placed:
+            where = along(where, pdf["length"].to_numpy())
         base = int(pdf["shard"].iloc[0]) << 32
         groups = step_groups(where, pdf["length"].to_numpy())
         tier = np.array(TIERS)[np.searchsorted(np.array(TIERS), pdf["length"].to_numpy())]
-        out = pdf.drop(columns="shard")
+        out = pdf[names]
         return out.assign(sequence_id=base + where, offset=offset, tier=tier.astype(np.int32), step_group=base + groups[where])
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
-    key = F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards)).alias("shard")
-    return pieces.select("*", key).groupBy("shard").applyInPandas(shard, schema)
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    if placed:
+        rows = ranked(pieces, placed).select(*names, "rank", F.floor(F.col("rank") / SHARD_PIECES).alias("shard"))
+    else:
+        shards = max(1, -(-pieces.count() // SHARD_PIECES))
+        rows = pieces.select("*", F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards)).alias("shard"))
+    return rows.groupBy("shard").applyInPandas(shard, schema)
