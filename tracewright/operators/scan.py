@@ -16,12 +16,15 @@ from ..functions.text import first_match, quote_around, severity
 HIT = "struct<v:int,c:int,r:int,m_start:int,m_end:int>"
 
 
-def _hit(text: Column, v: int, c: int, r: int, pattern: str | None, cue: str | None) -> Column:
+def _hit(text: Column, v: int, c: int, r: int, pattern: str | None, cue: str | None, most: int | None) -> Column:
     """struct HIT of one rule, or null."""
     head = [F.lit(v).alias("v"), F.lit(c).alias("c"), F.lit(r).alias("r")]
     if pattern is None:
         whole = F.try_parse_json(F.regexp_replace(text, r"^\s+", ""))
-        broken = text.rlike(rules.JSON_LIKE) & (F.length(text) < rules.MAX_SPAN_TEXT) & whole.isNull()
+        broken = text.rlike(rules.JSON_LIKE) & whole.isNull()
+        if most is not None:
+            # A text as long as the cap may have been cut, so it is not judged.
+            broken = broken & (F.length(text) < most)
         return F.when(broken, F.struct(*head, F.lit(None).cast("int").alias("m_start"), F.lit(None).cast("int").alias("m_end")))
     found, start, end = first_match(text, rules.flagged(pattern))
     cond = text.rlike(rules.flagged(pattern))
@@ -30,13 +33,13 @@ def _hit(text: Column, v: int, c: int, r: int, pattern: str | None, cue: str | N
     return F.when(cond, F.struct(*head, start.alias("m_start"), end.alias("m_end")))
 
 
-def _check(text: Column, c: int, check: tuple) -> Column:
+def _check(text: Column, c: int, check: tuple, most: int | None) -> Column:
     """array<HIT> of one check, in rule order."""
     validator, name, one_per_span, rows = check
     v = rules.VALIDATORS.index(validator)
     by_type: dict[str, list[Column]] = {}
     for r, (pattern, failure_type, cue) in enumerate(rows):
-        by_type.setdefault("" if one_per_span else failure_type, []).append(_hit(text, v, c, r, pattern, cue))
+        by_type.setdefault("" if one_per_span else failure_type, []).append(_hit(text, v, c, r, pattern, cue, most))
     hits = F.array_compact(F.array(*[F.coalesce(*h) for h in by_type.values()]))
     maybe = rules.PREFILTERS.get(name)
     none = F.array().cast(f"array<{HIT}>")
@@ -53,15 +56,17 @@ def without_overlaps(hits: Column) -> Column:
     return F.aggregate(hits, F.array().cast(f"array<{HIT}>"), step)
 
 
-def scan(spans: DataFrame, suppress: bool = True, checks: tuple | None = None, keep: tuple = ()) -> DataFrame:
+def scan(spans: DataFrame, suppress: bool = True, checks: tuple | None = None, keep: tuple = (), most: int | None = rules.MAX_SPAN_TEXT) -> DataFrame:
     """One row a finding: trace_id, ord, idx, agent, kind, validator, metric_name, failure_type, severity, m_start, m_end,
     quote and the order columns v, c, r. suppress: drop overlaps between validators. checks: names, else all. keep: more columns
-    of spans to carry."""
-    text = F.left(F.coalesce("text", F.lit("")), F.lit(rules.MAX_SPAN_TEXT))
+    of spans to carry. most: characters of a span that are scanned; None for all of them."""
+    text = F.coalesce("text", F.lit(""))
+    if most is not None:
+        text = F.left(text, F.lit(most))
     chosen = [(c, check) for c, check in enumerate(rules.CHECKS) if checks is None or check[1] in checks]
     rows = spans.withColumn("text", text).where("text <> ''")
     body = F.col("text")
-    hits = F.flatten(F.array(*[_check(body, c, check) for c, check in chosen]))
+    hits = F.flatten(F.array(*[_check(body, c, check, most) for c, check in chosen]))
     found = rows.withColumn("hits", without_overlaps(hits) if suppress else hits).where(F.size("hits") > 0).withColumn("h", F.explode("hits"))
     names = F.array(*[F.lit(check[1]) for check in rules.CHECKS])
     types = F.array(*[F.array(*[F.lit(r[1]) for r in check[3]]) for check in rules.CHECKS])
