@@ -5,7 +5,9 @@ and due by slot ceil(j/w); earliest deadline first among the released blocks the
 source is less than one block from its share at every slot. Weights are multiples of 1/quanta, so the schedule repeats
 after `quanta` slots: only one such cycle is worked out on the driver (a table of at most `quanta` rows), and Spark places
 all blocks by joining it. When a source runs dry, the rest go on with their weights scaled up; so the schedule has at most
-one phase a source and every document is placed exactly once.
+one phase a source and every document is placed exactly once. With more than FEW_SOURCES sources the cycles have two quanta
+a source at least, are written in parts and unfolded to one row a block, and blocks are joined on (source, block) without
+a broadcast; the plan has no more rows than there are blocks.
 
 Defined cases: a null source is a source of its own; sources without a weight get the least one; an empty table gives an
 empty schedule; rows that repeat are placed one by one; other columns are ignored.
@@ -14,14 +16,20 @@ empty schedule; rows that repeat are placed one by one; other columns are ignore
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 QUANTA = 1000
 BLOCK_DOCS = 16
-MOST_SOURCES = 500
+#: Sources whose cycles are broadcast; more are joined by blocks.
+FEW_SOURCES = 500
+#: Rows of the plan that the driver holds at once, where it is written.
+PLAN_ROWS = 100_000
 #: Target weights follow the sources' sizes to this power, unless given.
 SMOOTHING = 0.7
 
@@ -32,12 +40,16 @@ def quantised(weights: dict, quanta: int) -> dict:
     exact = {s: Fraction(w).limit_denominator(10**9) / Fraction(total).limit_denominator(10**9) * quanta for s, w in weights.items()}
     share = {s: max(1, int(x)) for s, x in exact.items()}
     order = sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s is not None, s or ""))
-    i = 0
-    while sum(share.values()) < quanta:
+    for i in range(quanta - sum(share.values())):
         share[order[i % len(order)]] += 1
-        i += 1
-    while sum(share.values()) > quanta:
-        share[max(share, key=lambda s: (share[s], s or ""))] -= 1
+    # The largest share gives, ties by the last name.
+    rank = {s: -k for k, s in enumerate(sorted(reversed(share), key=lambda s: s or ""))}
+    largest = [(-n, rank[s], s) for s, n in share.items()]
+    heapq.heapify(largest)
+    for _ in range(sum(share.values()) - quanta):
+        n, k, s = largest[0]
+        share[s] -= 1
+        heapq.heapreplace(largest, (n + 1, k, s))
     return share
 
 
@@ -59,25 +71,27 @@ def pfair_cycle(share: dict) -> list[tuple]:
     return slots
 
 
-def pfair_phases(blocks: dict, weights: dict, quanta: int) -> list[tuple]:
-    """Rows (source, phase, first_block, cycles, first_slot, j, slot_in_cycle, quanta, share).
+def pfair_phases(blocks: dict, weights: dict, quanta: int) -> Iterator[list[tuple]]:
+    """Phase by phase, rows (source, phase, first_block, cycles, first_slot, j, slot_in_cycle, quanta, share).
 
     A phase has `cycles` whole cycles of its active sources; `cycles` = 0 marks a single last cycle in which sources
     that have run dry are skipped. first_block: the source's blocks placed before the phase.
     """
-    left, rows, slot, phase = dict(blocks), [], 0, 0
-    while active := {s: weights[s] for s, n in left.items() if n > 0}:
-        share = quantised(active, max(quanta, len(active)))
+    left, slot, phase = dict(blocks), 0, 0
+    while left := {s: n for s, n in left.items() if n > 0}:
+        active = {s: weights[s] for s in left}
+        # Every source has one quantum at least, so that many sources need more of them to keep their weights apart.
+        share = quantised(active, max(quanta, len(active) * (2 if len(active) > FEW_SOURCES else 1)))
         cycle = pfair_cycle(share)
         whole = min(left[s] // share[s] for s in active)
         done = {s: blocks[s] - left[s] for s in active}
         if whole:
-            rows += [(s, phase, done[s], whole, slot, j, k, len(cycle), share[s]) for k, (s, j) in enumerate(cycle)]
+            yield [(s, phase, done[s], whole, slot, j, k, len(cycle), share[s]) for k, (s, j) in enumerate(cycle)]
             slot += whole * len(cycle)
             left.update({s: left[s] - whole * share[s] for s in active})
             phase += 1
             done = {s: blocks[s] - left[s] for s in active}
-        took, k = dict.fromkeys(active, 0), 0
+        took, k, rows = dict.fromkeys(active, 0), 0, []
         for s, j in cycle:
             if left[s] > took[s]:
                 rows.append((s, phase, done[s], 0, slot, j, k, len(cycle), share[s]))
@@ -86,10 +100,23 @@ def pfair_phases(blocks: dict, weights: dict, quanta: int) -> list[tuple]:
         left.update({s: left[s] - n for s, n in took.items()})
         slot += k
         phase += 1
-    return rows
+        yield rows
+
 
+def plan_table(spark: SparkSession, phases: Iterator[list[tuple]]) -> DataFrame:
+    """The plan's rows as a table, written a part at a time."""
+    parts, rows = [], []
+    for more in phases:
+        rows += more
+        if len(rows) >= PLAN_ROWS:
+            parts.append(stored(spark.createDataFrame(rows, PLAN), "plan"))
+            rows = []
+    if rows:
+        parts.append(stored(spark.createDataFrame(rows, PLAN), "plan"))
+    return spark.read.schema(parts[0].schema).parquet(*[f for p in parts for f in p.inputFiles()])
 
-def numbered(docs: DataFrame, block_docs: int) -> DataFrame:
+
+def numbered(docs: DataFrame, block_docs: int, few: bool = True) -> DataFrame:
     """doc_id, source, row (all columns of docs) and seq, a gapless number from 0 within the source, without sorting a source
     in one task.
 
@@ -99,16 +126,17 @@ def numbered(docs: DataFrame, block_docs: int) -> DataFrame:
     spread = max(SPREAD, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select("doc_id", "source", F.struct("*").alias("row")).withColumn("_bucket", F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(spread)).cast("int"))
     sizes = rows.groupBy("source", "_bucket").count()
-    # At most MOST_SOURCES * spread rows, so it can be sent to all.
+    # With few sources at most FEW_SOURCES * spread rows, so it can be sent to all.
     before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("source", "_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
     inside = Window.partitionBy("source", "_bucket").orderBy(F.xxhash64("doc_id"), "doc_id")
     rows = rows.withColumn("_n", F.row_number().over(inside) - 1)
     on = rows["source"].eqNullSafe(sizes["source"]) & (rows["_bucket"] == sizes["_bucket"])
-    out = rows.join(F.broadcast(sizes), on).select(rows["doc_id"], rows["source"], "row", (F.col("_n") + F.col("_before")).alias("seq"))
+    out = rows.join(F.broadcast(sizes) if few else sizes, on).select(rows["doc_id"], rows["source"], "row", (F.col("_n") + F.col("_before")).alias("seq"))
     return out.withColumn("block", F.floor(F.col("seq") / block_docs))
 
 
+PLAN = "p_source string, phase int, first_block long, cycles long, first_slot long, j long, k long, quanta long, share long"
 #: Buckets a source is numbered in, at least.
 SPREAD = 64
 
@@ -121,22 +149,34 @@ def pfair_mix(docs: DataFrame, weights: dict | None = None, block_docs: int = BL
     last cycle move forward where dry sources are skipped, so there slot >= release need not hold.
     """
     spark = docs.sparkSession
-    sizes = {r["source"]: r["n"] for r in docs.groupBy("source").agg(F.count(F.lit(1)).alias("n")).limit(MOST_SOURCES + 1).collect()}
-    if len(sizes) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources: group them first")
+    sizes = {r["source"]: r["n"] for r in docs.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
     blocks = {s: -(-n // block_docs) for s, n in sizes.items()}
     given = weights or {s: n**SMOOTHING for s, n in sizes.items()}
     least = min(given.values(), default=1)
-    plan = pfair_phases(blocks, {s: given.get(s, least) for s in blocks}, quanta)
-    schema = "p_source string, phase int, first_block long, cycles long, first_slot long, j long, k long, quanta long, share long"
+    phases = pfair_phases(blocks, {s: given.get(s, least) for s in blocks}, quanta)
+    if len(sizes) > FEW_SOURCES:
+        return placed_by_blocks(numbered(docs, block_docs, few=False), plan_table(spark, phases), block_docs)
+    plan = [r for rows in phases for r in rows]
     # One row a slot of a cycle: at most 2 * quanta rows for each source that runs dry.
-    cycles = F.broadcast(spark.createDataFrame(plan, schema).withColumn("last_block", F.col("first_block") + F.greatest(F.col("cycles"), F.lit(1)) * F.col("share")))
+    cycles = F.broadcast(spark.createDataFrame(plan, PLAN).withColumn("last_block", F.col("first_block") + F.greatest(F.col("cycles"), F.lit(1)) * F.col("share")))
     spans = F.broadcast(spark.createDataFrame(phase_spans(plan, blocks), "s_source string, s_phase int, s_first long, s_end long, s_share long, s_cycles long"))
     rows = numbered(docs, block_docs)
     placed = rows.join(spans, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("block") >= F.col("s_first")) & (F.col("block") < F.col("s_end")))
     placed = placed.withColumn("_j", F.when(F.col("s_cycles") > 0, F.pmod(F.col("block") - F.col("s_first"), F.col("s_share"))).otherwise(F.col("block") - F.col("s_first")) + 1)
     placed = placed.withColumn("_c", F.when(F.col("s_cycles") > 0, F.floor((F.col("block") - F.col("s_first")) / F.col("s_share"))).otherwise(0))
     got = placed.join(cycles, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("s_phase") == F.col("phase")) & (F.col("_j") == F.col("j")))
+    return scheduled(got, block_docs)
+
+
+def placed_by_blocks(rows: DataFrame, plan: DataFrame, block_docs: int) -> DataFrame:
+    """numbered() rows with their places, by an equi-join: the plan is unfolded to one row a block, so no key is hot."""
+    every = plan.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("cycles"), F.lit(1)) - 1)))
+    every = every.withColumn("_block", F.col("first_block") + F.col("_c") * F.col("share") + F.col("j") - 1)
+    return scheduled(rows.join(every, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("block") == F.col("_block"))), block_docs)
+
+
+def scheduled(got: DataFrame, block_docs: int) -> DataFrame:
+    """pfair_mix's columns of rows that are joined to their slot's row of the plan; _c: the cycle of the phase."""
     base = F.col("_c") * F.col("quanta")
     slot = F.col("first_slot") + base + F.col("k")
     return got.select(
