@@ -11,8 +11,6 @@ from .scan import explanation
 
 MAX_EVIDENCE = 5
 SHARED = 30
-#: Rounds of pointer doubling: enough for trees 2^12 deep; a cycle ends there too.
-DOUBLINGS = 12
 CONFIRM_WINDOW, CONFIRM_TEXT = 4, 3500
 
 
@@ -40,10 +38,11 @@ def deduplicated(raw: DataFrame) -> DataFrame:
 def ancestors(spans: DataFrame) -> DataFrame:
     """(trace_id, idx, ancestors) from parent pointers, by pointer doubling: the joins grow with the log of the depth.
 
-    A span without a parent, or whose parent is not in the trace, ends the chain; a cycle's spans are listed once each.
+    A span without a parent, or whose parent is not in the trace, ends the chain; a cycle's spans are listed once each, so
+    every list is bounded by the trace and the rounds end when none grows.
     """
     up = spans.select("trace_id", "idx", F.array_compact(F.array("parent")).alias("ancestors")).dropDuplicates(["trace_id", "idx"])
-    for _ in range(DOUBLINGS):
+    while True:
         known = up.select("trace_id", F.col("idx").alias("_last"), F.col("ancestors").alias("_more"))
         probe = up.withColumn("_last", F.try_element_at("ancestors", F.lit(-1)))
         longer = probe.join(known, ["trace_id", "_last"], "left").withColumn("_all", F.array_distinct(F.concat("ancestors", F.coalesce("_more", F.array().cast("array<string>")))))

@@ -18,8 +18,6 @@ TRAJECTORY_KEYS = ("trajectory", "steps", "history", "spans", "messages", "event
 AGENT_ATTRIBUTES = ("smolagents.managed_agents.0.name", "agent.name", "tool.name")
 SPAN_COLUMNS = ["trace_id", "ord", "idx", "text", "agent", "kind", "parent", "ancestors"]
 LIST, MAP = "array<string>", "map<string,string>"
-#: Levels of a span tree that are unfolded, at most.
-MOST_LEVELS = 200
 
 
 def read_traces(spark, path: str, pattern: str = "*.json", recursive: bool = False) -> DataFrame:
@@ -87,21 +85,24 @@ def _attributes(node: Column) -> Column:
 
 def tree_spans(traces: DataFrame) -> DataFrame:
     """Span trees depth first. Levels are unfolded one after the other, each node carrying its path of child numbers, which
-    sorts into pre-order, and its ancestors' ids."""
+    sorts into pre-order, and its ancestors' ids. The loop ends at an empty level: a payload that the parser reads is finitely
+    deep, and one too deep for the parser is listed by unreadable()."""
     empty = F.array().cast(LIST)
     level = traces.select("trace_id", F.posexplode(items(field(F.col("payload"), "spans"))).alias("pos", "node"))
     level = level.select("trace_id", F.array("pos").alias("path"), "node", empty.alias("ancestors"))
-    done = None
-    for depth in range(MOST_LEVELS):
+    levels = []
+    while True:
         node = F.col("node")
         # Without an id a node is named by its path, which is unique; the running number is given below.
         own = F.when(is_object(node), F.coalesce(*[present(field(node, k)) for k in ("span_id", "spanId", "id")]))
-        level = level.withColumn("own", F.coalesce(own, F.concat(F.lit("#"), F.array_join(F.transform("path", lambda x: x.cast("string")), "."))))
-        done = level if done is None else done.unionByName(level)
-        kids = level.where(is_object(node)).select("trace_id", "path", "ancestors", "own", F.posexplode(items(field(node, "child_spans"))).alias("pos", "node"))
-        level = stored(kids.select("trace_id", F.array_append("path", F.col("pos")).alias("path"), "node", F.array_append("ancestors", F.col("own")).alias("ancestors")), "tree-level")
+        level = stored(level.withColumn("own", F.coalesce(own, F.concat(F.lit("#"), F.array_join(F.transform("path", lambda x: x.cast("string")), ".")))), "tree-level")
         if level.isEmpty():
             break
+        levels.append(level)
+        kids = level.where(is_object(node)).select("trace_id", "path", "ancestors", "own", F.posexplode(items(field(node, "child_spans"))).alias("pos", "node"))
+        level = kids.select("trace_id", F.array_append("path", F.col("pos")).alias("path"), "node", F.array_append("ancestors", F.col("own")).alias("ancestors"))
+    # One scan of all levels' files: a union of as many plans as levels would grow with the depth.
+    done = traces.sparkSession.read.schema(level.schema).parquet(*[f for x in levels for f in x.inputFiles()]) if levels else stored(level, "tree-level")
     from pyspark.sql import Window
 
     node, attrs = F.col("node"), _attributes(F.col("node"))
