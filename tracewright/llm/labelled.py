@@ -15,12 +15,15 @@ def held_out(doc_id):
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """docs ⋈ labels for at most `rows` labelled ids outside the held-out third, chosen by a hash of the id.
+    """docs ⋈ labels for at most `rows` labelled ids that have a document, outside the held-out third, chosen by a hash of the
+    id; one row an id, of repeated documents the one with the least hash.
 
-    Only the chosen ids travel (at most `rows` of them, so they are broadcast); texts stay where they are.
+    Only the chosen ids travel (at most `rows` of them, so they are broadcast); texts stay where they are but for the chosen.
     """
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id")))
     once = known.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    # More than are needed, since not every label has a document here; the bound holds again after the join.
-    chosen = once.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.join(F.broadcast(chosen), "doc_id")
+    here = once.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    chosen = here.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    row = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row")
+    found = docs.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(row).select("_row.*")
+    return found.join(F.broadcast(chosen), "doc_id")
