@@ -61,6 +61,15 @@ def first_match(text: Column, pattern: str) -> tuple[Column, Column, Column]:
     return found, start, start + F.length(found)
 
 
+def decoded_runs(x: Column) -> Column:
+    r"""Left-over runs of \uXXXX decoded, doubly escaped ones too; surrogates go."""
+    run = r"(?:\\u[0-9a-fA-F]{4})+"
+    text = F.replace(x, F.lit("\\\\u"), F.lit("\\u"))
+    plain = lambda r: F.from_json(F.concat(F.lit('["'), F.regexp_replace(r, r"\\u[dD][89a-fA-F][0-9a-fA-F]{2}", ""), F.lit('"]')), "array<string>")[0]
+    parts = F.zip_with(F.split(text, run), F.regexp_extract_all(text, F.lit(run), F.lit(0)), lambda a, r: F.concat(a, F.coalesce(plain(r), F.lit(""))))
+    return F.array_join(parts, "")
+
+
 def matching_text(x: Column) -> Column:
     """Escaped newlines and quotes undone, white space collapsed and trimmed: how quotes are looked up."""
     plain = F.replace(F.replace(F.coalesce(x, F.lit("")), F.lit("\\n"), F.lit(" ")), F.lit('\\"'), F.lit('"'))

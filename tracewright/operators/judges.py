@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import decoded_runs
+
 #: The columns of a normalised trace that each judge metric projects.
 STATES = ("user_query", "agent_states")
 PROJECTIONS = {
@@ -29,17 +31,22 @@ PROJECTIONS = {
     "tool_performance": (*STATES, "agents_tools_info"),
     "prompt_quality": ("agents",),
 }
+#: Judges that are asked by name only; the summarizer sees other metrics' results and never the raw trace.
+OTHER_JUDGES = {"summarizer": ("metrics_results",), "single_judge": (*STATES, "agents_tools_info"), "planner_checker": ("agents", "graph")}
 FINDING = "array<struct<severity_estimate:string,confidence_estimate:string,culprit_agent_candidates:array<struct<agent:string>>,evidence:array<struct<idx:string,role:string,claim:string,quote:string>>,problem_description:string,suggested_fix:string,needs_human_review:boolean>>"
 
 
 def prompts(traces: DataFrame, metrics: list[str] | None = None) -> DataFrame:
     """(trace_id, metric_ord, metric_name, input): the JSON that each metric's judge is shown; the raw `trace` where a row has
-    no user query. Columns that traces lack are left out."""
+    no user query. Columns that traces lack are left out. metrics: names of PROJECTIONS (all of them, if not given) or
+    OTHER_JUDGES."""
     out = None
     for i, name in enumerate(metrics or PROJECTIONS):
-        cols = [c for c in PROJECTIONS[name] if c in traces.columns]
+        cols = [c for c in (PROJECTIONS | OTHER_JUDGES)[name] if c in traces.columns]
         shown = F.to_json(F.struct(*cols)) if cols else F.lit(None).cast("string")
-        if "trace" in traces.columns:
+        if name == "summarizer":
+            shown = decoded_runs(shown)
+        elif "trace" in traces.columns:
             shown = F.when(F.col("user_query").isNotNull(), shown).otherwise(F.col("trace")) if "user_query" in traces.columns else F.col("trace")
         part = traces.select("trace_id", F.lit(i).alias("metric_ord"), F.lit(name).alias("metric_name"), shown.alias("input"))
         out = part if out is None else out.unionByName(part)

@@ -160,7 +160,41 @@ def other_spans(traces: DataFrame) -> DataFrame:
     steps = F.coalesce(F.when(is_object(p), F.coalesce(named, longest)), items(p), F.array(p))
     rows = traces.select("trace_id", F.posexplode(steps).alias("ord", "s"))
     s = F.col("s")
-    return _flat(rows, F.coalesce(s, F.lit("")), F.when(is_object(s), F.coalesce(present(field(s, "agent_name")), present(field(s, "agent")))))
+    # Steps with an index of their own and substeps keep that index, which annotations cite.
+    native = has_key(s, "index") & has_key(s, "substeps")
+    idx = F.coalesce(F.when(native, field(s, "index")), F.col("ord").cast("string"))
+    text = F.when(native, substeps_text(s)).otherwise(F.coalesce(s, F.lit("")))
+    return _flat(rows, text, F.when(is_object(s), F.coalesce(present(field(s, "agent_name")), present(field(s, "agent")))), idx)
+
+
+def substeps_text(step: Column) -> Column:
+    """`role: content` lines of a step's substeps; a Python-literal list is read by swapping quotes, else the step stays as it is."""
+    raw = field(step, "substeps")
+    swapped = F.replace(raw, F.lit("'"), F.lit('"'))
+    subs = F.when(F.try_parse_json(raw).isNotNull(), items(raw)).when(F.try_parse_json(swapped).isNotNull(), items(swapped))
+    line = lambda x: F.when(is_object(x), F.concat(F.coalesce(F.concat(present(field(x, "role")), F.lit(": ")), F.lit("")), F.coalesce(field(x, "content"), x))).otherwise(x)
+    return F.coalesce(F.array_join(F.filter(F.transform(subs, line), lambda x: x != ""), "\n"), step)
+
+
+def _conversation(traces: DataFrame) -> tuple[Column, Column]:
+    given = field(F.col("payload"), "input")
+    return given, items(field(given, "conversation_history"))
+
+
+def conversation_spans(traces: DataFrame) -> DataFrame:
+    """AEGIS records: the steps of input.conversation_history."""
+    rows = traces.select("trace_id", F.posexplode(_conversation(traces)[1]).alias("ord", "s"))
+    s = F.col("s")
+    agent = F.coalesce(present(field(s, "agent_name")), present(field(s, "agent")))
+    return _flat(rows, F.coalesce(s, F.lit("")), F.when(is_object(s), agent))
+
+
+def predicted_answers(traces: DataFrame) -> DataFrame:
+    """(trace_id, predicted_answer) of AEGIS records: input.final_output, else the last content of the conversation."""
+    given, steps = _conversation(traces)
+    said = F.filter(F.transform(steps, lambda x: F.when(is_object(x), field(x, "content"))), lambda x: x != "")
+    final = field(given, "final_output")
+    return traces.select("trace_id", F.coalesce(F.when(final != "", final), F.try_element_at(said, F.lit(-1))).alias("predicted_answer"))
 
 
 BRANCHES = {"trail": tree_spans, "who_and_when": step_spans, "pumpkin": observation_spans, "unknown": other_spans}
