@@ -1,8 +1,8 @@
 """Packing documents into training sequences over a hierarchy of context sizes.
 
-A document's ids (with the closing id) are cut into whole windows of `window` ids and one rest. Rests are routed to tiers
-by length; each shard of rests packs its tiers from the longest to the shortest, a rest going to the fullest window that
-still holds it, so gaps of longer tiers fill from shorter ones. Rests of more than half a window are cut at half a window
+A document's ids (with the closing id) are cut into whole windows of `window` ids and one rest. Each shard packs its pieces
+from the longest to the shortest, a piece going to the fullest window that still holds it: best fit decreasing. All windows
+are of one size; a tier labels a piece's length and does not change where it goes. Rests of more than half a window are cut at half a window
 first, which leaves no piece that only fits alone. Windows are then dealt to step groups so that groups cost about the
 same attention work.
 
