@@ -78,6 +78,45 @@ def test_chains_copies_and_a_common_passage(spark):
     check(spark.createDataFrame([(int(i), rows[k]) for i, k in enumerate(order)], "doc_id long, text string"))
 
 
+def test_a_cloud_on_either_side_of_the_threshold(spark):
+    """Copies with few to many edits, some edits shared, two clusters that overlap, and sizes that differ."""
+    rng = np.random.default_rng(11)
+    word = lambda: f"w{rng.integers(10**6)}"
+    base = [word() for _ in range(150)]
+    other = base[:110] + [word() for _ in range(40)]
+    odd = [(int(k), word()) for k in rng.choice(150, 12, replace=False)]
+    rows = []
+    for i in range(260):
+        copy = list(other if i % 4 == 0 else base)
+        for k in rng.choice(150, rng.integers(0, 9), replace=False):
+            copy[k] = word()
+        for k, w in odd[: rng.integers(0, 5)]:
+            copy[k] = w
+        if i % 9 == 0:
+            copy = copy[: rng.integers(100, 150)]
+        rows.append((i, " ".join(copy)))
+    check(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+def test_pairs_that_leaders_leave_are_found_by_their_rare_shingles(spark):
+    """Without a round of leaders, the search by rare shingles alone finds every link."""
+    rng = np.random.default_rng(6)
+    sets = {}
+    base = np.sort(rng.choice(2**60, 200, replace=False).astype(np.uint64))
+    for i in range(60):
+        keep = base[rng.random(200) > rng.choice([0.02, 0.06, 0.1])]
+        more = rng.choice(np.arange(40, dtype=np.uint64), rng.integers(0, 20), replace=False)
+        sets[i] = np.sort(np.concatenate((keep, more)))
+    link = lambda a, b: 175 * len(np.intersect1d(sets[a], sets[b])) >= 75 * (len(sets[a]) + len(sets[b]))
+    want = {(a, b) for a in sets for b in sets if a != b and link(a, b)}
+    members = spark.createDataFrame([(7, i) for i in sets], "bucket long, id long")
+    table = spark.createDataFrame([(i, len(s), bytearray(s.tobytes())) for i, s in sets.items()], "id long, n long, shingles binary")
+    able = minhash.stored(minhash.with_comp(minhash.able_sets(members, table), None), "t")
+    pairs = minhash.rare_mates(members.select("id"), able)
+    got = {tuple(r) for r in minhash.verified(pairs, able).collect()}
+    assert 0 < len(want) < 60 * 59 and got == want
+
+
 def test_circulant_signatures_estimate_similarity():
     rng = np.random.default_rng(5)
     a = np.unique(rng.integers(0, 2**63, 900, dtype=np.uint64))
@@ -92,12 +131,6 @@ def test_permutations_are_permutations():
     assert len(np.unique(minhash.scatter32(x.copy(), 0x7FEB352D, 0x846CA68B))) == len(x)
 
 
-def test_short_and_long_agree():
-    keys = np.sort(np.random.default_rng(1).integers(0, 2**63, 50, dtype=np.uint64))
-    back = minhash.long(minhash.short(keys))
-    assert len(back) == 50 and ((keys >> np.uint64(16)) == (back >> np.uint64(16))).all()
-
-
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(200, 200)]
     got = dict(map(tuple, minhash.components(spark.createDataFrame(edges, "a long, b long")).collect()))

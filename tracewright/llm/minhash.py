@@ -6,13 +6,16 @@ and the least value over the set is the coordinate. Bands of ROWS coordinates ar
 
 1. One pass over the texts gives each document its set, the set's digest and its band keys. Equal sets are one class, and
    only its representative (the least id) goes on.
-2. Representatives that share a band key with another meet in a bucket. A bucket never emits all its pairs: leaders, one in
-   the first round and more in further ones, are paired with the members whose component is not theirs yet.
-   Pairs are confirmed on the full sets; links merge components; the next round sees only what is still apart. A bucket is
-   finished when every member was compared with, or is connected to, every other. Before that, representatives whose own
-   shingles rule out any link leave: what no other candidate has cannot be in an intersection, so a document that shares
-   a passage and nothing else, or an outlier among near copies, is never compared at all. This test is exact.
-3. Components come from links by alternating least-neighbour steps over checkpointed tables.
+2. Representatives that share a band key with another meet in a bucket. Those whose own shingles rule out any link leave:
+   what no other candidate has cannot be in an intersection, so a document that shares a passage and nothing else is never
+   compared. This test is exact.
+3. A bucket never emits its pairs. Its leader, the member with the largest share of common shingles, is compared on full
+   sets with the members of other components; links merge components. Rounds go on with those that are left, while
+   leaders still find many links.
+4. Members that are in another component than their bucket's leaders are the queries. A query of n shingles whose
+   intersection with y must be at least t has one of its n - t + 1 rarest shingles in y, whatever t is. So it is compared
+   with those that hold one of them, and with no others: exact, and few, as what keeps a query from its leader is rare.
+5. Components come from links by alternating least-neighbour steps over checkpointed tables.
 
 At a similarity of 0.75 a pair misses all 32 bands of 4 rows with probability (1 - 0.75^4)^32 = 5e-6.
 
@@ -26,7 +29,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_bytes, drop_stored, hashed_words, mix64, salted_left_join, slices, starts, stored, stored_with
@@ -35,12 +38,11 @@ SHINGLE = 5
 BANDS, ROWS = 32, 4
 #: Link if 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: How often documents that cannot be linked are sought; each time, those found no longer count as others' company.
-SIEVINGS = 1
-#: Leaders of a bucket in each round; the last number holds for all further rounds.
-LEADERS = (1, 8, 64)
-#: Bytes of a shingle's hash that are stored for verification: at 48 bits, two sets of 10,000 meet by chance once in 3e6.
-KEEP_BYTES = 6
+#: Another round of leaders follows while more than this share of a round's members is in other components than their leader.
+#: Nor does one follow a round that linked less than this share of its pairs.
+LEFT_FOR_A_ROUND, WORTH_A_ROUND = 0.25, 0.1
+#: Sides of a join with so many rows of one number at most are sent to all executors (some 16 MB); more are shuffled.
+FEW_ROWS = 1_000_000
 STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -95,17 +97,6 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
     return mix64(out + np.arange(1, BANDS + 1, dtype=np.uint64) * STEPS[4]).view(np.int64)
 
 
-def short(keys: np.ndarray) -> bytes:
-    """Sorted hashes, KEEP_BYTES bytes each."""
-    return keys.view(np.uint8).reshape(-1, 8)[:, 8 - KEEP_BYTES :].tobytes()
-
-
-def long(blob: bytes) -> np.ndarray:
-    out = np.zeros((len(blob) // KEEP_BYTES, 8), np.uint8)
-    out[:, 8 - KEEP_BYTES :] = np.frombuffer(blob, np.uint8).reshape(-1, KEEP_BYTES)
-    return out.view(np.uint64).ravel()
-
-
 def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, class_key (the set's digest; null if empty), bands (empty if the set is)."""
 
@@ -132,7 +123,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
             texts = as_bytes(b.column(1))
             for i, j in slices(texts, 1 << 20):
                 keys, counts = shingle_sets(texts[i:j])
-                blobs = [short(keys[s : s + n]) for s, n in zip(starts(counts).tolist(), counts.tolist(), strict=True)]
+                blobs = [keys[s : s + n].tobytes() for s, n in zip(starts(counts).tolist(), counts.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(counts, pa.int64()), pa.array(blobs, pa.binary())], ["id", "n", "shingles"])
 
     return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, n long, shingles binary").dropDuplicates(["id"])
@@ -143,23 +134,20 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            lefts, rights = batch.column(2), batch.column(3)
             ok = []
-            last, own = None, None
-            for x, y in zip(lefts, rights, strict=True):
-                x, y = x.as_py(), y.as_py()
-                if x != last:
-                    last, own = x, long(x)
-                other = long(y)
-                both = len(np.intersect1d(own, other, assume_unique=True))
-                ok.append(100 * both >= PERCENT * (len(own) + len(other) - both))
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(100 * both >= PERCENT * (len(x) + len(y) - both))
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
     small, large = F.least("n", "n_b"), F.greatest("n", "n_b")
-    sizes = sets.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("right"))
-    met = pairs.join(sizes, "b").join(sets.withColumnRenamed("id", "a"), "a").where(100 * small >= PERCENT * large)
-    return met.select("a", "b", F.col("shingles").alias("left"), "right").mapInArrow(run, "a long, b long")
+    # Leaders are on the side that is joined last, as many pairs may name one.
+    own = sets.select(F.col("id").alias("a"), "n", F.col("shingles").alias("left"))
+    other = sets.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("right"))
+    met = pairs.join(own, "a").join(other, "b").where(100 * small >= PERCENT * large)
+    return met.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
 def marks() -> tuple[Column, Column]:
@@ -201,78 +189,120 @@ def with_comp(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
     return rows.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
 
+def few(df: DataFrame, label: str) -> DataFrame:
+    """df, written; sent to all executors if it has no more than FEW_ROWS short rows, else left to a shuffle."""
+    out, (n,) = stored_with(df, label, F.count(F.lit(1)))
+    return F.broadcast(out) if n <= FEW_ROWS else out
+
+
 def crowded(members: DataFrame) -> DataFrame:
-    """members(bucket, id) of buckets with two or more rows. Counts are summed map-side; only they are joined back."""
+    """members(bucket, id, ...) of buckets with two or more rows. Counts are summed map-side; only they are joined back."""
     many = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_in")).where("n_in > 1").select("bucket")
-    return members.join(many, "bucket", "left_semi")
+    return members.join(few(many, "crowded"), "bucket", "left_semi")
 
 
-def shingle_rows(sets: DataFrame) -> DataFrame:
-    """(shingle, id) of sets(id, n, shingles)."""
+def shingle_rows(sets: DataFrame, *more: str) -> DataFrame:
+    """(shingle, id and the columns in `more`) of sets(id, shingles, ...)."""
 
     def run(batches):
         for b in batches:
-            ids, blobs = b.column(0).to_numpy(), b.column(1).to_pylist()
+            blobs = [x.as_buffer() for x in b.column(0)]
             for i, j in slices(blobs, 1 << 20):
-                keys = long(b"".join(blobs[i:j])).view(np.int64)
-                counts = [len(x) // KEEP_BYTES for x in blobs[i:j]]
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(ids[i:j], counts))], ["shingle", "id"])
+                counts = np.array([len(x) // 8 for x in blobs[i:j]])
+                at = pa.array(np.repeat(np.arange(i, j), counts))
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(blobs[i:j]), np.int64)), *[b.column(k).take(at) for k in range(1, b.num_columns)]], ["shingle", *names])
+
+    names = ["id", *more]
+    kinds = dict(sets.dtypes)
+    return sets.select("shingles", *names).mapInArrow(run, "shingle long, " + ", ".join(f"{c} {kinds[c]}" for c in names))
 
-    return sets.select("id", "shingles").mapInArrow(run, "shingle long, id long")
 
+def reaches(overlap: Column, n: Column, m: Column) -> Column:
+    """Whether sets of n and m shingles with so many in common are linked: (100 + P) * overlap >= P * (n + m)."""
+    return (100 + PERCENT) * overlap >= PERCENT * (n + m)
 
-def linkable(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """members less those that cannot reach PERCENT with any other of them.
 
-    An intersection holds no shingle that only one set has, so it is at most n - own; with a set of m shingles, PERCENT
-    needs (100 + PERCENT) * intersection >= PERCENT * (n + m), and m is at least the least n of the bucket-mates.
+def able_sets(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """sets that may reach PERCENT with a bucket-mate, with `shared`, the number of shingles that another set has too, and
+    `least`, a bound on the size of bucket-mates that can be linked.
+
+    An intersection holds no shingle that only one set has, so it is at most `shared`; mates have the least n of the
+    bucket or more, and PERCENT of n or more.
     """
-    sizes = sets.select("id", "n")
     own = shingle_rows(sets).groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
-    sized = members.join(sizes, "id")
-    least = sized.groupBy("bucket").agg(F.min("n").alias("m"))
-    mate = sized.join(least, "bucket").groupBy("id").agg(F.min("m").alias("m"))
-    able = sizes.join(own, "id", "left").join(mate, "id").withColumn("own", F.coalesce("own", F.lit(0)))
-    enough = (100 + PERCENT) * (F.col("n") - F.col("own")) * 100 >= PERCENT * (F.col("n") * 100 + F.greatest(F.col("m") * 100, PERCENT * F.col("n")))
-    return members.join(able.where(enough).select("id"), "id", "left_semi").select("bucket", "id")
+    sized = members.join(few(sets.select("id", "n"), "sizes"), "id")
+    floor = few(sized.groupBy("bucket").agg(F.min("n").alias("m")), "floor")
+    mate = sized.join(floor, "bucket").groupBy("id").agg(F.min("m").alias("m"))
+    able = sets.join(mate, "id").join(own, "id", "left").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0)))
+    able = able.withColumn("least", F.greatest("m", F.ceil(F.col("n") * PERCENT / 100)))
+    return able.where(reaches(F.col("shared"), F.col("n"), F.col("least"))).select("id", "n", "shared", "least", "shingles")
+
+
+def rare_mates(queries: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs(a, b) of every query id a with all sets b of other components that it can be linked to and that hold one of its
+    rarest shingles.
+
+    If the first shingle of a, by rising frequency, that b holds has j before it, their intersection is n - j at most: that
+    bounds b's size, and j itself. Any order would do; the frequency only makes candidates few.
+    """
+    asked = shingle_rows(sets.join(queries, "id", "left_semi"), "n", "shared", "least", "comp")
+    often = shingle_rows(sets, "comp").groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    rising = Window.partitionBy("id").orderBy("c", "shingle")
+    ranked = asked.join(often, "shingle").withColumn("j", F.row_number().over(rising) - 1)
+    alone = (F.col("lo") == F.col("comp")) & (F.col("hi") == F.col("comp"))
+    first = ranked.where(reaches(F.col("n") - F.col("j"), F.col("n"), F.col("least")) & ~alone).select("shingle", "id", "n", "shared", "comp", "j")
+    held = shingle_rows(sets, "n", "shared", "comp").toDF("of", "b", "n_b", "shared_b", "comp_b")
+    fits = (F.col("shingle") == F.col("of")) & (F.col("comp") != F.col("comp_b")) & reaches(F.least(F.col("n") - F.col("j"), "shared", "shared_b"), F.col("n"), F.col("n_b"))
+    return held.join(few(first, "first"), fits).select(F.col("id").alias("a"), "b").distinct()
+
+
+def settled(live: DataFrame, sets: DataFrame, links: DataFrame | None, comps: DataFrame | None) -> DataFrame | None:
+    """(id, comp) once every member of live(bucket, id) is compared with, or connected to, all of its bucket.
+
+    Members in their bucket's commonest component are connected; the others are the queries. Of a bucket of two, the pair
+    was compared.
+    """
+    now = with_comp(live, comps)
+    each = now.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n_in"))
+    common = each.groupBy("bucket").agg(F.max(F.struct("n_in", "comp")).alias("x"), F.sum("n_in").alias("n_in"))
+    common = few(common.where("n_in > 2").select("bucket", F.col("x.comp").alias("most")), "common")
+    queries, (n,) = stored_with(now.join(common, "bucket").where("comp <> most").select("id").distinct(), "queries", F.count(F.lit(1)))
+    if not n:
+        return comps
+    queries = F.broadcast(queries) if n <= FEW_ROWS else queries
+    more = verified(rare_mates(queries, stored(with_comp(sets, comps), "sets")), sets)
+    return components(more if links is None else links.unionByName(more))
 
 
 def near_components(reps: DataFrame, docs: DataFrame) -> DataFrame | None:
     """(id, comp) of the representatives(id, bands) that are linked to a lesser id; None if nothing is linked."""
     members = stored(crowded(reps.select(F.explode("bands").alias("bucket"), "id")), "buckets")
-    # Only documents that meet another need their sets; Spark broadcasts their ids while they are few, and else shuffles.
-    met = members.select(F.col("id").alias("doc_id")).distinct()
+    # Only documents that meet another need their sets.
+    met = few(members.select(F.col("id").alias("doc_id")).distinct(), "met")
     sets = stored(full_sets(docs.select("doc_id", "text").join(met, "doc_id", "left_semi")), "sets")
-    for _ in range(SIEVINGS):
-        left = stored(crowded(linkable(members, sets)), "buckets")
-        fewer = stored(sets.join(left.select("id").distinct(), "id", "left_semi"), "sets")
-        drop_stored(members)
-        drop_stored(sets)
-        members, sets = left, fewer
-    members, (n,) = stored_with(members, "buckets", F.count(F.lit(1)))
-    edges = tried = None
-    turn = 0
-    while n:
-        k = LEADERS[min(turn, len(LEADERS) - 1)]
-        # edges name a smaller id of the same component for most ids by now; that is enough to pass over settled pairs.
-        comps = None if edges is None else edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("comp"))
-        now = with_comp(members, comps).select("bucket", "id", "comp")
-        seat, one = F.pmod(F.xxhash64("id"), F.lit(k)), F.struct("id", "comp")
-        heads = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *[F.min(F.when(seat == i, one)).alias(f"x{i}") for i in range(k)])
-        heads = heads.where("lo <> hi").select("bucket", F.array_compact(F.array(*[f"x{i}" for i in range(k)])).alias("leaders"))
-        live, (n_live,) = stored_with(now.join(heads, "bucket"), "live", F.count(F.lit(1)), rows=n)
-        # Most members are in their leaders' component already; only the others are paired.
-        each = live.select("id", F.explode(F.filter("leaders", lambda x: x["comp"] != F.col("comp"))).alias("x"))
-        pairs = each.select(F.least("id", "x.id").alias("a"), F.greatest("id", "x.id").alias("b")).distinct()
-        pairs, (n_pairs,) = stored_with(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs", F.count(F.lit(1)), rows=n_live * k)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = verified(pairs, sets).select(F.col("b").alias("u"), F.col("a").alias("v"))
-        more, (n_edges, _) = stored_with(found if edges is None else found.unionByName(edges), "links", *marks(), rows=n_pairs)
-        edges, _ = star_step(more, "edges", 2 * n_edges)
-        rest = live.where(~F.array_contains(F.transform("leaders", lambda x: x["id"]), F.col("id"))).select("bucket", "id")
-        members, (n,) = stored_with(rest, "buckets", F.count(F.lit(1)), rows=n_live)
-        turn += 1
-    return None if edges is None else components(edges.select(F.col("u").alias("a"), F.col("v").alias("b")))
+    able = stored(able_sets(members, sets), "sets")
+    share = few(able.select("id", (F.col("shared") / F.col("n")).alias("share")), "share")
+    live, (n,) = stored_with(crowded(members.join(share, "id")), "live", F.count(F.lit(1)))
+    drop_stored(members)
+    drop_stored(sets)
+    links = comps = None
+    rest, n_rest, before = live, n, 0
+    while n_rest > LEFT_FOR_A_ROUND * before:
+        now = with_comp(rest, comps)
+        heads = now.groupBy("bucket").agg(F.max(F.struct("share", (-F.col("id")).alias("lead"), "comp")).alias("x"))
+        heads = few(heads.select("bucket", (-F.col("x.lead")).alias("lead"), F.col("x.comp").alias("lead_comp")), "heads")
+        led = stored(now.join(heads, "bucket").where("id <> lead AND comp <> lead_comp").select("bucket", "id", "share", "lead"), "led")
+        pairs, (n_pairs,) = stored_with(led.select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct(), "pairs", F.count(F.lit(1)))
+        found, (n_found,) = stored_with(verified(pairs, able), "links", F.count(F.lit(1)))
+        links = found if links is None else links.unionByName(found)
+        comps = few(components(links), "comps")
+        if n_found < WORTH_A_ROUND * n_pairs:
+            break
+        before = n_rest
+        own = with_comp(led, comps).select("bucket", "share", F.col("id").alias("of"), F.col("comp").alias("own_comp"), F.col("lead").alias("id"))
+        apart = with_comp(own, comps).where("own_comp <> comp")
+        rest, (n_rest,) = stored_with(apart.select("bucket", F.col("of").alias("id"), "share"), "rest", F.count(F.lit(1)))
+    return settled(live, able, links, comps) if n else None
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
