@@ -26,9 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a temporary one only where the session names none."""
+    """The folder that all executors share (spark.checkpoint.dir). Only a local session, as in tests, may do without one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = os.path.join(tempfile.gettempdir(), f"tracewright-{os.getpid()}")
         spark.conf.set("spark.checkpoint.dir", where)
     return f"{where.rstrip('/')}/tracewright"

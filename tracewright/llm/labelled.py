@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,3 +31,16 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataF
     row = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row")
     found = docs.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(row).select("_row.*")
     return found.join(F.broadcast(chosen), "doc_id")
+
+
+def fitted(rows: DataFrame, fit: Callable[[pa.Table | None], dict]) -> dict:
+    """fit(all rows by doc_id, or None without any) in one task: rows are a bounded sample's features, so one task can hold
+    them, and the driver gets the model alone. A lost executor costs one more try."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        model = fit(pa.Table.from_batches(got).sort_by("doc_id") if got else None)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    model = rows.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(model[0]["model"]) if model else fit(None)

@@ -1,4 +1,4 @@
-"""Small models over sparse rows, trained on a bounded sample in the driver and scored in tasks."""
+"""Small models over sparse rows, trained on a bounded sample in one task and scored in all."""
 
 from __future__ import annotations
 
@@ -9,10 +9,10 @@ class Rows:
     """Sparse rows: values val at columns idx, row r from ptr[r] to ptr[r + 1]."""
 
     def __init__(self, idx, val, counts):
-        self.idx, self.val = np.asarray(idx, np.int64), np.asarray(val, np.float64)
+        self.idx, self.val = np.asarray(idx, np.int32), np.asarray(val, np.float32)
         self.counts = np.asarray(counts, np.int64)
         self.ptr = np.concatenate(([0], np.cumsum(self.counts)))
-        self.row = np.repeat(np.arange(len(self.counts)), self.counts)
+        self.row = np.repeat(np.arange(len(self.counts), dtype=np.int32), self.counts)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.val * w[self.idx], len(self.counts))
@@ -21,8 +21,9 @@ class Rows:
         return np.bincount(self.idx, self.val * g[self.row], dim)
 
     def take(self, rows: np.ndarray) -> Rows:
-        pos = np.concatenate([np.arange(self.ptr[r], self.ptr[r + 1]) for r in rows]) if len(rows) else np.zeros(0, np.int64)
-        return Rows(self.idx[pos], self.val[pos], self.counts[rows])
+        n = self.counts[rows]
+        pos = np.repeat(self.ptr[rows] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(rows) else np.zeros(0, np.int64)
+        return Rows(self.idx[pos], self.val[pos], n)
 
 
 def sigmoid(z):

@@ -107,18 +107,19 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = labelled.SAMPLE_ROWS) ->
                 cells = [pa.array([ids.astype("<u2").tobytes()]), pa.array([val.astype("<f4").tobytes()])]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(2).slice(i, 1), *cells], ["doc_id", "quality", "ids", "val"])
 
+    def trained(got: pa.Table | None) -> dict:
+        if got is None:
+            return {"w": np.zeros(2 << BITS, np.float32), "b": 0.0, "a": 1.0, "c": 0.0}
+        ids = [np.frombuffer(x, "<u2") for x in got["ids"].to_pylist()]
+        x = Rows(np.concatenate(ids), np.frombuffer(b"".join(got["val"].to_pylist()), "<f4"), [len(i) for i in ids])
+        y = got["quality"].to_numpy() > 0
+        part = np.arange(len(ids)) % 4 == 3
+        w, b = fit_logistic(x.take(np.flatnonzero(~part)), y[~part].astype(float), 2 << BITS)
+        a, c = fit_platt(x.take(np.flatnonzero(part)).dot(w) + b, y[part].astype(float))
+        return {"w": w.astype(np.float32), "b": b, "a": a, "c": c}
+
     chosen = labelled.sample(docs.select("doc_id", "text"), labels, rows).select("doc_id", "text", "quality")
-    got = chosen.mapInArrow(features, "doc_id long, quality int, ids binary, val binary").collect()
-    got.sort(key=lambda r: r["doc_id"])
-    if not got:
-        return {"w": np.zeros(2 << BITS, np.float32), "b": 0.0, "a": 1.0, "c": 0.0}
-    ids = [np.frombuffer(r["ids"], "<u2") for r in got]
-    x = Rows(np.concatenate(ids), np.concatenate([np.frombuffer(r["val"], "<f4") for r in got]), [len(i) for i in ids])
-    y = np.array([r["quality"] > 0 for r in got], np.float64)
-    part = np.arange(len(got)) % 4 == 3
-    w, b = fit_logistic(x.take(np.flatnonzero(~part)), y[~part], 2 << BITS)
-    a, c = fit_platt(x.take(np.flatnonzero(part)).dot(w) + b, y[part])
-    return {"w": w.astype(np.float32), "b": b, "a": a, "c": c}
+    return labelled.fitted(chosen.mapInArrow(features, "doc_id long, quality int, ids binary, val binary"), trained)
 
 
 def measured(texts: list[bytes], model: dict) -> dict[str, np.ndarray]:
