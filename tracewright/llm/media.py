@@ -12,6 +12,7 @@ are carried or ignored as named.
 from __future__ import annotations
 
 import hashlib
+import html as markup
 import struct
 import zlib
 from html.parser import HTMLParser
@@ -150,26 +151,46 @@ def feature_of(payload: bytes) -> str:
     return f"sum={total};distinct={len(np.flatnonzero(np.bincount(x, minlength=256)))};ahash={np.packbits(bits).tobytes().hex()}"
 
 
-def text_pages(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, html, digest, media): each text as the media of an interleaved page; media is null where the task
-    has stored that digest already."""
+def text_page(text: str, digest: str) -> str:
+    """A page of the text's lines as paragraphs, with the text's own payload referenced half way down: half of the lines, the
+    figure and its caption (the number of bytes), then the other half."""
+    lines = [f"<p>{markup.escape(x)}</p>" for x in text.split("\n") if x.split()]
+    figure = f'<figure><img src="{PREFIX}{digest}"><figcaption>{len(text.encode())}</figcaption></figure>'
+    half = len(lines) // 2
+    return "".join(["<article>", *lines[:half], figure, *lines[half:], "</article>"])
+
+
+def payloads(docs: DataFrame) -> DataFrame:
+    """(doc_id, digest, media): each text as media; media is null where the task has stored that digest already."""
 
     def run(batches):
         for b in batches:
             texts = as_bytes(b.column(1))
             seen: set = set()
             for i, j in slices(texts):
-                cols: list[list] = [[], [], [], []]
+                found, media = [], []
                 for t in texts[i:j]:
                     payload = padded(t)
                     digest = hashlib.sha256(payload).hexdigest()
-                    page = f'<article><p>Document of {len(t)} bytes</p><figure><img src="{PREFIX}{digest}"><figcaption>{len(t)}</figcaption></figure></article>'
-                    for c, v in zip(cols, (len(t), page, digest, None if digest in seen else png_of(payload)), strict=True):
-                        c.append(v)
+                    found.append(digest)
+                    media.append(None if digest in seen else png_of(payload))
                     seen.add(digest)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *[pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.binary()), strict=True)]], ["doc_id", "n_bytes", "html", "digest", "media"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(found, pa.string()), pa.array(media, pa.binary())], ["doc_id", "digest", "media"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, digest string, media binary")
+
+
+def text_pages(docs: DataFrame) -> DataFrame:
+    """(doc_id, html): each text as an interleaved page."""
+
+    def run(batches):
+        for b in batches:
+            texts = as_bytes(b.column(1))
+            for i, j in slices(texts):
+                pages = [text_page(t.decode("utf-8", "replace"), hashlib.sha256(padded(t)).hexdigest()) for t in texts[i:j]]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(pages, pa.string())], ["doc_id", "html"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_bytes long, html string, digest string, media binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, html string")
 
 
 def media_features(store: DataFrame) -> DataFrame:
@@ -197,12 +218,18 @@ def resolved(sequences: DataFrame, features: DataFrame, key: str) -> DataFrame:
 
 
 def media_report(docs: DataFrame) -> DataFrame:
-    """Every text stored as media, referenced from an interleaved page, read back and joined to its reference.
+    """Every text stored as media, referenced from the interleaved page of its own lines, read back and joined to the reference.
 
-    Payloads are written once and never shuffled: their features (a short row a digest) are what the join moves.
+    Payloads are written once and never shuffled: their features (a short row a digest) are what the join moves. Pages are
+    parsed as they are made; of their items only the references travel. position: the reference's place in its sequence of
+    n_items; before: the text block that precedes it.
     """
-    store = stored(text_pages(docs), "media")
-    items = resolved(parsed(store, "doc_id"), media_features(store), "doc_id").where("kind = 'media'")
+    store = stored(payloads(docs), "media")
+    seen = parsed(text_pages(docs), "doc_id")
+    at = F.col("x.position")
+    refs = seen.select("doc_id", F.size("sequence").alias("n_items"), "sequence", F.explode(F.filter("sequence", lambda x: x["kind"] == "media")).alias("x"))
+    refs = refs.select("doc_id", "x.*", "n_items", F.when(at > 0, F.get("sequence", at - 1)["text"]).alias("before"))
+    items = salted_left_join(refs, media_features(store), "digest", "doc_id")
     return items.select(
-        "doc_id", F.col("caption").cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position",
+        "doc_id", F.col("caption").cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "n_items", "before",
     )

@@ -2,7 +2,7 @@
 
 The cache holds (content digest, tokenizer digest, count). A document's digest is that of its text with runs of ASCII
 white space as one blank, which this kind of tokenizer counts alike. Documents join the cache; of the digests that it
-lacks, each is encoded once, and the new counts are appended.
+lacks, each is encoded once, and the new counts are appended. `ingested` does so batch by batch over a stored cache table.
 
 Defined cases: a null text counts as empty (0 tokens, 0 bytes); texts that differ in white space alone share a digest;
 repeated rows stay repeated; an empty table gives an empty result; other columns are ignored.
@@ -10,13 +10,15 @@ repeated rows stay repeated; an empty table gives an empty result; other columns
 
 from __future__ import annotations
 
+import hashlib
 import re
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, salted_left_join, slices, stored
+from .common import as_bytes, salted_left_join, scratch, slices, stored
 from .packing import LETTERS, NUMBERS, SPACES, SPECIAL
 
 LIMIT = 2048
@@ -67,27 +69,61 @@ def encode_misses(misses: DataFrame, path: str) -> DataFrame:
 
 
 def tokenizer_digest(path: str) -> str:
-    import hashlib
-
     with open(path, "rb") as f:
         return hashlib.sha256(f.read()).hexdigest()
 
 
+def digests(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, content (the digest of the normalised text) and text of every row."""
+    text = F.coalesce("text", F.lit(""))
+    plain = F.trim(F.regexp_replace(text, r"[ \t\n\x0B\f\r]+", " "))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(plain, 256).alias("content"), text.alias("text"))
+
+
+def missing_counts(rows: DataFrame, path: str, cache: DataFrame | None) -> DataFrame:
+    """Cache rows (content, tokenizer, n_tokens) of the distinct digests of digests() that the cache lacks."""
+    fresh = rows.select("content", "text").dropDuplicates(["content"])
+    if cache is not None:
+        fresh = fresh.join(of_version(cache, path).select("content"), "content", "left_anti")
+    return encode_misses(fresh, path).select("content", F.lit(tokenizer_digest(path)).alias("tokenizer"), "n_tokens")
+
+
+def of_version(cache: DataFrame, path: str) -> DataFrame:
+    return cache.where(F.col("tokenizer") == tokenizer_digest(path)).select("content", "n_tokens")
+
+
+def joined_counts(rows: DataFrame, known: DataFrame, limit: int) -> DataFrame:
+    """Counts for each row of digests(), from known(content, n_tokens)."""
+    out = salted_left_join(rows.select("doc_id", "n_bytes", "content"), known, "content", "doc_id")
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+
+
 def count_tokens(docs: DataFrame, path: str, cache: DataFrame | None = None, limit: int = LIMIT) -> tuple[DataFrame, DataFrame]:
     """(counts for each document, cache rows to append): append the second, and a later call encodes only what is new.
 
     cache: content string, tokenizer string, n_tokens long. Only the rows of this tokenizer's digest are used.
     """
-    version = tokenizer_digest(path)
-    text = F.coalesce("text", F.lit(""))
-    plain = F.trim(F.regexp_replace(text, r"[ \t\n\x0B\f\r]+", " "))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(plain, 256).alias("content"), text.alias("text"))
-    fresh = rows.select("content", "text").dropDuplicates(["content"])
-    known = cache.where(F.col("tokenizer") == version).select("content", "n_tokens") if cache is not None else None
-    if known is not None:
-        fresh = fresh.join(known.select("content"), "content", "left_anti")
-    new = stored(encode_misses(fresh, path), "token-counts")
-    every = new if known is None else new.unionByName(known)
-    out = salted_left_join(rows.select("doc_id", "n_bytes", "content"), every, "content", "doc_id")
-    counts = out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
-    return counts, new.select("content", F.lit(version).alias("tokenizer"), "n_tokens")
+    rows = digests(docs)
+    new = stored(missing_counts(rows, path, cache), "token-counts")
+    known = new.select("content", "n_tokens") if cache is None else new.select("content", "n_tokens").unionByName(of_version(cache, path))
+    return joined_counts(rows, known, limit), new
+
+
+def append_misses(docs: DataFrame, path: str, where: str) -> None:
+    """Encode what the cache table at `where` lacks, and append it. The table is made if it is not there; a batch that was cut
+    off leaves nothing behind, as a write is committed whole."""
+    spark = docs.sparkSession
+    schema = "content string, tokenizer string, n_tokens long"
+    spark.createDataFrame([], schema).write.mode("append").parquet(where)
+    missing_counts(digests(docs), path, spark.read.schema(schema).parquet(where)).write.mode("append").parquet(where)
+
+
+def ingested(docs: DataFrame, path: str, where: str | None = None, batches: int = 2, limit: int = LIMIT) -> DataFrame:
+    """Counts for each document, taken in batches through a stored cache: each batch is joined to the counts that earlier ones
+    stored, encodes its distinct misses and appends them; the counts are then read from the cache for all rows."""
+    spark = docs.sparkSession
+    where = where or f"{scratch(spark)}/token-cache-{uuid.uuid4().hex}"
+    batch = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(batches))
+    for i in range(batches):
+        append_misses(docs.where(batch == i), path, where)
+    return joined_counts(digests(docs), of_version(spark.read.parquet(where), path), limit)
