@@ -29,7 +29,7 @@ def op3_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_digest_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))[0]
+    return tokens.ingested(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
 def op5_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +109,8 @@ def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.secrets_report(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return secrets.secrets_report(docs, secrets.ingested(docs))
 
 
 def _spans_sql(k: int) -> str:

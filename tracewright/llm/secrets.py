@@ -10,10 +10,13 @@ results; repeated rows stay repeated; an empty table gives an empty result; othe
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import salted_left_join
+from .common import salted_left_join, scratch
 
 #: Kinds in the order that breaks ties of equal starts: name, pattern, and the group whose length must reach `least`.
 #: `[0-9a-f]{16,}` finds what greedy `[0-9a-f]+` finds less the runs under 16, and likewise AKIA: a run that is too short
@@ -40,25 +43,49 @@ RULE_VERSION = "2024-1"
 PREFILTER = "|".join([BASE_RULES[0][1].rpartition(r"\x20*[")[0], *(p for _, p, _, _ in RULES[1:])])
 
 
+SPAN = "array<struct<start:int,k:int,end:int>>"
+#: Running sums are taken within runs of so many elements, so that they cost little more than one step an element.
+RUN = 128
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is worked out once, however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(xs: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """The running total of an integer array under `join` (a sum or a maximum of numbers from 0), the own element included."""
+    zero = F.lit(0)
+    total = lambda ys: F.aggregate(ys, zero, join)
+    runs = lambda ys: F.transform(F.sequence(zero, F.floor(F.size(ys) / RUN).cast("int")), lambda r: total(F.slice(ys, r * RUN + 1, RUN)))
+    before = lambda rs: F.transform(rs, lambda r, i: total(F.slice(rs, 1, i)))
+
+    def within(ys: Column, firsts: Column) -> Column:
+        of = lambda i: F.floor(i / RUN).cast("int")
+        return F.transform(ys, lambda x, i: join(F.get(firsts, of(i)), total(F.slice(ys, of(i) * RUN + 1, i - of(i) * RUN + 1))))
+
+    return bound(xs, lambda ys: bound(runs(ys), lambda rs: bound(before(rs), lambda firsts: within(ys, firsts))))
+
+
 def kind_spans(text: Column, k: int, rules: tuple = RULES) -> Column:
     """array<struct<start,k,end>> of rule k: leftmost non-overlapping matches, code points, end exclusive.
 
-    The text between matches comes from split(), the matches from regexp_extract_all(), so lengths sum to offsets.
+    The text between matches comes from split(), the matches from regexp_extract_all(), so running sums of lengths are offsets.
     """
     _, pattern, group, least = rules[k]
+    sizes = lambda xs: F.transform(xs, lambda x: F.length(x))
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    sized = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    pieces = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("hit"), sized.alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,k:int,end:int>>").alias("out"))
+    hits = sizes(found)
+    valued = sizes(F.regexp_extract_all(text, F.lit(pattern), F.lit(group))) if group else hits
+    gaps = sizes(F.split(text, pattern, -1))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.coalesce(F.length(x["hit"]), F.lit(0))
-        ok = F.coalesce(F.length(x["value"]) >= least, F.lit(False))
-        span = F.struct(begin.alias("start"), F.lit(k).alias("k"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(ok, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+    def spans(x: Column) -> Column:
+        steps = F.zip_with(x["hits"], F.slice(x["gaps"], 1, F.size(x["hits"])), lambda h, g: h + g)
+        ends = running(steps, lambda a, b: a + b)
+        each = F.zip_with(F.arrays_zip(ends.alias("e"), x["hits"].alias("h")), x["valued"], lambda s, v: F.struct((s["e"] - s["h"]).alias("start"), F.lit(k).alias("k"), s["e"].alias("end"), v.alias("v")))
+        return F.transform(F.filter(each, lambda s: s["v"] >= least), lambda s: F.struct(s["start"], s["k"], s["end"]))
 
-    return F.aggregate(pieces, start, step, lambda acc: acc["out"])
+    return bound(F.struct(hits.alias("hits"), valued.alias("valued"), gaps.alias("gaps")), spans)
 
 
 def unseen_blobs(paths: DataFrame, ledger: DataFrame | None, rule_version: str) -> DataFrame:
@@ -73,7 +100,7 @@ def scan_blobs(blobs: DataFrame, rules: tuple = RULES, rule_version: str = RULE_
     """Ledger rows (blob, rule_version, spans) of blobs(blob, text)."""
     text = F.col("text")
     spans = F.when(text.rlike(PREFILTER) if rules is RULES else F.lit(True), F.array_sort(F.flatten(F.array(*[kind_spans(text, k, rules) for k in range(len(rules))]))))
-    return blobs.select("blob", F.lit(rule_version).alias("rule_version"), F.coalesce(spans, F.array().cast("array<struct<start:int,k:int,end:int>>")).alias("spans"))
+    return blobs.select("blob", F.lit(rule_version).alias("rule_version"), F.coalesce(spans, F.array().cast(SPAN)).alias("spans"))
 
 
 def content_addressed(docs: DataFrame, path: str = "doc_id", text: str = "text") -> DataFrame:
@@ -81,6 +108,13 @@ def content_addressed(docs: DataFrame, path: str = "doc_id", text: str = "text")
     return docs.select(F.col(path).alias("path"), F.sha2(body, 256).alias("blob"), body.alias("text"))
 
 
+def found_in(paths: DataFrame, ledger: DataFrame, rule_version: str = RULE_VERSION) -> DataFrame:
+    """(path, blob, spans) for every row of paths(path, blob), from the ledger; spans are empty where it has none."""
+    dirty = ledger.where((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).select("blob", "spans")
+    joined = salted_left_join(paths.select("path", "blob"), dirty, "blob", "path")
+    return joined.withColumn("spans", F.coalesce("spans", F.array().cast(SPAN)))
+
+
 def find_secrets(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple = RULES, rule_version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
     """(findings, new ledger rows): findings has (path, blob, spans) for every row of docs, spans empty where clean.
 
@@ -88,12 +122,22 @@ def find_secrets(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple
     """
     paths = content_addressed(docs)
     fresh = scan_blobs(unseen_blobs(paths, ledger, rule_version).select("blob", "text"), rules, rule_version)
-    known = fresh
-    if ledger is not None:
-        known = known.unionByName(ledger.where(F.col("rule_version") == rule_version).select("blob", "rule_version", "spans"))
-    dirty = known.where(F.size("spans") > 0).select("blob", "spans")
-    joined = salted_left_join(paths.select("path", "blob"), dirty, "blob", "path")
-    return joined.withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:int,k:int,end:int>>"))), fresh
+    known = fresh if ledger is None else fresh.unionByName(ledger.select(*fresh.columns))
+    return found_in(paths, known, rule_version), fresh
+
+
+def ingested(docs: DataFrame, where: str | None = None, batches: int = 2, rules: tuple = RULES, rule_version: str = RULE_VERSION) -> DataFrame:
+    """The ledger table at `where` after all of docs went through it, batch by batch: each batch is joined to the pairs that are
+    stored, scans the blobs that none has, and appends them. The table is made if it is not there."""
+    spark = docs.sparkSession
+    where = where or f"{scratch(spark)}/ledger-{uuid.uuid4().hex}"
+    schema = f"blob string, rule_version string, spans {SPAN}"
+    spark.createDataFrame([], schema).write.mode("append").parquet(where)
+    batch = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(batches))
+    for i in range(batches):
+        ledger = spark.read.schema(schema).parquet(where)
+        scan_blobs(unseen_blobs(content_addressed(docs.where(batch == i)), ledger, rule_version).select("blob", "text"), rules, rule_version).write.mode("append").parquet(where)
+    return spark.read.schema(schema).parquet(where)
 
 
 def spelled(spans: Column, rules: tuple = RULES) -> Column:
@@ -103,8 +147,9 @@ def spelled(spans: Column, rules: tuple = RULES) -> Column:
 
 
 def secrets_report(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """doc_id, counts of the base kinds, a digest of the base spans, and all spans."""
-    found, _ = find_secrets(docs, ledger)
+    """doc_id, counts of the base kinds, a digest of the base spans, and all spans. ledger: one that holds all of docs' blobs,
+    as ingested() gives; without it, all are scanned."""
+    found = find_secrets(docs)[0] if ledger is None else found_in(content_addressed(docs), ledger)
     spans = F.col("spans")
     of = lambda k: F.size(F.filter(spans, lambda s: s["k"] == k)).cast("long")
     base = F.filter(spans, lambda s: s["k"] < len(BASE_RULES))
@@ -114,6 +159,35 @@ def secrets_report(docs: DataFrame, ledger: DataFrame | None = None) -> DataFram
     )
 
 
+#: Texts are cut into pieces of so many characters, so that a part of one is found without counting from the text's start.
+PIECE = 4096
+
+
+def part_of(pieces: Column, begin: Column, end: Column) -> Column:
+    """Characters [begin, end) of a text that was cut into pieces of PIECE characters."""
+    first = F.floor(begin / PIECE).cast("int")
+    n = F.greatest(F.floor((end - 1) / PIECE).cast("int") - first + 1, F.lit(0))
+
+    def inside(x: Column, i: Column) -> Column:
+        low = F.greatest(begin - (first + i) * PIECE, F.lit(0))
+        return x.substr(low + 1, F.least(end - (first + i) * PIECE, F.lit(PIECE)) - low)
+
+    return F.when(begin < end, F.array_join(F.transform(F.slice(pieces, first + 1, n), inside), "")).otherwise("")
+
+
+def without_spans(text: Column, spans: Column, mark: str) -> Column:
+    """text with each run of overlapping spans (sorted by start) replaced by the mark."""
+
+    def cleaned(x: Column) -> Column:
+        fresh = F.filter(F.transform(x["spans"], lambda s, i: F.struct(s["start"].alias("start"), F.when(i > 0, F.get(x["ends"], i - 1)).otherwise(0).alias("done"))), lambda s: s["start"] >= s["done"])
+        kept = F.transform(fresh, lambda s: F.concat(part_of(x["pieces"], s["done"], s["start"]), F.lit(mark)))
+        return F.concat(F.array_join(kept, ""), part_of(x["pieces"], F.element_at(x["ends"], -1), x["n"]))
+
+    ends = running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    return bound(F.struct(spans.alias("spans"), ends.alias("ends"), pieces.alias("pieces"), F.length(text).alias("n")), cleaned)
+
+
 def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with every found span replaced by the mark; n_chars follows. Overlapping spans give one mark. All rows stay."""
     found, _ = find_secrets(docs)
@@ -123,17 +197,7 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     same = F.col("doc_id").eqNullSafe(F.col(f"{own}_path")) & (F.sha2(F.col("text"), 256) == F.col(f"{own}_blob"))
     joined = docs.join(dirty, same, "left")
     text, spans = F.col("text"), F.col(f"{own}_spans")
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        out = F.when(fresh, F.concat(acc["out"], text.substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
-
-    clean = F.when(spans.isNull(), text).otherwise(
-        F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))))
-    )
-    out = joined.withColumn("text", clean)
+    out = joined.withColumn("text", F.when(spans.isNull(), text).otherwise(without_spans(text, spans, mark)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(spans.isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(*docs.columns)
