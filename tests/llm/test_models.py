@@ -105,21 +105,79 @@ def test_the_sum_of_squares_is_the_sum_over_pairs():
 
 def test_word_keys():
     keys, counts = toxicity.word_keys([b"Loser loser", b"", b"losers", b"no"])
-    assert counts.tolist() == [2, 0, 3, 1]
-    assert len(set(keys.tolist())) == 5
+    assert counts.tolist() == [2, 0, 3, 1] and len(set(keys.tolist())) == 5
+    keys, counts = toxicity.word_keys([b"abominably abominable", "\u00fcbertrieben ".encode() + b"x" * 5000, b"abominably"])
+    assert counts.tolist() == [5, 8, 4] and len(np.intersect1d(keys[:5], keys[-4:])) == 4
 
 
 def test_chain_uses_earlier_probabilities():
     rng = np.random.default_rng(2)
     first = (rng.random(300) < 0.5).astype(float)
-    idx, counts = np.flatnonzero(first) * 0, first.astype(np.int64)
-    value = np.ones(1)
-    models = toxicity.train_chain(idx, counts, value, [first, first])
-    assert len(models[1][0]) == 2 and models[1][0][1] > 0
-    p = toxicity.predict_chain(models, idx, counts, value)
+    keys, counts = np.full(int(first.sum()), 9, np.uint64), first.astype(np.int64)
+    got = toxicity.train_chain(keys, counts, [first, first])
+    assert got["known"].tolist() == [9] and len(got["models"][1][0]) == 2 and got["models"][1][0][1] > 0
+    p = toxicity.predict_chain(got["models"], *toxicity.columns_of(keys, counts, got["known"]), got["value"])
     assert ((p[1] > 0.5) == (first > 0)).all()
 
 
+def test_out_of_fold_probabilities_do_not_see_their_own_labels(monkeypatch):
+    """Keys of one fold's toxic rows alone tell nothing: were they chosen with that fold's labels, its probabilities would be high."""
+    n = 600
+    fold, y = np.arange(n) % toxicity.FOLDS, (np.arange(n) % 2).astype(float)
+    counts = ((fold == 0) & (y > 0)).astype(np.int64)
+    seen = []
+    whole = toxicity.chain_inputs
+    monkeypatch.setattr(toxicity, "chain_inputs", lambda idx, many, value, earlier: seen.append([e.copy() for e in earlier]) or whole(idx, many, value, earlier))
+    toxicity.train_chain(np.full(int(counts.sum()), 5, np.uint64), counts, [y, y])
+    oof = seen[-1][0]
+    assert abs(oof[(fold == 0) & (y > 0)].mean() - 0.5) < 0.1
+
+
+def scored_by_hand(model, text):
+    """The chain's first probability, from the words of one text."""
+    words = {w for w in re.split(rb"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", text.lower()) if w}
+    keys = {toxicity.word_keys([w])[0].tobytes() for w in words}
+    mine = set(np.frombuffer(b"".join(keys), np.uint64).tolist())
+    out = []
+    for w, b in model["models"]:
+        z = b + sum(w[i] * model["value"][i] for i, k in enumerate(model["known"].tolist()) if k in mine)
+        z += sum(w[len(model["value"]) + i] * p for i, p in enumerate(out))
+        out.append(1 / (1 + np.exp(-z)))
+    return out
+
+
+def test_toxicity_scores_by_hand(small_docs, small_labels):
+    model = toxicity.fit(small_docs, small_labels)
+    got = {r["doc_id"]: list(r)[1:4] for r in toxicity.toxicity_report(small_docs, small_labels).collect()}
+    for r in small_docs.limit(60).collect():
+        assert np.allclose(got[r["doc_id"]], scored_by_hand(model, (r["text"] or "").encode()), atol=1e-5)
+
+
+def test_machine_scores_by_the_sum_over_pairs(small_docs, small_labels):
+    """The score of documents against the plain double sum over pairs of features."""
+    model = fm.fit(small_docs, small_labels)
+    got = {r["doc_id"]: r["score"] for r in fm.quality_scores(small_docs, small_labels).collect()}
+    for r in fm.inputs(small_docs).limit(25).collect():
+        texts, chars = [(r["text"] or "").encode()], np.array([float(r["n_chars"])])
+        idx, val, distinct, counts, top = fm.word_rows(texts)
+        x = fm.with_stats(idx, val, distinct, fm.statistics(texts, chars, counts, distinct, top), model["mean"], model["dev"])
+        z = model["b"] + sum(float(model["w"][i]) * float(a) for i, a in zip(x.idx, x.val))
+        vx = model["v"][x.idx].astype(float) * x.val[:, None]
+        dots = vx @ vx.T
+        z += sum(dots[i, j] for i in range(len(dots)) for j in range(i))
+        assert abs(got[r["doc_id"]] - 1 / (1 + np.exp(-z))) < 1e-4
+
+
+def test_kept_is_the_calibrated_score_against_the_threshold(small_docs, small_labels):
+    """Scores of the quality rules from counted grams of each text, one at a time."""
+    model = quality.fit(small_docs, small_labels)
+    got = {r["doc_id"]: r["score"] for r in quality.quality_report(small_docs, small_labels).collect()}
+    for r in small_docs.limit(40).collect():
+        (ids, val), = quality.gram_rows([(r["text"] or "").encode()])
+        z = model["b"] + sum(float(model["w"][i]) * float(v) for i, v in zip(ids, val))
+        assert abs(got[r["doc_id"]] - 1 / (1 + np.exp(-(model["a"] * z + model["c"])))) < 1e-3
+
+
 def test_platt_keeps_order_and_calibrates():
     rng = np.random.default_rng(4)
     z = rng.normal(size=4000)

@@ -1,8 +1,10 @@
 """Toxicity by a classifier chain over the words and word beginnings that tell toxic from other documents.
 
 Categories are predicted in order by linear models; each later model also gets the earlier categories' probabilities, in
-training those that models of other folds predicted (out of fold). Features are the presence, weighted by its log-odds, of at most FEATURES keys
-(whole words of up to 7 bytes, and beginnings of 4, 5 and 6 bytes), chosen by chi-square on a bounded labelled sample.
+training those that models of other folds predicted (out of fold). Features are the presence, weighted by its log-odds, of at
+most FEATURES keys (whole words, and beginnings of 4, 5 and 6 bytes of longer ones), chosen by chi-square. Keys are chosen
+and weighed anew inside each fold, from the rows of the other folds, so an out-of-fold probability has seen nothing of its
+own row's label. The fit takes place in one task over a bounded labelled sample.
 
 Defined cases: a null or empty text has no features; a document without a label is scored like any other; without labels
 or without toxic rows nothing is flagged; repeated rows are scored one by one; other columns are ignored.
@@ -16,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import labelled
-from .common import as_bytes, slices, stored
+from .common import as_bytes, mix64, slices
 from .linear import Rows, fit_logistic, sigmoid
 
 #: Categories in chain order, as conditions on a labelled row.
@@ -54,6 +56,14 @@ def word_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     ok = size <= 7
     keys.append(head[ok] | (np.uint64(64) << np.uint64(56)))
     owners.append(own[ok])
+    # Longer words are known by a hash of all their bytes too.
+    ok = size > 7
+    at = np.arange(len(begin) and size[ok].sum()) - np.repeat(np.cumsum(size[ok]) - size[ok], size[ok])
+    power = np.multiply.accumulate(np.full(at.max(initial=0) + 1, 0x9E3779B97F4A7C15, np.uint64))
+    letters = (buf[np.repeat(begin[ok], size[ok]) + at].astype(np.uint64) + np.uint64(1)) * power[at]
+    whole = np.add.reduceat(letters, np.cumsum(size[ok]) - size[ok]) if ok.any() else np.zeros(0, np.uint64)
+    keys.append(mix64(whole) >> np.uint64(8) | (np.uint64(255) << np.uint64(56)))
+    owners.append(own[ok])
     key, owner = np.concatenate(keys), np.concatenate(owners)
     order = np.lexsort((key, owner))
     key, owner = key[order], owner[order]
@@ -87,19 +97,51 @@ def chain_inputs(idx: np.ndarray, counts: np.ndarray, value: np.ndarray, earlier
     return Rows(cols[order], vals[order], counts + k)
 
 
-def train_chain(idx: np.ndarray, counts: np.ndarray, value: np.ndarray, targets: list[np.ndarray]) -> list[tuple[np.ndarray, float]]:
-    """One (weights, intercept) a category; later ones are trained on out-of-fold probabilities of the earlier."""
-    fold, earlier, models = np.arange(len(counts)) % FOLDS, [], []
+def chosen_keys(keys: np.ndarray, counts: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted keys, the value of each) of at most FEATURES keys that tell rows with y from the others; ties by the key."""
+    n, n_pos = len(y), float(y.sum())
+    if not 0 < n_pos < n:
+        return np.zeros(0, np.uint64), np.zeros(0)
+    every, at = np.unique(keys, return_inverse=True)
+    df = np.bincount(at, minlength=len(every)).astype(float)
+    pos = np.bincount(at, np.repeat(y, counts), len(every))
+    expect = df * n_pos / n
+    chi2 = (pos - expect) ** 2 / (expect * (1 - n_pos / n))
+    ok = np.flatnonzero((df >= LEAST_ROWS) & (chi2 >= LEAST_CHI2))
+    best = np.sort(ok[np.lexsort((every[ok], -chi2[ok]))[:FEATURES]])
+    return every[best], evidence(df[best], pos[best], n, n_pos)
+
+
+def rows_of(keys: np.ndarray, counts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, keys a text) of some texts."""
+    mine = np.zeros(len(counts), bool)
+    mine[rows] = True
+    return keys[np.repeat(mine, counts)], counts[mine]
+
+
+def train_chain(keys: np.ndarray, counts: np.ndarray, targets: list[np.ndarray]) -> dict:
+    """{known: sorted keys, value: their evidence, models: one (weights, intercept) a category}. Later models are trained on
+    out-of-fold probabilities of the earlier categories; keys are chosen by the first category."""
+    n = len(counts)
+    fold, all_rows = np.arange(n) % FOLDS, np.arange(n)
+
+    def seen(rows: np.ndarray) -> tuple:
+        known, value = chosen_keys(*rows_of(keys, counts, rows), targets[0][rows])
+        return value, *columns_of(keys, counts, known), known
+
+    by_fold = [seen(np.flatnonzero(fold != f)) for f in range(FOLDS)]
+    value, idx, n_idx, known = seen(all_rows)
+    earlier: list[np.ndarray] = []
+    models = []
     for k, y in enumerate(targets):
-        x, dim = chain_inputs(idx, counts, value, earlier), len(value) + k
-        oof = np.zeros(len(y))
-        for f in range(FOLDS):
-            rest, own = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
-            w, b = fit_logistic(x.take(rest), y[rest], dim, **TRAINING)
+        oof = np.zeros(n)
+        for f, (v, at, many, _) in enumerate(by_fold):
+            x, rest, own = chain_inputs(at, many, v, earlier), np.flatnonzero(fold != f), np.flatnonzero(fold == f)
+            w, b = fit_logistic(x.take(rest), y[rest], len(v) + k, **TRAINING)
             oof[own] = sigmoid(x.take(own).dot(w) + b)
-        models.append(fit_logistic(x, y, dim, **TRAINING))
+        models.append(fit_logistic(chain_inputs(idx, n_idx, value, earlier), y, len(value) + k, **TRAINING))
         earlier.append(oof)
-    return models
+    return {"known": known, "value": value, "models": models}
 
 
 def predict_chain(models: list, idx: np.ndarray, counts: np.ndarray, value: np.ndarray) -> list[np.ndarray]:
@@ -110,42 +152,31 @@ def predict_chain(models: list, idx: np.ndarray, counts: np.ndarray, value: np.n
 
 
 def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None = None, rows: int = SAMPLE_ROWS) -> dict:
-    """{known: sorted keys, value: their evidence, models: one a category}. The keys' document counts are summed in Spark over the sample."""
+    """train_chain over at most `rows` labelled documents."""
     categories = categories or CATEGORIES
+    n_flags = len(categories)
 
     def keyed(batches):
         for b in batches:
             texts = as_bytes(b.column(1))
             for i, j in slices(texts):
                 keys, counts = word_keys(texts[i:j])
-                at = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(at), pa.array(keys.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), lists, *[b.column(k).slice(i, j - i) for k in range(2, b.num_columns)]], names)
+                ends = np.cumsum(counts)
+                blobs = [keys[e - n : e].tobytes() for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(blobs, pa.binary()), *[b.column(k).slice(i, j - i) for k in range(2, b.num_columns)]], names)
+
+    def trained(got: pa.Table | None) -> dict:
+        targets = [got[f"y{i}"].to_numpy().astype(float) for i in range(n_flags)] if got else []
+        if not targets or not 0 < targets[0].sum() < len(targets[0]):
+            return {"known": np.zeros(0, np.uint64), "value": np.zeros(0), "models": [(np.zeros(i), -40.0) for i in range(n_flags)]}
+        blobs = got["keys"].to_pylist()
+        return train_chain(np.frombuffer(b"".join(blobs), np.uint64), np.array([len(x) // 8 for x in blobs]), targets)
 
     chosen = labelled.sample(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, rows)
     flags = [F.expr(c).cast("int").alias(f"y{i}") for i, c in enumerate(categories.values())]
-    names = ["doc_id", "keys", *[f"y{i}" for i in range(len(flags))]]
-    schema = "doc_id long, keys array<long>, " + ", ".join(f"y{i} int" for i in range(len(flags)))
-    rows_of = stored(chosen.select("doc_id", "text", *flags).mapInArrow(keyed, schema), "toxic-sample")
-    n, n_pos = rows_of.agg(F.count(F.lit(1)), F.coalesce(F.sum("y0"), F.lit(0))).first()
-    if not 0 < n_pos < n:
-        return {"known": np.zeros(0, np.uint64), "value": np.zeros(0), "models": [(np.zeros(i), -40.0) for i in range(len(flags))]}
-    seen = rows_of.select("y0", F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("df"), F.sum("y0").alias("pos"))
-    expect = F.col("df") * F.lit(n_pos / n)
-    gap = F.col("pos") - expect
-    chi2 = gap * gap / (expect * F.lit(1 - n_pos / n))
-    best = seen.where(F.col("df") >= LEAST_ROWS).withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "key").limit(FEATURES)
-    chosen = best.select("key", "df", "pos").collect()
-    known = np.array([r["key"] for r in chosen], np.int64).view(np.uint64)
-    order = np.argsort(known)
-    known = known[order]
-    value = evidence(*(np.array([r[c] for r in chosen], np.float64)[order] for c in ("df", "pos")), n, n_pos)
-    picked = F.array_intersect("keys", F.array(*[F.lit(int(k)) for k in known.view(np.int64)])) if len(known) else F.array().cast("array<long>")
-    got = sorted(rows_of.select("doc_id", picked.alias("keys"), *names[2:]).collect(), key=lambda r: r["doc_id"])
-    keys = [np.sort(np.array(r["keys"], np.int64).view(np.uint64)) for r in got]
-    idx, counts = columns_of(np.concatenate(keys), np.array([len(k) for k in keys]), known)
-    targets = [np.array([r[f"y{i}"] for r in got], np.float64) for i in range(len(flags))]
-    return {"known": known, "value": value, "models": train_chain(idx, counts, value, targets)}
+    names = ["doc_id", "keys", *[f"y{i}" for i in range(n_flags)]]
+    schema = "doc_id long, keys binary, " + ", ".join(f"y{i} int" for i in range(n_flags))
+    return labelled.fitted(chosen.select("doc_id", "text", *flags).mapInArrow(keyed, schema), trained)
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame, categories: dict[str, str] | None = None) -> DataFrame:
