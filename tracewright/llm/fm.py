@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 
 from . import labelled
 from .common import as_bytes, hashed_words, mix64, slices
-from .linear import Adam, Rows, seg_sum, sigmoid
+from .linear import Rows, seg_sum, sigmoid
 from .quality import duplicate_lines
 
 BITS = 15
 FACTORS = 8
-STEPS, RATE, L2 = 120, 0.05, 1e-4
+EPOCHS, BATCH_ROWS, RATE, L2 = 16, 256, 0.02, 1e-5
 KINDS = (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".,;:!?", b"#*$%&|<>", b"\n", b" \t\r\x0b\x0c")
 N_STATS = len(KINDS) + 7
 
@@ -58,25 +58,40 @@ def fm_sums(v: np.ndarray, w: np.ndarray, idx, val, counts) -> tuple[np.ndarray,
     return seg_sum(w[idx] * val, counts), seg_sum(vx, counts), seg_sum(vx * vx, counts)
 
 
-def train(idx, val, counts, stats: np.ndarray, y: np.ndarray, steps: int = STEPS) -> dict:
-    """Full-batch Adam on log-loss; statistics are the columns after the hashed words."""
+def train(idx, val, counts, stats: np.ndarray, y: np.ndarray, epochs: int = EPOCHS) -> dict:
+    """Adam over mini-batches on log-loss; statistics are the columns after the hashed words. Only columns that the sample has
+    are trained, and a batch moves only its own; a word that the sample lacks says nothing."""
     mean, dev = stats.mean(axis=0), stats.std(axis=0) + 1e-6
-    rng, dim = np.random.default_rng(7), (1 << BITS) + N_STATS
+    rng, dim, n = np.random.default_rng(7), (1 << BITS) + N_STATS, len(y)
     x = with_stats(idx, val, counts, stats, mean, dev)
-    w, v, b, adam = np.zeros(dim), rng.normal(0, 0.05, (dim, FACTORS)), 0.0, Adam(RATE)
-    used = np.unique(x.idx)
-    for adam.t in range(1, steps + 1):
-        lin, s, q = fm_sums(v, w, x.idx, x.val, x.counts)
-        g = (sigmoid(b + lin + 0.5 * (s * s - q).sum(axis=1)) - y) / len(y)
-        gv = np.zeros_like(v)
-        for f in range(FACTORS):
-            gv[:, f] = np.bincount(x.idx, g[x.row] * x.val * (s[x.row, f] - v[x.idx, f] * x.val), dim)
-        w = adam.step("w", w, x.back(g, dim) + L2 * w)
-        v = adam.step("v", v, gv + L2 * v)
-        b = float(adam.step("b", np.array(b), g.sum()))
-    unused = np.setdiff1d(np.arange(dim), used)
-    v[unused] = 0  # a word that the sample lacks says nothing
-    return {"w": w.astype(np.float32), "v": v.astype(np.float32), "b": b, "mean": mean, "dev": dev}
+    used, x.idx = np.unique(x.idx, return_inverse=True)
+    # One array for the linear weight and the factors of each column, so that they move together.
+    p = np.concatenate((np.zeros((len(used), 1)), rng.normal(0, 0.05, (len(used), FACTORS))), axis=1).astype(np.float32)
+    first, second, turns, b = np.zeros_like(p), np.zeros_like(p), np.zeros(len(used)), 0.0
+    for epoch in range(epochs):
+        rate, order = RATE * (1 - epoch / epochs), rng.permutation(n)
+        for at in range(0, n, BATCH_ROWS):
+            rows = order[at : at + BATCH_ROWS]
+            part = x.take(rows)
+            px = p[part.idx] * part.val[:, None]
+            s = np.add.reduceat(px, part.ptr[:-1], axis=0)
+            q = np.add.reduceat(px[:, 1:] ** 2, part.ptr[:-1], axis=0)
+            g = (sigmoid(b + s[:, 0] + 0.5 * (s[:, 1:] ** 2 - q).sum(axis=1)) - y[rows]).astype(np.float32) / len(rows)
+            # The gradient of each entry, summed by column.
+            px[:, 0], px[:, 1:] = 1, s[part.row, 1:] - px[:, 1:]
+            px *= (g[part.row] * part.val)[:, None]
+            by = np.argsort(part.idx, kind="stable")
+            cols, begin = np.unique(part.idx[by], return_index=True)
+            d = np.add.reduceat(px[by], begin, axis=0) + np.float32(L2) * p[cols]
+            turns[cols] += 1
+            first[cols] = 0.9 * first[cols] + 0.1 * d
+            second[cols] = 0.99 * second[cols] + 0.01 * d * d
+            t = turns[cols][:, None]
+            p[cols] -= rate * (first[cols] / (1 - 0.9**t)) / (np.sqrt(second[cols] / (1 - 0.99**t)) + 1e-8)
+            b -= rate * float(g.sum())
+    w, v = np.zeros(dim, np.float32), np.zeros((dim, FACTORS), np.float32)
+    w[used], v[used] = p[:, 0], p[:, 1:]
+    return {"w": w, "v": v, "b": b, "mean": mean, "dev": dev}
 
 
 def with_stats(idx, val, counts, stats, mean, dev) -> Rows:
@@ -114,16 +129,17 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = labelled.SAMPLE_ROWS) ->
                 cells = [idx.astype("<u2").tobytes(), val.astype("<f4").tobytes(), stats.astype("<f8").tobytes()]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(3).slice(i, 1), *[pa.array([c]) for c in cells]], ["doc_id", "quality", "idx", "val", "stats"])
 
+    def trained(got: pa.Table | None) -> dict:
+        if got is None:
+            dim = (1 << BITS) + N_STATS
+            return {"w": np.zeros(dim, np.float32), "v": np.zeros((dim, FACTORS), np.float32), "b": 0.0, "mean": np.zeros(N_STATS), "dev": np.ones(N_STATS)}
+        idx = [np.frombuffer(x, "<u2") for x in got["idx"].to_pylist()]
+        val = np.frombuffer(b"".join(got["val"].to_pylist()), "<f4")
+        stats = np.array([np.frombuffer(x, "<f8") for x in got["stats"].to_pylist()])
+        return train(np.concatenate(idx).astype(np.int64), val, np.array([len(i) for i in idx]), stats, (got["quality"].to_numpy() > 0).astype(float))
+
     chosen = labelled.sample(inputs(docs), labels, rows).select("doc_id", "text", "n_chars", "quality")
-    got = chosen.mapInArrow(features, "doc_id long, quality int, idx binary, val binary, stats binary").collect()
-    got.sort(key=lambda r: r["doc_id"])
-    if not got:
-        dim = (1 << BITS) + N_STATS
-        return {"w": np.zeros(dim, np.float32), "v": np.zeros((dim, FACTORS), np.float32), "b": 0.0, "mean": np.zeros(N_STATS), "dev": np.ones(N_STATS)}
-    idx = [np.frombuffer(r["idx"], "<u2").astype(np.int64) for r in got]
-    val = np.concatenate([np.frombuffer(r["val"], "<f4") for r in got]).astype(np.float64)
-    stats = np.array([np.frombuffer(r["stats"], "<f8") for r in got])
-    return train(np.concatenate(idx), val, np.array([len(i) for i in idx]), stats, np.array([float(r["quality"] > 0) for r in got]))
+    return labelled.fitted(chosen.mapInArrow(features, "doc_id long, quality int, idx binary, val binary, stats binary"), trained)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, rows: int = labelled.SAMPLE_ROWS) -> DataFrame:
@@ -138,4 +154,4 @@ def quality_scores(docs: DataFrame, labels: DataFrame, rows: int = labelled.SAMP
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(score(model, texts[i:j], chars[i:j]))], ["doc_id", "score"])
 
     out = inputs(docs).mapInArrow(run, "doc_id long, score double")
-    return out.select("doc_id", labelled.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(labelled.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
