@@ -89,11 +89,12 @@ def kind_spans(text: Column, k: int, rules: tuple = RULES) -> Column:
 
 
 def unseen_blobs(paths: DataFrame, ledger: DataFrame | None, rule_version: str) -> DataFrame:
-    """One row for each distinct (blob, rule_version) of paths(blob, text) that the ledger does not hold."""
-    if ledger is not None:
-        done = ledger.where(F.col("rule_version") == rule_version).select("blob")
-        paths = paths.join(done, "blob", "left_anti")
-    return paths.dropDuplicates(["blob"])
+    """One row for each distinct (blob, rule_version) of paths(blob, text) that the ledger does not hold. Copies are merged
+    first, map-side, so that a blob of many paths is one row in the join."""
+    blobs = paths.dropDuplicates(["blob"])
+    if ledger is None:
+        return blobs
+    return blobs.join(ledger.where(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
 
 
 def scan_blobs(blobs: DataFrame, rules: tuple = RULES, rule_version: str = RULE_VERSION) -> DataFrame:
