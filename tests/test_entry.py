@@ -6,6 +6,7 @@ import subprocess
 import sys
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -16,7 +17,14 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def canonical(df: pd.DataFrame) -> list:
     df = df[sorted(df.columns)]
-    cell = lambda v: None if v is None or v is pd.NaT or v != v else round(float(v), 9) if isinstance(v, (int, float)) or hasattr(v, "dtype") else str(v)
+
+    def cell(v):
+        if isinstance(v, (list, tuple, np.ndarray)):
+            return str([cell(x) for x in v])
+        if pd.isna(v):
+            return None
+        return round(float(v), 9) if isinstance(v, (int, float)) or hasattr(v, "dtype") else str(v)
+
     return sorted((tuple(map(cell, r)) for r in df.itertuples(index=False)), key=str)
 
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from . import rules
 
-#: What counts as no value in annotations, chat roles that are no agents' names, and review roles' synonyms.
+#: What counts as no value in annotations, observations and chat roles that are no agents' names.
 NULL_STRINGS = ("", "none", "null", "nan", "n/a", "na", "-")
+OBSERVATION_ROLES = "^(chat |running |generation)"
 CHAT_ROLES = ("system", "user", "assistant", "tool", "tool-call", "tool-response", "tool_call", "tool_response", "human")
 
 
@@ -31,7 +32,7 @@ def role_agent(role: Column) -> Column:
 def observation_agent(name: Column) -> Column:
     """An observation's agent: cut at ` run`; null for generations and tool runners."""
     base = stripped(F.regexp_replace(name, r"(?s)\s+run\b.*", ""))
-    return F.when((base != "") & ~F.lower(base).rlike("^(chat |running |generation)"), base)
+    return F.when((base != "") & ~F.lower(base).rlike(OBSERVATION_ROLES), base)
 
 
 def severity(failure_type: Column) -> Column:
@@ -106,7 +107,10 @@ def idx_order(idx: Column) -> Column:
 def as_list(x: Column) -> Column:
     """A string as a list: a JSON list, else split at the first present of `;`, `|` and `,`; null vocabulary dropped."""
     t = clean_scalar(x)
-    listed = F.from_json(F.when(t.startswith("["), F.replace(t, F.lit("'"), F.lit('"'))), "array<string>")
+    swapped = F.replace(t, F.lit("'"), F.lit('"'))
+    # A JSON list is read as it is; only what is none is tried with its quotes swapped.
+    text = F.when(F.try_parse_json(t).isNotNull(), t).when(F.try_parse_json(swapped).isNotNull(), swapped)
+    listed = F.when(t.startswith("["), F.from_json(text, "array<string>"))
     cut = F.when(F.contains(t, F.lit(";")), F.split(t, ";")).when(F.contains(t, F.lit("|")), F.split(t, r"\|")).when(F.contains(t, F.lit(",")), F.split(t, ",")).otherwise(F.array(t))
     items = F.transform(F.coalesce(listed, cut), clean_scalar)
     return F.when(t.isNull(), F.array().cast("array<string>")).otherwise(F.filter(items, lambda v: v.isNotNull()))

@@ -1,12 +1,16 @@
 """The rule scan: spans in, findings out, without a shuffle.
 
 Spans are (trace_id, ord, idx, text, agent, kind, parent); idx is unique within a trace. Every rule is a literal
-expression, so its pattern is compiled once a task; a check's rules are tried only where its prefilter matches, and a
-span's overlapping findings are settled in an array of that span, since only findings of one span can overlap.
+expression, so its pattern is compiled once a task and tried only on texts that hold one of the strings it cannot match
+without (plain searches in the folded text, which prose mostly ends at). A span's overlapping findings are settled in an array of that span, since only findings of one span can overlap.
 """
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +20,22 @@ from ..functions.text import first_match, quote_around, severity
 HIT = "struct<v:int,c:int,r:int,m_start:int,m_end:int>"
 
 
-def _hit(text: Column, v: int, c: int, r: int, pattern: str | None, cue: str | None, most: int | None) -> Column:
+def folded(text: Column) -> Column:
+    """text so that whatever matches a letter without regard to case holds its lower-case form: beside lower case, the long s,
+    the dotless i, and the dot that a capital i with one leaves."""
+    low = F.lower(text)
+    for odd, plain in (("\u017f", "s"), ("\u0131", "i"), ("\u0307", "")):
+        low = F.replace(low, F.lit(odd), F.lit(plain))
+    return low
+
+
+def _may_match(low: Column, pattern: str) -> Column:
+    """Whether the folded text holds a string that the pattern needs."""
+    need = rules.needles(pattern)
+    return reduce(or_, [F.contains(low, F.lit(x)) for x in sorted(need)]) if need else F.lit(True)
+
+
+def _hit(text: Column, low: Column, v: int, c: int, r: int, pattern: str | None, cue: str | None, most: int | None) -> Column:
     """struct HIT of one rule, or null."""
     head = [F.lit(v).alias("v"), F.lit(c).alias("c"), F.lit(r).alias("r")]
     if pattern is None:
@@ -27,23 +46,27 @@ def _hit(text: Column, v: int, c: int, r: int, pattern: str | None, cue: str | N
             broken = broken & (F.length(text) < most)
         return F.when(broken, F.struct(*head, F.lit(None).cast("int").alias("m_start"), F.lit(None).cast("int").alias("m_end")))
     found, start, end = first_match(text, rules.flagged(pattern))
-    cond = text.rlike(rules.flagged(pattern))
+    cond = _may_match(low, pattern) & text.rlike(rules.flagged(pattern))
     if cue:
-        cond = text.rlike(rules.flagged(cue)) & cond
+        cond = cond & text.rlike(rules.flagged(cue))
     return F.when(cond, F.struct(*head, start.alias("m_start"), end.alias("m_end")))
 
 
-def _check(text: Column, c: int, check: tuple, most: int | None) -> Column:
+def _check(text: Column, low: Column, c: int, check: tuple, most: int | None) -> Column:
     """array<HIT> of one check, in rule order."""
-    validator, name, one_per_span, rows = check
+    validator, _, one_per_span, rows = check
     v = rules.VALIDATORS.index(validator)
     by_type: dict[str, list[Column]] = {}
     for r, (pattern, failure_type, cue) in enumerate(rows):
-        by_type.setdefault("" if one_per_span else failure_type, []).append(_hit(text, v, c, r, pattern, cue, most))
+        by_type.setdefault("" if one_per_span else failure_type, []).append(_hit(text, low, v, c, r, pattern, cue, most))
     hits = F.array_compact(F.array(*[F.coalesce(*h) for h in by_type.values()]))
-    maybe = rules.PREFILTERS.get(name)
-    none = F.array().cast(f"array<{HIT}>")
-    return F.when(text.rlike(rules.flagged(maybe)), hits).otherwise(none) if maybe else hits
+    need = [rules.needles(pattern) if pattern else None for pattern, _, _ in rows]
+    if not all(need):
+        return hits
+    # One search for all strings of the check, which most texts end at.
+    words = frozenset().union(*need)
+    words = sorted(x for x in words if not any(y in x and y != x for y in words))
+    return F.when(low.rlike("|".join(map(re.escape, words))), hits).otherwise(F.array().cast(f"array<{HIT}>"))
 
 
 def without_overlaps(hits: Column) -> Column:
@@ -64,10 +87,11 @@ def scan(spans: DataFrame, suppress: bool = True, checks: tuple | None = None, k
     if most is not None:
         text = F.left(text, F.lit(most))
     chosen = [(c, check) for c, check in enumerate(rules.CHECKS) if checks is None or check[1] in checks]
-    rows = spans.withColumn("text", text).where("text <> ''")
-    body = F.col("text")
-    hits = F.flatten(F.array(*[_check(body, c, check, most) for c, check in chosen]))
-    found = rows.withColumn("hits", without_overlaps(hits) if suppress else hits).where(F.size("hits") > 0).withColumn("h", F.explode("hits"))
+    rows = spans.withColumn("text", text).where("text <> ''").withColumn("_low", folded(F.col("text")))
+    body, low = F.col("text"), F.col("_low")
+    hits = F.flatten(F.array(*[_check(body, low, c, check, most) for c, check in chosen]))
+    # An inner explode, or a filter on the hits, would make Spark work them out twice: once for the filter that it pushes down.
+    found = rows.withColumn("hits", without_overlaps(hits) if suppress else hits).select("*", F.explode_outer("hits").alias("h")).where("h IS NOT NULL")
     names = F.array(*[F.lit(check[1]) for check in rules.CHECKS])
     types = F.array(*[F.array(*[F.lit(r[1]) for r in check[3]]) for check in rules.CHECKS])
     h, signal = F.col("h"), rules.flagged(rules.ERROR_SIGNAL)

@@ -119,7 +119,7 @@ def q_result(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows of all findings of all metrics. Its SQL below still keeps two metrics only, so it does not equal this."""
+    """Windows of all findings of all metrics."""
     spans = views.event_spans(spark, sf_dir)
     marked = findings.numbered_for_review(findings.deduplicated(scan.scan(spans)))
     return findings.candidate_windows(marked, spans).select("trace_id", "finding_id", "idx", "ord")
@@ -358,7 +358,6 @@ QUERIES = {
     "lambda_ablation": q_lambda, "gold_match_cascade": q_matches, "gold_unmatched": q_unmatched, "verifier_ablation": q_accuracy, "topk_errors": q_worst, "confusion_f1": q_confusion,
     "tool_efficiency": q_tool_efficiency, "trace_totals": q_trace_totals, "usage_by_agent": q_agent_usage, "cost_rollup": q_cost, "score_histogram": q_histogram, "tool_call_resolve": q_tool_calls, "answer_status": q_answers,
 }
-WINDOW_SQL = DEDUP_SQL.replace("FROM k3)", "FROM k3 WHERE metric_name IN ('file_not_found_validator', 'config_parse_error_validator'))", 1)
 ORACLE_SQL = {
     "spans_from_events": f"WITH {SPANS_SQL} SELECT trace_id, ord, idx, text, agent, kind, parent FROM spans",
     "spans_from_conversations": CHAT_SQL,
@@ -369,7 +368,7 @@ ORACLE_SQL = {
     "finding_dedup": f"{DEDUP_SQL} SELECT trace_id, metric_name, failure_type, agent, quote_key, occurrences, primary_idx, severity, n_evidence FROM dedup",
     "chain_collapse": f"{COLLAPSE_SQL} SELECT d.trace_id, d.metric_name, d.failure_type, d.agent, d.quote_key, occurrences, primary_idx FROM dedup d ANTI JOIN share s ON s.trace_id = d.trace_id AND s.metric_name = d.metric_name AND s.failure_type = d.failure_type AND s.agent = d.agent AND s.quote_key = d.quote_key",
     "validator_result": f"{DEDUP_SQL}, firsts AS (SELECT trace_id, metric_name, min((v, c, ord, r)) AS q FROM keyed GROUP BY ALL) SELECT t.trace_id, true AS agent_attribution_available, coalesce(n, 0) AS n_findings, coalesce(m, 0) AS n_metrics, first_metric FROM (SELECT DISTINCT trace_id FROM spans) t LEFT JOIN (SELECT trace_id, count(*) AS n, count(DISTINCT metric_name) AS m FROM dedup GROUP BY 1) USING (trace_id) LEFT JOIN (SELECT trace_id, arg_min(metric_name, q) AS first_metric FROM firsts GROUP BY 1) USING (trace_id)",
-    "candidate_window": f"{WINDOW_SQL}, q AS (SELECT trace_id, metric_name, failure_type, agent, quote_key, min((v, c, ord, r)) AS q, arg_min(ord, (v, c, ord, r)) AS o FROM keyed GROUP BY trace_id, metric_name, failure_type, agent, quote_key), num AS (SELECT *, 'F' || (row_number() OVER (PARTITION BY trace_id ORDER BY mq, q) - 1) AS finding_id FROM (SELECT *, min(q) OVER (PARTITION BY trace_id, metric_name) AS mq FROM q)) SELECT n.trace_id, finding_id, s.idx, s.ord FROM num n JOIN spans s ON s.trace_id = n.trace_id AND s.ord BETWEEN n.o - 4 AND n.o + 4",
+    "candidate_window": f"{DEDUP_SQL}, q AS (SELECT trace_id, metric_name, failure_type, agent, quote_key, min((v, c, ord, r)) AS q, arg_min(ord, (v, c, ord, r)) AS o FROM keyed GROUP BY trace_id, metric_name, failure_type, agent, quote_key), num AS (SELECT *, 'F' || (row_number() OVER (PARTITION BY trace_id ORDER BY mq, q) - 1) AS finding_id FROM (SELECT *, min(q) OVER (PARTITION BY trace_id, metric_name) AS mq FROM q)) SELECT n.trace_id, finding_id, s.idx, s.ord FROM num n JOIN spans s ON s.trace_id = n.trace_id AND s.ord BETWEEN n.o - 4 AND n.o + 4",
     "evidence_status": VERIFY_SQL,
     "gate_modes": f"WITH {JUDGE_SQL} SELECT trace_id, mode, finding_index, usable, score, len(idxs) AS n_idxs FROM scored",
     "report_agent_rank": f"{AGENT_RANK_SQL} SELECT * FROM ranked",

@@ -116,7 +116,10 @@ def not_written(rows: DataFrame, written: DataFrame, key: str = "trace_id") -> D
 
 
 def markdown_table(rows: DataFrame, most: int = 500) -> str:
-    """A report table for people: at most `most` rows."""
+    """A report table for people. More than `most` rows are an error: such a table is written as files, not read."""
+    got = rows.limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"more than {most} rows; write them with write_csv or write_json")
     cell = lambda v: "" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v).replace("|", "\\|").replace("\n", " ")
     lines = [f"| {' | '.join(rows.columns)} |", f"|{'---|' * len(rows.columns)}"]
-    return "\n".join(lines + [f"| {' | '.join(map(cell, r))} |" for r in rows.limit(most).collect()])
+    return "\n".join(lines + [f"| {' | '.join(map(cell, r))} |" for r in got])
