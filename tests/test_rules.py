@@ -140,6 +140,12 @@ def test_needles():
     assert rules.needles(r"a*|b") is None and rules.needles(r"(?<!no )Yes\b\s*(one|two)") in ({"yes"}, {"one", "two"})
 
 
+def test_any_of_finds_what_an_alternation_finds():
+    words = frozenset(["abc", "abd", "a.b", "b", "error", "err"])
+    for text in ("xabd", "a.b", "axb", "aac", "erorr", "er err", "ab", ""):
+        assert bool(re.search(rules.any_of(words), text)) == any(w in text for w in words), text
+
+
 def test_letters_that_match_without_regard_to_case_are_folded(spark):
     """A Kelvin sign, a long s and Turkish letters match k, s and i, so they must pass the plain search too."""
     texts = ["INVALID API_\u212aEY", "acce\u017fs denied", "permi\u017f\u017fion denied on a f\u0131le", "M\u0130SSING api key"]

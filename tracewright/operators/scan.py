@@ -7,7 +7,6 @@ without (plain searches in the folded text, which prose mostly ends at). A span'
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 from operator import or_
 
@@ -60,13 +59,16 @@ def _check(text: Column, low: Column, c: int, check: tuple, most: int | None) ->
     for r, (pattern, failure_type, cue) in enumerate(rows):
         by_type.setdefault("" if one_per_span else failure_type, []).append(_hit(text, low, v, c, r, pattern, cue, most))
     hits = F.array_compact(F.array(*[F.coalesce(*h) for h in by_type.values()]))
-    need = [rules.needles(pattern) if pattern else None for pattern, _, _ in rows]
-    if not all(need):
+    words = _words(check)
+    if words is None:
         return hits
-    # One search for all strings of the check, which most texts end at.
-    words = frozenset().union(*need)
-    words = sorted(x for x in words if not any(y in x and y != x for y in words))
-    return F.when(low.rlike("|".join(map(re.escape, words))), hits).otherwise(F.array().cast(f"array<{HIT}>"))
+    return F.when(F.col("_any") & low.rlike(rules.any_of(words)), hits).otherwise(F.array().cast(f"array<{HIT}>"))
+
+
+def _words(check: tuple) -> frozenset | None:
+    """Strings one of which is in every folded text that the check has a hit in; null if that cannot be said."""
+    need = [rules.needles(pattern) if pattern else None for pattern, _, _ in check[3]]
+    return frozenset().union(*need) if all(need) else None
 
 
 def without_overlaps(hits: Column) -> Column:
@@ -89,6 +91,9 @@ def scan(spans: DataFrame, suppress: bool = True, checks: tuple | None = None, k
     chosen = [(c, check) for c, check in enumerate(rules.CHECKS) if checks is None or check[1] in checks]
     rows = spans.withColumn("text", text).where("text <> ''").withColumn("_low", folded(F.col("text")))
     body, low = F.col("text"), F.col("_low")
+    # One search for all strings of all checks, which most texts end at.
+    words = frozenset().union(*[_words(check) or () for _, check in chosen])
+    rows = rows.withColumn("_any", low.rlike(rules.any_of(words)) if words else F.lit(True))
     hits = F.flatten(F.array(*[_check(body, low, c, check, most) for c, check in chosen]))
     # An inner explode, or a filter on the hits, would make Spark work them out twice: once for the filter that it pushes down.
     found = rows.withColumn("hits", without_overlaps(hits) if suppress else hits).select("*", F.explode_outer("hits").alias("h")).where("h IS NOT NULL")
