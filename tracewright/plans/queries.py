@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import rules, text
 from ..operators import accuracy, answers, findings, metrics, observations, report, scan, verify
 from ..sources import annotations, traces
-from . import views
+from . import payload_queries, views
 from .views import JUDGE_SQL, SPANS_SQL, quoted, table
 
 
@@ -358,7 +358,8 @@ QUERIES = {
     "lambda_ablation": q_lambda, "gold_match_cascade": q_matches, "gold_unmatched": q_unmatched, "verifier_ablation": q_accuracy, "topk_errors": q_worst, "confusion_f1": q_confusion,
     "tool_efficiency": q_tool_efficiency, "trace_totals": q_trace_totals, "usage_by_agent": q_agent_usage, "cost_rollup": q_cost, "score_histogram": q_histogram, "tool_call_resolve": q_tool_calls, "answer_status": q_answers,
 }
-ORACLE_SQL = {
+QUERIES |= payload_queries.QUERIES
+ORACLE_SQL = payload_queries.ORACLE_SQL | {
     "spans_from_events": f"WITH {SPANS_SQL} SELECT trace_id, ord, idx, text, agent, kind, parent FROM spans",
     "spans_from_conversations": CHAT_SQL,
     "format_detection": FORMATS_SQL,
