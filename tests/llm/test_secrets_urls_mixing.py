@@ -120,6 +120,22 @@ def test_a_cycle_keeps_every_source_within_one_block():
             assert all(abs(done[x] - Fraction(share[x] * t, n)) < 1 for x in share)
 
 
+def test_a_cycle_is_what_a_plain_scheduler_serves():
+    """Slot by slot, among all released blocks the one due first: nothing but the definition."""
+    for weights in ({"a": 7, "b": 2, "c": 1}, {"a": 1, "b": 1, "c": 1}, {"x": 36.5, **{f"s{i}": 3.34 for i in range(9)}}, {"x": 1000, "y": 1}):
+        share = mixing.quantised(weights, 200)
+        n, served, want = sum(share.values()), Counter(), []
+        release = lambda s, j: (j - 1) * n // share[s]  # noqa: E731, B023
+        due = lambda s, j: -(-j * n // share[s])  # noqa: E731, B023
+        for t in range(n):
+            open_ = [(due(s, served[s] + 1), -release(s, served[s] + 1), s) for s in sorted(share) if served[s] < share[s] and release(s, served[s] + 1) <= t]
+            s = min(open_)[2]
+            served[s] += 1
+            assert release(s, served[s]) <= t < due(s, served[s])
+            want.append((s, served[s]))
+        assert mixing.pfair_cycle(share) == want
+
+
 def check_mix(docs, **options):
     got = mixing.pfair_mix(docs, **options).collect()
     assert Counter((r["doc_id"], r["source"]) for r in got) == Counter((r["doc_id"], r["source"]) for r in docs.select("doc_id", "source").collect())
@@ -128,6 +144,8 @@ def check_mix(docs, **options):
     for r in got:
         assert slots.setdefault(r["slot"], (r["source"], r["block"])) == (r["source"], r["block"])
     assert sorted(slots) == list(range(len(slots)))
+    # Nothing is late in any phase.
+    assert all(r["slot"] < r["deadline"] for r in got)
     blocks = Counter(s for s, _ in slots.values())
     assert all({b for s, b in slots.values() if s == x} == set(range(n)) for x, n in blocks.items())
     return got
