@@ -13,7 +13,9 @@ from ..sources import traces
 from . import views
 from .views import SPANS_SQL, table
 
-ID = F.col("event_id")
+
+def _id() -> Column:
+    return F.col("event_id")
 
 
 def _str(x: Column | str) -> Column:
@@ -32,21 +34,21 @@ def event_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     tools and sign-ups chains."""
     e = table(spark, sf_dir, "events").select(_str("user_id").alias("trace_id"), "event_id", "event_type", "ts")
     kind = F.when(F.col("event_type") == "click", "SPAN").when(F.col("event_type").isin("view", "purchase"), "GENERATION").when(F.col("event_type") == "error", "TOOL").otherwise("CHAIN")
-    agent = F.concat(F.lit("agent"), _str(ID % 4))
-    name = F.when(F.col("event_type") == "click", F.concat(agent, F.lit(" run"))).when(F.col("event_type") == "purchase", "running 1 tool").when(F.col("event_type") == "error", F.concat(F.lit("tool"), _str(ID % 3))).otherwise("chat")
+    agent = F.concat(F.lit("agent"), _str(_id() % 4))
+    name = F.when(F.col("event_type") == "click", F.concat(agent, F.lit(" run"))).when(F.col("event_type") == "purchase", "running 1 tool").when(F.col("event_type") == "error", F.concat(F.lit("tool"), _str(_id() % 3))).otherwise("chat")
     before = Window.partitionBy("trace_id").orderBy("event_id")
-    click = F.last(F.when(F.col("event_type") == "click", ID), ignorenulls=True).over(before)
+    click = F.last(F.when(F.col("event_type") == "click", _id()), ignorenulls=True).over(before)
     said = F.to_json(F.array(F.struct(F.concat(F.lit("be "), agent).alias("content"))))
     rows = e.select(
         "trace_id", "event_id", F.struct(
-            F.concat(F.lit("o"), _str(ID)).alias("id"), kind.alias("type"), name.alias("name"),
+            F.concat(F.lit("o"), _str(_id())).alias("id"), kind.alias("type"), name.alias("name"),
             F.when(kind == "GENERATION", F.concat(F.lit("o"), _str(click))).alias("parent_observation_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("start_time"),
-            (ID % 9 * 1000).alias("latency"), F.when(ID % 6 == 0, F.concat(F.lit("failed "), _str(ID))).alias("status_message"), F.when(ID % 5 > 0, F.concat(F.lit("m"), _str(ID % 3))).alias("model"),
-            F.struct((ID % 100).alias("input"), (ID % 7).alias("output")).alias("usage_details"),
+            (_id() % 9 * 1000).alias("latency"), F.when(_id() % 6 == 0, F.concat(F.lit("failed "), _str(_id()))).alias("status_message"), F.when(_id() % 5 > 0, F.concat(F.lit("m"), _str(_id() % 3))).alias("model"),
+            F.struct((_id() % 100).alias("input"), (_id() % 7).alias("output")).alias("usage_details"),
             F.struct(F.struct(said.alias(observed.INSTRUCTIONS)).alias("attributes")).alias("metadata"),
         ).alias("o"),
     )
-    return observed.observations_of(_payload(rows, F.col("o"), ID))
+    return observed.observations_of(_payload(rows, F.col("o"), _id()))
 
 
 OBS_SQL = """obs AS (SELECT CAST(user_id AS VARCHAR) AS trace_id, event_id, event_type, ts, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS ord, 'agent' || (event_id % 4) AS agent,
@@ -76,9 +78,9 @@ def q_obs_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_tools_of_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select(_str("user_id").alias("trace_id"), "event_id", "event_type", F.concat(F.lit("agent"), _str(ID % 4)).alias("agent"))
-    calls = e.where("event_type = 'error'").withColumn("name", F.concat(F.lit("tool"), _str(ID % 3)))
-    offered = e.where("event_type = 'view'").select("trace_id", "agent", ID.alias("ord"), F.array(F.concat(F.lit("t"), _str(ID % 5)), F.lit("x")).alias("tools"))
+    e = table(spark, sf_dir, "events").select(_str("user_id").alias("trace_id"), "event_id", "event_type", F.concat(F.lit("agent"), _str(_id() % 4)).alias("agent"))
+    calls = e.where("event_type = 'error'").withColumn("name", F.concat(F.lit("tool"), _str(_id() % 3)))
+    offered = e.where("event_type = 'view'").select("trace_id", "agent", _id().alias("ord"), F.array(F.concat(F.lit("t"), _str(_id() % 5)), F.lit("x")).alias("tools"))
     out = observations.tools_of_agents(calls, offered)
     return out.select("trace_id", "agent", F.array_join("called", ",").alias("called"), F.array_join("available", ",").alias("available"))
 
@@ -141,9 +143,9 @@ SELECT CAST(r AS VARCHAR) AS trace_id, row_number() OVER (PARTITION BY r ORDER B
 def q_observation_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a trace store's observations, written last first; every tenth has no start time."""
     e = table(spark, sf_dir, "events").withColumn("trace_id", _str("user_id"))
-    name = F.when(ID % 7 == 0, "running tools run").otherwise(F.concat(F.initcap("event_type"), F.lit(" Agent run 1")))
-    o = F.struct(_str(ID).alias("id"), _str("user_id").alias("traceId"), name.alias("name"), F.when(ID % 10 > 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).alias("startTime"), F.lit("ERROR").alias("level"), F.col("event_type").alias("statusMessage"), F.when(ID % 2 == 0, "asked").alias("input"), F.lit("").alias("output"))
-    return traces.spans_of(_payload(e.select("trace_id", "event_id", o.alias("o")), F.col("o"), -ID, projectId=F.lit("p"))).select("trace_id", "ord", "idx", "text", "agent")
+    name = F.when(_id() % 7 == 0, "running tools run").otherwise(F.concat(F.initcap("event_type"), F.lit(" Agent run 1")))
+    o = F.struct(_str(_id()).alias("id"), _str("user_id").alias("traceId"), name.alias("name"), F.when(_id() % 10 > 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).alias("startTime"), F.lit("ERROR").alias("level"), F.col("event_type").alias("statusMessage"), F.when(_id() % 2 == 0, "asked").alias("input"), F.lit("").alias("output"))
+    return traces.spans_of(_payload(e.select("trace_id", "event_id", o.alias("o")), F.col("o"), -_id(), projectId=F.lit("p"))).select("trace_id", "ord", "idx", "text", "agent")
 
 
 OBSERVATION_SPANS_SQL = """SELECT CAST(user_id AS VARCHAR) AS trace_id, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_id % 10 > 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') ELSE '' END, event_id DESC) - 1 AS ord,
@@ -173,10 +175,10 @@ SELECT CAST(c_custkey AS VARCHAR) AS trace_id, metric_ord, metric_name, '{' || C
 def q_judge_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers of a judge, fenced; every fifth is no JSON."""
     e = table(spark, sf_dir, "events").where("event_type = 'error'")
-    cite = lambda n: F.struct(_str(ID % 50 + n).alias("idx"), F.lit("primary").alias("role"), F.concat(F.lit("said "), _str(ID)).alias("quote"))
-    one = F.struct(F.when(ID % 2 == 0, "major").otherwise("minor").alias("severity_estimate"), F.lit("high").alias("confidence_estimate"), F.array(F.struct(F.concat(F.lit("agent"), _str(ID % 5)).alias("agent"))).alias("culprit_agent_candidates"), F.array(cite(0), cite(1)).alias("evidence"))
+    cite = lambda n: F.struct(_str(_id() % 50 + n).alias("idx"), F.lit("primary").alias("role"), F.concat(F.lit("said "), _str(_id())).alias("quote"))
+    one = F.struct(F.when(_id() % 2 == 0, "major").otherwise("minor").alias("severity_estimate"), F.lit("high").alias("confidence_estimate"), F.array(F.struct(F.concat(F.lit("agent"), _str(_id() % 5)).alias("agent"))).alias("culprit_agent_candidates"), F.array(cite(0), cite(1)).alias("evidence"))
     body = F.concat(F.lit("```json\n"), F.to_json(F.struct(F.array(one, one).alias("findings"))), F.lit("\n```"))
-    said = e.select(_str(ID).alias("trace_id"), F.lit(8).alias("metric_ord"), F.lit("tool_selection").alias("metric_name"), F.when(ID % 5 > 0, body).otherwise("no findings, sorry").alias("output"))
+    said = e.select(_str(_id()).alias("trace_id"), F.lit(8).alias("metric_ord"), F.lit("tool_selection").alias("metric_name"), F.when(_id() % 5 > 0, body).otherwise("no findings, sorry").alias("output"))
     found = judges.findings_of(said)
     return found.drop("evidence_idxs", "evidence", "metric_ord", "needs_human_review", "problem_description", "suggested_fix").withColumn("culprit_agents", F.array_join("culprit_agents", ",")).join(judges.citations(found), ["trace_id", "metric_name", "finding_index"])
 
@@ -187,9 +189,9 @@ JUDGE_ANSWERS_SQL = """SELECT CAST(event_id AS VARCHAR) AS trace_id, 'tool_selec
 
 def q_confirmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two confirmations a finding, of which the first counts; every fifth finding has none; corrections c0 and c1 were offered."""
-    f = table(spark, sf_dir, "events").where("event_type = 'error'").select(_str("user_id").alias("trace_id"), F.concat(F.lit("F"), _str(ID)).alias("finding_id"), "event_id")
-    verdict = F.get(F.array(*map(F.lit, ("confirmed", "rejected", "uncertain"))), (ID % 3).cast("int"))
-    first = f.where(ID % 5 > 0).select("trace_id", "finding_id", F.lit(1).alias("n"), verdict.alias("verdict"), F.concat(F.lit("c"), _str(ID % 4)).alias("corrected_idx"))
+    f = table(spark, sf_dir, "events").where("event_type = 'error'").select(_str("user_id").alias("trace_id"), F.concat(F.lit("F"), _str(_id())).alias("finding_id"), "event_id")
+    verdict = F.get(F.array(*map(F.lit, ("confirmed", "rejected", "uncertain"))), (_id() % 3).cast("int"))
+    first = f.where(_id() % 5 > 0).select("trace_id", "finding_id", F.lit(1).alias("n"), verdict.alias("verdict"), F.concat(F.lit("c"), _str(_id() % 4)).alias("corrected_idx"))
     second = first.withColumn("n", F.lit(2)).withColumn("verdict", F.lit("rejected")).withColumn("corrected_idx", F.lit("c0"))
     offered = f.select("trace_id", "finding_id", F.explode(F.array(F.lit("c0"), F.lit("c1"))).alias("idx"))
     return findings.confirmation_counts(findings.confirmed(f.drop("event_id"), second.unionByName(first), offered))
@@ -211,7 +213,7 @@ FROM (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 4
 
 def q_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users whose ninth events are a completion judge's findings; the others have none."""
-    e = table(spark, sf_dir, "events").select(_str("user_id").alias("trace_id"), F.when(ID % 90 == 0, ID).alias("finding_index"), F.when(ID % 90 == 0, F.when(ID % 4 == 0, "low").when(ID % 4 == 2, "high")).alias("confidence"))
+    e = table(spark, sf_dir, "events").select(_str("user_id").alias("trace_id"), F.when(_id() % 90 == 0, _id()).alias("finding_index"), F.when(_id() % 90 == 0, F.when(_id() % 4 == 0, "low").when(_id() % 4 == 2, "high")).alias("confidence"))
     return answers.completion_verdict(e)
 
 
@@ -230,8 +232,8 @@ FROM (SELECT *, CASE WHEN same THEN s ELSE 100 - s END AS sure FROM (SELECT o_or
 
 
 def q_last_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = F.when(F.col("event_type") == "click", F.concat(F.lit("so\nfinal answer: "), _str(ID), F.lit("  \nbye"))).otherwise(F.concat(F.lit("step "), _str(ID)))
-    return answers.last_marked_message(table(spark, sf_dir, "events").select(_str("user_id").alias("trace_id"), ID.alias("ord"), said.alias("content")))
+    said = F.when(F.col("event_type") == "click", F.concat(F.lit("so\nfinal answer: "), _str(_id()), F.lit("  \nbye"))).otherwise(F.concat(F.lit("step "), _str(_id())))
+    return answers.last_marked_message(table(spark, sf_dir, "events").select(_str("user_id").alias("trace_id"), _id().alias("ord"), said.alias("content")))
 
 
 def q_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,8 +255,8 @@ def q_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_root_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's errors as annotated failures; the root cause is one that may be missing."""
     e = table(spark, sf_dir, "events").where("event_type = 'error'")
-    one = F.struct(ID.alias("failure_id"), (ID % 50).alias("step_number"), F.concat(F.lit("agent"), _str(ID % 4)).alias("failed_agent"), F.when(ID % 3 > 0, F.concat(F.lit("kind"), _str(ID % 3))).alias("failure_category"))
-    rows = e.groupBy("user_id").agg(F.array_sort(F.collect_list(one)).alias("failures"), F.max(F.when(ID % 2 == 0, ID)).alias("root_cause_failure_id"))
+    one = F.struct(_id().alias("failure_id"), (_id() % 50).alias("step_number"), F.concat(F.lit("agent"), _str(_id() % 4)).alias("failed_agent"), F.when(_id() % 3 > 0, F.concat(F.lit("kind"), _str(_id() % 3))).alias("failure_category"))
+    rows = e.groupBy("user_id").agg(F.array_sort(F.collect_list(one)).alias("failures"), F.max(F.when(_id() % 2 == 0, _id())).alias("root_cause_failure_id"))
     out = accuracy.root_cause_gold(rows.select(F.col("user_id").alias("row_index"), _str("user_id").alias("trajectory_id"), "failures", "root_cause_failure_id"))
     return out.withColumns({c: F.array_join(c, ",") for c in ("mistake_agents", "mistake_steps", "failure_categories")})
 
@@ -286,8 +288,8 @@ def q_raw_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     that are nowhere, and under an id that is nowhere."""
     spans = views.event_spans(spark, sf_dir)
     raw = traces.rendered(spans)
-    err, kind = spans.where("agent = 'error'"), ID % 6
-    key = [F.col("trace_id"), F.lit("tool_selection").alias("metric_name"), ID.alias("finding_index")]
+    err, kind = spans.where("agent = 'error'"), _id() % 6
+    key = [F.col("trace_id"), F.lit("tool_selection").alias("metric_name"), _id().alias("finding_index")]
     idx = F.when(kind == 1, _str(F.col("ord") + 1)).when(kind >= 4, F.lit("nowhere")).otherwise(F.col("idx"))
     cite = err.select(*key, F.lit(0).alias("evidence_index"), idx.alias("idx"), F.when(kind == 2, "bystander").otherwise("primary").alias("role"), F.when(kind == 4, "words that no span holds").otherwise(F.col("text")).alias("quote"))
     none = spark.createDataFrame([], "trace_id string, write_ord long, idx string, content string, agent string, idx_type string, is_default boolean")
