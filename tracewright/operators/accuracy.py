@@ -96,6 +96,23 @@ def root_cause_gold(failures: DataFrame) -> DataFrame:
     )
 
 
+def embedded_gold(payloads: DataFrame) -> DataFrame:
+    """Gold that result payloads carry themselves: payloads(payload) as (sample_id, gold_agents). Faulty agents are names or
+    objects with agent_name; those without a name are left out. Without a list of agents, gold is empty."""
+    agents = F.from_json(F.get_json_object("payload", "$.ground_truth_faulty_agents"), "array<string>")
+    name = lambda a: F.when(F.startswith(a, F.lit("{")), F.get_json_object(a, "$.agent_name")).otherwise(a)
+    named = F.filter(F.transform(agents, name), lambda a: a != "")
+    return payloads.select(F.get_json_object("payload", "$.sample_id").alias("sample_id"), F.coalesce(named, F.array().cast("array<string>")).alias("gold_agents"))
+
+
+def accuracy_gaps(summary: DataFrame) -> DataFrame:
+    """accuracy_summary() with what its shares tell of ranking and indexing: agent_gap (hit less top 1: agents that are found
+    but not ranked first), near_gap (hit within the tolerance less exact hit: steps off by a little) and rank_gap (exact hit
+    less top 1 step); null without gold."""
+    gap = lambda a, b: F.col(f"acc_{a}") - F.col(f"acc_{b}")
+    return summary.withColumns({"agent_gap": gap("agent_hit", "agent_top1"), "near_gap": gap("step_hit_near", "step_hit"), "rank_gap": gap("step_hit", "step_top1_0")})
+
+
 def confusion(rows: DataFrame, predicted: str, gold: str, by: list[str] | None = None) -> DataFrame:
     """tp, fp, fn, tn and accuracy, precision, recall, f1 with 0 for empty denominators; rows with a null are left out."""
     p, g = F.col(predicted) == 1, F.col(gold) == 1

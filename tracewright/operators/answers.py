@@ -11,6 +11,11 @@ from ..functions.text import clean_scalar, present, stripped
 PREDICTED_KEYS = ("predicted_answer", "model_answer", "final_answer", "answer")
 REFERENCE_KEYS = ("reference_answer", "ground_truth_answer", "correct_answer", "gold_answer", "ground_truth")
 ANSWER_PATTERNS = (r"(?i)FINAL ANSWER\s*:\s*([^\n]+)", r"(?i)final answer is\s*:?\s*([^\n]+)")
+#: Where payloads of each data set keep the final answer, and the two forms of one inside a quote.
+GAIA_ANSWER = ("$.spans[0].child_spans[1].child_spans[1].span_attributes['smolagents.managed_agents.0.name']", "search_agent", "$.spans[0].child_spans[1].child_spans[1].span_attributes['output.value']")
+SWE_ANSWER = "$.spans[0].logs[0].body['function.output']"
+GHOST_ANSWER = "$.output.response"
+QUOTE_PATTERNS = (r"(?i)FINAL\s+ANSWER\s*:\s*([^\n\r]+)", r"(?i)final_answer\s*[:=]\s*['\"]?([^'\"\n\r]+)")
 
 
 def answer_key(x: Column) -> Column:
@@ -32,6 +37,33 @@ def extracted_answer(text: Column) -> Column:
     return present(stripped(F.coalesce(*found)))
 
 
+def final_answer(payload: Column, dataset: Column) -> Column:
+    """The final answer that a trace payload states, by data set: trail_gaia, trail_swe, ghost, who_and_when or aegis.
+
+    Null where the payload has none, is no JSON, or the data set is another. who_and_when: the line after the mark in the last
+    message that has it; an empty line there is no answer. aegis: the final output, else the last message with content.
+    """
+    key, owner, value = GAIA_ANSWER
+    gaia = F.when(F.get_json_object(payload, key) == owner, F.get_json_object(payload, value))
+    said = lambda path: F.transform(F.from_json(F.get_json_object(payload, path), "array<struct<content string>>"), lambda m: m["content"])
+    marked = F.try_element_at(F.filter(F.coalesce(said("$.history"), said("$")), lambda c: F.contains(c, F.lit("FINAL ANSWER:"))), F.lit(-1))
+    line = present(stripped(F.regexp_extract(marked, r"(?s)^.*?FINAL ANSWER:([^\n\r]*)", 1)))
+    spoken = F.try_element_at(F.filter(said("$.input.conversation_history"), lambda c: c != ""), F.lit(-1))
+    aegis = F.coalesce(F.nullif(F.get_json_object(payload, "$.input.final_output"), F.lit("")), spoken)
+    return (
+        F.when(dataset == "trail_gaia", gaia).when(dataset == "trail_swe", F.get_json_object(payload, SWE_ANSWER)).when(dataset == "ghost", F.get_json_object(payload, GHOST_ANSWER))
+        .when(dataset == "who_and_when", line).when(dataset == "aegis", aegis)
+    )
+
+
+def answers_in_quotes(citations: DataFrame) -> DataFrame:
+    """citations(trace_id, metric_ord, finding_index, evidence_index, quote): the first final answer that a trace's quotes
+    hold, in the order of metrics, findings and evidence. Traces without one have no row."""
+    found = F.coalesce(*[F.nullif(F.regexp_extract("quote", p, 1), F.lit("")) for p in QUOTE_PATTERNS])
+    hit = citations.select("trace_id", F.struct("metric_ord", "finding_index", "evidence_index").alias("at"), F.regexp_replace(stripped(found), r"""^["'`]+|["'`]+$""", "").alias("answer")).where("answer IS NOT NULL")
+    return hit.groupBy("trace_id").agg(F.min_by("answer", "at").alias("answer"))
+
+
 def inferred(payload: Column, keys: tuple, fallback: Column | None = None) -> Column:
     """The first key of a JSON payload with a value, else the fallback."""
     values = [clean_scalar(F.get_json_object(payload, f"$.{k}")) for k in keys]

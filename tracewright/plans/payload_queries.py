@@ -301,11 +301,47 @@ def q_raw_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 RAW_EVIDENCE_SQL = f"""WITH {SPANS_SQL} SELECT trace_id, event_id AS finding_index, CASE event_id % 6 WHEN 4 THEN 'invalid' WHEN 2 THEN 'weak' WHEN 3 THEN 'weak' ELSE 'verified' END AS evidence_status, event_id % 6 <> 4 AS all_idxs_exist,
   event_id % 6 <> 4 AS quotes_found_in_idxs, event_id % 6 NOT IN (3, 4) AS culprit_agent_matches_evidence, event_id % 6 <> 2 AS idx_roles_are_plausible, event_id % 6 <> 4 AS usable_for_diagnosis FROM spans WHERE agent = 'error'"""
 
+def q_citeable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of a customer as agents' responses under ids that repeat, and failed ones as errors too: what can be cited."""
+    o = table(spark, sf_dir, "orders").select(_str("o_custkey").alias("trace_id"), "o_orderkey", "o_orderpriority", "o_orderstatus")
+    at = (F.row_number().over(Window.partitionBy("trace_id").orderBy("o_orderkey")) - 1).cast("long")
+    rows = o.withColumn("ord", at)
+    said = rows.select("trace_id", "ord", F.concat(F.lit("Clerk_"), _str(F.col("ord") % 3)).alias("response_id"), F.col("o_orderpriority").alias("content"), F.when(F.col("ord") % 2 == 0, F.lit('{"agent": " Boss "}')).alias("metadata"))
+    failed = o.where("o_orderstatus = 'F'").select("trace_id", at.alias("ord"), F.lit("Clerk").alias("agent_name"), F.col("o_orderpriority").alias("error_message"))
+    none = spark.createDataFrame([], "trace_id string, trace string")
+    return verify.idx_index(verify.citeable_items(responses=said, errors=failed), none)
+
+
+CITEABLE_SQL = """WITH r AS (SELECT CAST(o_custkey AS VARCHAR) AS trace_id, o_orderpriority AS p, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i FROM orders)
+SELECT trace_id, 'Clerk_' || (i % 3) AS idx, arg_max(p, i) AS content, CASE WHEN max(i) % 2 = 0 THEN 'Boss' ELSE 'Clerk' END AS agent, 'agent_response' AS idx_type FROM r GROUP BY 1, 2, i % 3
+UNION ALL SELECT trace_id, CAST(i AS VARCHAR), p, CASE WHEN i % 2 = 0 THEN 'Boss' ELSE 'Clerk' END, 'agent_response_index' FROM r
+UNION ALL SELECT CAST(o_custkey AS VARCHAR), 'agent_error_' || (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1), o_orderpriority, 'Clerk', 'agent_error' FROM orders WHERE o_orderstatus = 'F'"""
+
+
+def q_final_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as payloads of five data sets, each with its answer in its own place, some without one."""
+    k, n = F.col("c_custkey"), F.col("c_name")
+    words = F.concat(F.lit("well\nFINAL ANSWER: "), n, F.lit(" \nFINAL ANSWER: late"))
+    talk = F.array(F.struct(words.alias("content")), F.struct(F.when(k % 2 == 0, F.lit("FINAL ANSWER:  \nbye")).otherwise("final answer: no").alias("content")))
+    end = F.struct(F.struct(F.when(k % 2 == 0, F.lit("search_agent")).otherwise("other").alias("smolagents.managed_agents.0.name"), n.alias("output.value")).alias("span_attributes"))
+    gaia = F.concat(F.lit('{"spans": [{"child_spans": [{}, {"child_spans": [{}, '), F.to_json(end), F.lit("]}]}]}"))
+    swe = F.concat(F.lit('{"spans": [{"logs": ['), F.to_json(F.struct(F.struct(F.when(k % 2 == 0, n).alias("function.output")).alias("body"))), F.lit("]}]}"))
+    ghost = F.to_json(F.struct(F.struct(F.when(k % 2 == 0, n).alias("response")).alias("output")))
+    aegis = F.to_json(F.struct(F.struct(F.when(k % 2 == 0, n).alias("final_output"), talk.alias("conversation_history")).alias("input")))
+    sets = ("trail_gaia", "trail_swe", "ghost", "who_and_when", "aegis")
+    dataset = F.element_at(F.array(*map(F.lit, sets)), (k % 5 + 1).cast("int"))
+    payload = F.element_at(F.array(gaia, swe, ghost, F.to_json(F.struct(talk.alias("history"))), aegis), (k % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "customer").select("c_custkey", answers.final_answer(payload, dataset).alias("answer"))
+
+
+FINAL_ANSWERS_SQL = """SELECT c_custkey, CASE WHEN c_custkey % 5 = 3 THEN CASE WHEN c_custkey % 2 = 1 THEN c_name END WHEN c_custkey % 2 = 0 THEN c_name WHEN c_custkey % 5 = 4 THEN 'final answer: no' END AS answer FROM customer"""
+
 QUERIES = {
     "observation_usage": q_obs_usage, "observation_agents": q_obs_agents, "observation_errors": q_obs_errors, "observation_states": q_obs_states, "observation_tools": q_obs_tools, "tools_of_agents": q_tools_of_agents,
     "task_pool": q_task_pool, "agent_order": q_agent_order, "dialogue_states": q_dialogue, "tree_spans": q_tree, "observation_spans": q_observation_spans, "unknown_format_spans": q_turns,
     "judge_prompts": q_prompts, "judge_answers": q_judge_answers, "confirmations": q_confirmed, "answer_routing": q_routed, "completion_verdicts": q_completion, "equivalence_verdicts": q_equivalence,
     "last_marked_answer": q_last_answer, "inferred_answers": q_inferred, "backfilled_verdicts": q_backfill, "root_cause_gold": q_root_gold, "binarised_gold": q_binarised, "listed_values": q_lists, "raw_trace_evidence": q_raw_evidence,
+    "citeable_index": q_citeable, "final_answers": q_final_answers,
 }
 ORACLE_SQL = {
     "observation_usage": f"""WITH {OBS_SQL}, last AS (SELECT trace_id, agent, max(event_id) AS run FROM obs WHERE event_type = 'click' GROUP BY ALL)
@@ -340,4 +376,6 @@ SELECT CAST(user_id AS VARCHAR) AS trace_id, 'agent' || a AS agent, called, avai
     "binarised_gold": "SELECT p_partkey, CASE WHEN p_partkey % 11 >= 8 OR p_partkey % 3 = 0 THEN 1 END AS gold FROM part",
     "listed_values": LISTS_SQL,
     "raw_trace_evidence": RAW_EVIDENCE_SQL,
+    "citeable_index": CITEABLE_SQL,
+    "final_answers": FINAL_ANSWERS_SQL,
 }
