@@ -1,4 +1,4 @@
-"""What the training-data operators share: inputs, cut lineage, hashed words, salted joins."""
+"""What the training-data operators share: inputs, cut lineage, texts in Arrow buffers, hashed words, salted joins."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -127,3 +128,22 @@ def mix64(h: np.ndarray) -> np.ndarray:
     h *= np.uint64(0xC4CEB9FE1A85EC53)
     h ^= h >> np.uint64(33)
     return h
+
+
+def slices_of(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, text edges) of an Arrow string column, in slices of about `most` bytes.
+
+    The bytes are the column's own buffer, not a copy; text k of a slice is bytes[edges[k] : edges[k + 1]]. Nulls are empty.
+    """
+    column = column.cast(pa.large_binary()) if column.null_count == 0 else column.cast(pa.large_binary()).fill_null(b"")
+    if not len(column):
+        return
+    _, offsets, data = column.buffers()
+    edges = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    begin = 0
+    while begin < len(column):
+        # At least one text; then as many as fit.
+        end = max(begin + 1, int(np.searchsorted(edges, edges[begin] + most, side="right")) - 1)
+        yield begin, end, data[edges[begin] : edges[end]], edges[begin : end + 1] - edges[begin]
+        begin = end

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fm, media, minhash, mixing, packing, quality, secrets, tokens, toxicity, urls
+from . import fm, langid, media, minhash, mixing, packing, quality, resampling, secrets, tokens, toxicity, urls, variants
 from .common import table
 
 
@@ -113,6 +113,18 @@ def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets_report(docs, secrets.ingested(docs))
 
 
+def op11_rank_order_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_report(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def _spans_sql(k: int) -> str:
     """DuckDB: the spans of rule k as rows (doc_id, s, k, e)."""
     _, pattern, group, least = secrets.RULES[k]
@@ -137,5 +149,5 @@ FROM docs d LEFT JOIN per USING (doc_id)
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_interleaved_media, op2_ngram_quality_rules, op3_hierarchical_packing, op4_digest_token_counts, op5_classifier_chain, op6_pfair_mix, op7_factorisation_machine, op8_temporal_url_filter, op9_circulant_minhash, op10_secret_ledger)}
+QUERIES = {f.__name__: f for f in (op1_interleaved_media, op2_ngram_quality_rules, op3_hierarchical_packing, op4_digest_token_counts, op5_classifier_chain, op6_pfair_mix, op7_factorisation_machine, op8_temporal_url_filter, op9_circulant_minhash, op10_secret_ledger, op11_rank_order_profiles, op12_spelling_variants, op13_importance_resampling)}
 ORACLE_SQL = {"op8_temporal_url_filter": OP8_SQL, "op10_secret_ledger": OP10_SQL}
