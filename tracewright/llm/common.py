@@ -71,24 +71,31 @@ def drop_stored(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def salted_left_join(left: DataFrame, right: DataFrame, key: str, spread_by: str, salts: int = SALTS) -> DataFrame:
-    """left ⟕ right on key, where right has one row a key and left may have a third of its rows under one key.
+def hot_keys(counts: DataFrame, key: str, rows: int) -> DataFrame:
+    """(key, _hot) of counts(key, _n) for keys with 1/HOT_SHARE of all rows or more: HOT_SHARE keys at most, so they may be broadcast."""
+    hot = counts.where((F.col("_n") >= max(HOT_ROWS, rows // HOT_SHARE)) & F.col(key).isNotNull())
+    return F.broadcast(stored(hot.select(key, F.lit(True).alias("_hot")), "hot"))
 
-    A key with 1/HOT_SHARE of the left rows or more is hot, so there are HOT_SHARE hot keys at most and their list may be
-    broadcast. Left rows of a hot key go to `salts` partitions by a hash of spread_by, and its right row to all of them;
-    other keys are joined as they are. left is written first (short rows), as it is read for the counts and for the join.
-    """
-    left = stored(left, "keys")
-    many = max(HOT_ROWS, left.count() // HOT_SHARE)
-    hot = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where((F.col("_n") >= many) & F.col(key).isNotNull()).select(key, F.lit(True).alias("_hot"))
-    hot = F.broadcast(stored(hot, "hot"))
-    salt = F.when(F.col("_hot") | F.col(key).isNull(), F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")).otherwise(0)
+
+def spread_left_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, salts: int = SALTS) -> DataFrame:
+    """left ⟕ right on key, where right has one row a key. Left rows of a key in hot, or without a key, go to `salts` partitions
+    by their running number, so rows that are alike in all columns spread as well; the right row of a hot key goes to all."""
+    salt = F.when(F.col("_hot") | F.col(key).isNull(), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).cast("int")).otherwise(0)
     every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     spread = left.join(hot, key, "left").withColumn("_salt", salt).drop("_hot")
     sent = right.join(hot, key, "left").withColumn("_salt", F.explode(every)).drop("_hot")
     return spread.join(sent, [key, "_salt"], "left").drop("_salt")
 
 
+def salted_left_join(left: DataFrame, right: DataFrame, key: str, salts: int = SALTS) -> DataFrame:
+    """left ⟕ right on key, where right has one row a key and left may have a third of its rows under one key.
+
+    left is written first (short rows), as it is read for the counts of keys and for the join.
+    """
+    left, (rows,) = stored_with(left, "keys", F.count(F.lit(1)))
+    return spread_left_join(left, right, key, hot_keys(left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")), key, rows), salts)
+
+
 def slices(texts: list[bytes], most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Index ranges of about `most` bytes each; a longer text is a range of its own."""
     begin = size = 0

@@ -30,6 +30,8 @@ from .labelled import held_out
 
 #: Documents a language that profiles are learned from, at most (a documented bound; scoring covers all rows).
 SAMPLE_ROWS = 1000
+#: Ids that are put in order for it, in SAMPLE_ROWS; a hash modulo HASHES chooses them.
+OVERDRAW, HASHES = 2, 1 << 20
 #: N-grams of a profile, and of a document that are ranked.
 PROFILE, RANKED = 1000, 400
 #: Profiles are sent to all tasks: so many languages at most.
@@ -111,8 +113,11 @@ class Profiles:
 def sample(docs: DataFrame) -> DataFrame:
     """(lang, text) of SAMPLE_ROWS ids a language at most. Only ids travel to be chosen; of repeated ids, one row stays."""
     known = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
-    once = known.groupBy("lang", "doc_id").agg(F.lit(1)).select("lang", "doc_id")
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    # A hash below a bound that some OVERDRAW * SAMPLE_ROWS rows of the language have; only those are put in order.
+    sizes = F.broadcast(known.groupBy(F.col("lang").alias("_of")).agg(F.count(F.lit(1)).alias("_n")))
+    low = known.join(sizes, F.col("lang") == F.col("_of")).where(F.pmod(F.xxhash64("doc_id"), F.lit(HASHES)) * F.col("_n") < OVERDRAW * SAMPLE_ROWS * HASHES)
+    once = low.groupBy("lang", "doc_id").agg(F.lit(1)).select("lang", "doc_id")
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id")
     chosen = once.withColumn("_at", F.row_number().over(first)).where(F.col("_at") <= SAMPLE_ROWS).select(F.col("lang").alias("_lang"), F.col("doc_id").alias("_id"))
     # At most MOST_LANGUAGES * SAMPLE_ROWS short rows, as profiles() has counted the languages.
     found = known.join(F.broadcast(chosen), (F.col("lang") == F.col("_lang")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")

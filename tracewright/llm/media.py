@@ -214,7 +214,7 @@ def media_features(store: DataFrame) -> DataFrame:
 def resolved(sequences: DataFrame, features: DataFrame, key: str) -> DataFrame:
     """One row for each item of each sequence, in columns key, position, kind, text, digest, caption and the media's."""
     items = sequences.select(key, F.explode("sequence").alias("x")).select(key, "x.*")
-    return salted_left_join(items, features, "digest", key)
+    return salted_left_join(items, features, "digest")
 
 
 def media_report(docs: DataFrame) -> DataFrame:
@@ -229,7 +229,7 @@ def media_report(docs: DataFrame) -> DataFrame:
     at = F.col("x.position")
     refs = seen.select("doc_id", F.size("sequence").alias("n_items"), "sequence", F.explode(F.filter("sequence", lambda x: x["kind"] == "media")).alias("x"))
     refs = refs.select("doc_id", "x.*", "n_items", F.when(at > 0, F.get("sequence", at - 1)["text"]).alias("before"))
-    items = salted_left_join(refs, media_features(store), "digest", "doc_id")
+    items = salted_left_join(refs, media_features(store), "digest")
     return items.select(
         "doc_id", F.col("caption").cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "n_items", "before",
     )

@@ -312,7 +312,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = stored(whole.groupBy("class_key").agg(F.min(F.struct("doc_id", "bands")).alias("x")).select("class_key", F.col("x.doc_id").alias("id"), F.col("x.bands").alias("bands")), "classes")
     comps = near_components(reps.select("id", "bands"), docs)
     classes = with_comp(reps.select("class_key", "id"), comps).select("class_key", "comp")
-    out = salted_left_join(sketch.select("doc_id", "n_shingles", "class_key"), classes, "class_key", "doc_id")
+    out = salted_left_join(sketch.select("doc_id", "n_shingles", "class_key"), classes, "class_key")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
 

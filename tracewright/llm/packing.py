@@ -44,6 +44,8 @@ STEP_GROUP = 8
 SHARD_PIECES = 8192
 #: Pre-tokens the memo of a worker holds, at most.
 MEMO_ENTRIES = 250_000
+#: Longer pre-tokens are not kept, so the memo's bytes are bounded too.
+MEMO_LETTERS = 64
 #: Latin-1's letters, numbers and white space as the tokenizer's classes \\p{L}, \\p{N} and \\s see them.
 LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
 NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -87,7 +89,11 @@ def encoded(texts: list[str], json_path: str, ranks_path: str) -> list[bytes]:
         _memo[w] = struct.pack(f"<{len(ids)}I", *ids)
     odd = [t for t, p in zip(texts, parts, strict=True) if p is None]
     rest = iter(whole.encode_batch_fast(odd, add_special_tokens=False) if odd else ())
-    return [b"".join(map(_memo.__getitem__, p)) if p is not None else np.array(next(rest).ids, "<u4").tobytes() for p in parts]
+    out = [b"".join(map(_memo.__getitem__, p)) if p is not None else np.array(next(rest).ids, "<u4").tobytes() for p in parts]
+    for w in missing:
+        if len(w) > MEMO_LETTERS:
+            del _memo[w]
+    return out
 
 
 def pieces_of(ids: bytes, window: int = WINDOW, head: int = TIERS[-2]) -> list[tuple]:

@@ -70,7 +70,7 @@ def op8_temporal_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = r"""
 WITH caps AS (
-  SELECT page_id, url, CAST(DATE '2024-01-01' + CAST(page_id % 366 AS INT) AS DATE) AS fetched_on,
+  SELECT row_number() OVER () AS n, page_id, url, CAST(DATE '2024-01-01' + CAST(page_id % 366 AS INT) AS DATE) AS fetched_on,
          nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '\.+$', ''), '') AS host
   FROM pages
 ), domains AS (
@@ -90,17 +90,17 @@ WITH caps AS (
 ), spans AS (
   SELECT *, coalesce(lead(on_date) OVER (PARTITION BY list, domain ORDER BY on_date), DATE '9999-12-31') AS to_date FROM daily
 ), hits AS (
-  SELECT c.page_id, c.url, s.list, s.domain FROM caps c JOIN spans s
+  SELECT c.n, s.list, s.domain FROM caps c JOIN spans s
     ON (c.host = s.domain OR ends_with(c.host, '.' || s.domain)) AND s.gone = 0 AND s.on_date <= c.fetched_on AND c.fetched_on < s.to_date
 ), best AS (
-  SELECT page_id, url, count(*) AS n_active,
+  SELECT n, count(*) AS n_active,
          arg_max(list, (length(domain), CASE WHEN list = 'allow' THEN 1 ELSE 0 END, list)) AS matched_list,
          arg_max(domain, (length(domain), CASE WHEN list = 'allow' THEN 1 ELSE 0 END, list)) AS matched_domain
   FROM hits GROUP BY ALL
 )
 SELECT c.page_id, c.host, coalesce(b.n_active, 0) AS n_active, b.matched_list, b.matched_domain,
        coalesce(b.matched_list <> 'allow', false) AS blocked
-FROM caps c LEFT JOIN best b ON c.page_id = b.page_id AND c.url IS NOT DISTINCT FROM b.url
+FROM caps c LEFT JOIN best b ON c.n = b.n
 """
 
 

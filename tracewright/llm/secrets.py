@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import salted_left_join, scratch
+from .common import hot_keys, salted_left_join, scratch, spread_left_join, stored
 
 #: Kinds in the order that breaks ties of equal starts: name, pattern, and the group whose length must reach `least`.
 #: `[0-9a-f]{16,}` finds what greedy `[0-9a-f]+` finds less the runs under 16, and likewise AKIA: a run that is too short
@@ -112,7 +112,7 @@ def content_addressed(docs: DataFrame, path: str = "doc_id", text: str = "text")
 def found_in(paths: DataFrame, ledger: DataFrame, rule_version: str = RULE_VERSION) -> DataFrame:
     """(path, blob, spans) for every row of paths(path, blob), from the ledger; spans are empty where it has none."""
     dirty = ledger.where((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).select("blob", "spans")
-    joined = salted_left_join(paths.select("path", "blob"), dirty, "blob", "path")
+    joined = salted_left_join(paths.select("path", "blob"), dirty, "blob")
     return joined.withColumn("spans", F.coalesce("spans", F.array().cast(SPAN)))
 
 
@@ -189,16 +189,23 @@ def without_spans(text: Column, spans: Column, mark: str) -> Column:
     return bound(F.struct(spans.alias("spans"), ends.alias("ends"), pieces.alias("pieces"), F.length(text).alias("n")), cleaned)
 
 
-def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every found span replaced by the mark; n_chars follows. Overlapping spans give one mark. All rows stay."""
-    found, _ = find_secrets(docs)
-    dirty = found.where(F.size("spans") > 0).groupBy("path", "blob").agg(F.first("spans").alias("spans"))
+def redacted(docs: DataFrame, mark: str = "[SECRET]", ledger: DataFrame | None = None) -> DataFrame:
+    """docs with every found span replaced by the mark; n_chars follows. Overlapping spans give one mark. All rows stay.
+
+    ledger: one that holds all of docs' blobs, as ingested() gives; without it, all are scanned. Texts are joined to the dirty
+    blobs alone, and a blob of many rows is spread.
+    """
+    ledger = ingested(docs, batches=1) if ledger is None else ledger
+    found = found_in(content_addressed(docs), ledger).where(F.size("spans") > 0)
     own = max(docs.columns, key=len)  # longer names than any of docs' columns cannot clash
-    dirty = dirty.toDF(f"{own}_path", f"{own}_blob", f"{own}_spans")
-    same = F.col("doc_id").eqNullSafe(F.col(f"{own}_path")) & (F.sha2(F.col("text"), 256) == F.col(f"{own}_blob"))
-    joined = docs.join(dirty, same, "left")
-    text, spans = F.col("text"), F.col(f"{own}_spans")
-    out = joined.withColumn("text", F.when(spans.isNull(), text).otherwise(without_spans(text, spans, mark)))
+    blob, spans = f"{own}_blob", F.col(f"{own}_spans")
+    dirty = stored(found.groupBy("blob").agg(F.first("spans").alias("spans"), F.count(F.lit(1)).alias("_n")).toDF(blob, f"{own}_spans", "_n"), "dirty")
+    rows = dirty.agg(F.sum("_n")).first()[0] or 0
+    alias = {c: f"{own}_{i}" for i, c in enumerate(docs.columns)}  # such names as the join uses may be among docs' columns
+    named = docs.select(*[F.col(c).alias(a) for c, a in alias.items()], F.sha2(F.coalesce("text", F.lit("")), 256).alias(blob))
+    joined = spread_left_join(named, dirty.drop("_n"), blob, hot_keys(dirty, blob, rows))
+    text = F.col(alias["text"])
+    new = {"text": F.when(spans.isNull(), text).otherwise(without_spans(text, spans, mark))}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(spans.isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(spans.isNull(), F.col(alias["n_chars"])).otherwise(F.length(new["text"]).cast("long"))
+    return joined.select(*[new.get(c, F.col(a)).alias(c) for c, a in alias.items()])

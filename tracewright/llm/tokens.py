@@ -23,6 +23,8 @@ from .packing import LETTERS, NUMBERS, SPACES, SPECIAL
 
 LIMIT = 2048
 MEMO_ENTRIES = 300_000
+#: Longer words are not kept, so the memo's bytes are bounded too.
+MEMO_LETTERS = 64
 #: The tokenizer's split pattern over lower-cased Latin-1; white space is dropped.
 WORD = re.compile(f"[{LETTERS}]+|[{NUMBERS}]|'(?:s|t|re|ve|m|ll|d)|[^{SPACES}{LETTERS}{NUMBERS}]+")
 
@@ -52,7 +54,11 @@ def counted(texts: list[str], path: str) -> list[int]:
     _memo.update(zip(words, map(len, tool.encode_batch_fast(words, add_special_tokens=False)), strict=True))
     odd = [t for t, p in zip(texts, parts, strict=True) if p is None]
     rest = iter(tool.encode_batch_fast(odd, add_special_tokens=False) if odd else ())
-    return [sum(map(_memo.__getitem__, p)) if p is not None else len(next(rest)) for p in parts]
+    out = [sum(map(_memo.__getitem__, p)) if p is not None else len(next(rest)) for p in parts]
+    for w in missing:
+        if len(w) > MEMO_LETTERS:
+            del _memo[w]
+    return out
 
 
 def encode_misses(misses: DataFrame, path: str) -> DataFrame:
@@ -94,7 +100,7 @@ def of_version(cache: DataFrame, path: str) -> DataFrame:
 
 def joined_counts(rows: DataFrame, known: DataFrame, limit: int) -> DataFrame:
     """Counts for each row of digests(), from known(content, n_tokens)."""
-    out = salted_left_join(rows.select("doc_id", "n_bytes", "content"), known, "content", "doc_id")
+    out = salted_left_join(rows.select("doc_id", "n_bytes", "content"), known, "content")
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
