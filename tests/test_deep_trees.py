@@ -29,3 +29,31 @@ def test_ancestors_beyond_twelve_doublings(spark):
     sizes = {(r[0], r[1]): r[2] for r in got.selectExpr("trace_id", "idx", "size(ancestors)").collect()}
     assert all(sizes["t", str(i)] == i for i in range(4200))
     assert sizes["c", "x"] == 3
+
+
+def test_pairs_climb_deep_chains_and_cycles(spark):
+    """A chain of 100,000 spans, a fork, a parent that is missing and a cycle."""
+    deep = [("t", str(i), str(i - 1) if i else None) for i in range(100_000)]
+    rows = [("f", "r", None), ("f", "a", "r"), ("f", "b", "r"), ("f", "a1", "a"), ("f", "m", "gone"), ("c", "a", "b"), ("c", "b", "c"), ("c", "c", "a"), ("c", "x", "a")]
+    spans = spark.createDataFrame(deep + rows, "trace_id string, idx string, parent string")
+    asked = {
+        ("t", "99999", "0"): True, ("t", "99999", "77777"): True, ("t", "5", "6"): False, ("t", "5", "5"): False, ("f", "a1", "r"): True, ("f", "a1", "b"): False, ("f", "m", "gone"): False,
+        ("f", "none", "r"): False, ("c", "x", "c"): True, ("c", "a", "x"): False,
+    }
+    got = findings.above(spark.createDataFrame([(*k,) for k in asked] * 2, "trace_id string, low string, high string"), spans)
+    assert sorted(map(tuple, got.select("trace_id", "low", "high").collect())) == sorted(k for k, v in asked.items() if v)
+    assert findings.above(got.limit(0), spans).count() == 0
+
+
+def test_quotes_share_a_run(spark):
+    """Against the definition: a run of n characters of the shorter in the longer, or the whole of a short one."""
+    texts = ["", "abc", "abcdefgh", "xxabcdefghyy", "bcdefg", "zzzzzzzzzz", "hgfedcba", "a b c d e f"]
+    outer = spark.createDataFrame([("k", f"o{i}", t) for i, t in enumerate(texts)], "on string, high string, quote_key string")
+    inner = spark.createDataFrame([("k", f"i{i}", t) for i, t in enumerate(texts)] + [("other", "i9", "abcdefgh")], "on string, low string, tool_quote string")
+
+    def shared(a, b, n=6):
+        a, b = sorted((a, b), key=len)
+        return bool(a) and (a in b if len(a) < n else any(a[i : i + n] in b for i in range(len(a) - n + 1)))
+
+    want = sorted((f"o{i}", f"i{j}") for i, a in enumerate(texts) for j, b in enumerate(texts) if shared(a, b))
+    assert sorted((r["high"], r["low"]) for r in findings.sharing_quotes(outer, inner, ["on"], 6).collect()) == want

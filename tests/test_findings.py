@@ -50,7 +50,7 @@ def test_collapse(spark):
     up = findings.ancestors(df)
     assert {(r["trace_id"], r["idx"]): r["ancestors"] for r in up.collect() if r["trace_id"] == "t"} == {("t", "0"): [], ("t", "1"): ["0"], ("t", "2"): [], ("t", "3"): ["2"]}
     found = findings.deduplicated(scan.scan(df))
-    left = {(r["primary_idx"], r["failure_type"]) for r in findings.collapsed(found, up).collect()}
+    left = {(r["primary_idx"], r["failure_type"]) for r in findings.collapsed(found, df).collect()}
     every = {(r["primary_idx"], r["failure_type"]) for r in found.collect()}
     assert every - left == {("0", "tool_call_type_error")}
 
@@ -147,11 +147,21 @@ def test_root_cause_gold(spark):
 
 
 def test_observations(spark):
-    g = spark.createDataFrame([("t", "graph TD\n A --> B\n A[Start] -->|yes| C\n C --> D\n B --> D\n X --> Y\n Y --> X")], "trace_id string, graph string")
-    edges = observations.graph_edges(g)
-    assert [(r["src"], r["dst"]) for r in edges.orderBy("pos").collect()] == [("A", "B"), ("A", "C"), ("C", "D"), ("B", "D"), ("X", "Y"), ("Y", "X")]
-    order = [r["agent"] for r in observations.topological_order(edges).orderBy("rank").collect()]
-    assert order == ["A", "B", "C", "D", "X", "Y"]
+    text = """graph TD
+ a[A] --> b[B]
+ a[A]-->c[C]
+ c[C] --> d[D]
+ b[B] --> d[D]
+ a2[A] --> e[E]
+ x[X] --> y[Y]
+ y[Y] --> x[X]
+ y[Y] --> w[Behind]
+ 2b44[PlanningAgent] --> c1[Coder]
+ zz[Alone]
+ n --> m"""
+    g = spark.createDataFrame([("t", text), ("u", "a --> b"), ("v", None)], "trace_id string, graph string")
+    order = [r["agent"] for r in observations.agent_order(g).orderBy("rank").collect()]
+    assert order == ["A", "PlanningAgent", "Alone", "B", "C", "E", "Coder", "D", "X", "Y", "Behind"]
     obs = spark.createDataFrame([("t", 0, "r1", "Boss run", None, 1000, None, 0, 0), ("t", 1, "g", "chat", "r1", 1, None, 5, 6), ("t", 2, "x", "running 1 tool", "r1", 1, None, 50, 60), ("t", 3, "r2", "Boss run", None, 2000, "bad", 0, 0), ("t", 4, "g2", "chat", "r2", 1, None, 1, 2)],
                                 "trace_id string, ord int, id string, name string, parent_observation_id string, latency long, status_message string, input_tokens long, output_tokens long")
     runs = observations.agent_runs(obs)

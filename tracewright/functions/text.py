@@ -104,13 +104,59 @@ def idx_order(idx: Column) -> Column:
     return F.struct(kind.alias("kind"), F.coalesce(number.try_cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")).alias("number"), idx.alias("text"))
 
 
+#: Tokens of a literal: strings in either quotes with escapes, words, numbers, brackets and what is between; all else makes it none.
+TOKEN = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|[A-Za-z_]+|[-+]?\d[\d.eE+-]*|[\[\](){},:]|\s+|."""
+#: Pieces of a string's body: an escape, or what has none.
+PIECE = r"\\x[0-9A-Fa-f]{2}|\\.|[^\\]+"
+
+
+def _json_string(token: Column) -> Column:
+    """A quoted token as a JSON string: escaped apostrophes are plain, inner double quotes escaped."""
+    body = F.substring(token, F.lit(2), F.length(token) - 2)
+    quote, slash = F.lit('"'), F.lit("\\")
+
+    def piece(x: Column) -> Column:
+        mark = F.substring(x, F.lit(2), F.lit(1))
+        plain = F.replace(F.replace(x, quote, F.lit('\\"')), F.lit("\t"), F.lit("\\t"))
+        escaped = F.when(mark == "'", "'").when(mark == "x", F.concat(F.lit("\\u00"), F.substring(x, F.lit(3), F.lit(2)))).when(mark.isin(*'"\\/bfnrtu'), x).otherwise(F.concat(slash, x))
+        return F.when(F.startswith(x, slash), escaped).otherwise(plain)
+
+    return F.concat(quote, F.array_join(F.transform(F.regexp_extract_all(body, F.lit(PIECE), F.lit(0)), piece), ""), quote)
+
+
+def literal_json(x: Column) -> Column:
+    """A JSON or Python literal (strings in either quotes, None, True, False, numbers, lists, tuples, sets, dictionaries) as
+    JSON text; null where it is neither. True and False are the texts True and False, as they are in a list of names; of
+    Python's escapes, those that JSON lacks stay as they are written.
+    """
+    tokens = F.filter(F.regexp_extract_all(x, F.lit("(?s)" + TOKEN), F.lit(0)), lambda t: F.trim(F.translate(t, "\n\r\t", "   ")) != "")
+
+    def plain(t: Column) -> Column:
+        head = F.left(t, F.lit(1))
+        word = F.when(t.isin("None", "null"), "null").when(t.isin("True", "true"), '"True"').when(t.isin("False", "false"), '"False"')
+        bracket = F.when(t == "(", "[").when(t == ")", "]").when(t.isin(*"[]{},:"), t)
+        return F.when(head.isin("'", '"') & (F.length(t) > 1), _json_string(t)).when(head.rlike("[A-Za-z_]"), word).when(t.rlike(r"^[-+]?\d"), F.regexp_replace(t, r"^\+", "")).otherwise(bracket)
+
+    def closed(ts: Column) -> Column:
+        # A comma before a closing bracket says nothing, and braces without a colon are a set.
+        kept = F.filter(F.transform(ts, lambda t, i: F.when((t == ",") & F.coalesce(F.get(ts, i + 1).isin("]", "}"), F.lit(False)), "").otherwise(t)), lambda t: t != "")
+        joined = F.array_join(kept, "")
+        is_set = (F.get(ts, F.lit(0)) == "{") & (F.size(ts) > 2) & ~F.array_contains(ts, ":")
+        return F.when(is_set, F.concat(F.lit("["), F.substring(joined, F.lit(2), F.length(joined) - 2), F.lit("]"))).otherwise(joined)
+
+    # A token that is none of these is null, and so is the whole.
+    read = F.transform(tokens, plain)
+    whole = F.when(~F.exists(read, lambda t: t.isNull()), F.get(F.transform(F.array(read), closed), F.lit(0)))
+    return F.when(F.try_parse_json(whole).isNotNull(), whole)
+
+
 def as_list(x: Column) -> Column:
-    """A string as a list: a JSON list, else split at the first present of `;`, `|` and `,`; null vocabulary dropped."""
+    """A string as a list; null vocabulary dropped. In brackets: the items of a JSON or Python list, tuple or set, inner
+    lists as JSON; in braces: a JSON object as one item, as it is written. Else, and where brackets hold no literal, split
+    at the first present of `;`, `|` and `,`."""
     t = clean_scalar(x)
-    swapped = F.replace(t, F.lit("'"), F.lit('"'))
-    # A JSON list is read as it is; only what is none is tried with its quotes swapped.
-    text = F.when(F.try_parse_json(t).isNotNull(), t).when(F.try_parse_json(swapped).isNotNull(), swapped)
-    listed = F.when(t.startswith("["), F.from_json(text, "array<string>"))
+    text = F.when(t.rlike(r"(?s)^\[.*\]$|^\{.*\}$"), literal_json(t))
+    listed = F.when(F.startswith(text, F.lit("[")), F.from_json(text, "array<string>")).when(text.isNotNull(), F.array(t))
     cut = F.when(F.contains(t, F.lit(";")), F.split(t, ";")).when(F.contains(t, F.lit("|")), F.split(t, r"\|")).when(F.contains(t, F.lit(",")), F.split(t, ",")).otherwise(F.array(t))
     items = F.transform(F.coalesce(listed, cut), clean_scalar)
     return F.when(t.isNull(), F.array().cast("array<string>")).otherwise(F.filter(items, lambda v: v.isNotNull()))

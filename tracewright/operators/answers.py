@@ -95,11 +95,12 @@ def completion_verdict(findings: DataFrame) -> DataFrame:
 
 
 def equivalence_verdict(assertion: Column, score: Column) -> tuple[Column, Column]:
-    """(verdict, confidence) of an equivalence judge: its assertion, else a score from 0.5 on."""
-    s = F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0))
-    same = F.coalesce(assertion, s >= 0.5)
+    """(verdict, confidence) of an equivalence judge: its assertion, else a score from 0.5 on. Without a score the confidence is
+    high; with neither, the verdict is poor."""
+    s = F.when(score.isNotNull(), F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)))
+    same = F.coalesce(assertion, s >= 0.5, F.lit(False))
     sure = F.when(same, s).otherwise(1 - s)
-    return F.when(same, "ideal").otherwise("poor"), F.when(sure >= 0.8, "high").when(sure >= 0.5, "medium").otherwise("low")
+    return F.when(same, "ideal").otherwise("poor"), F.when(s.isNull() | (sure >= 0.8), "high").when(sure >= 0.5, "medium").otherwise("low")
 
 
 def last_marked_message(messages: DataFrame, mark: str = "FINAL ANSWER") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import quote_key
-from ..sources.storage import stored
+from ..sources.storage import stored, stored_count
 from .scan import explanation
 
 MAX_EVIDENCE = 5
@@ -61,23 +61,77 @@ def shares_run(a: Column, b: Column, n: int = SHARED) -> Column:
     return F.when((F.length(a) > 0) & (F.length(b) > 0), found).otherwise(False)
 
 
-def collapsed(findings: DataFrame, paths: DataFrame) -> DataFrame:
-    """Findings less those of provider and tool rules on a span above a TOOL span with the same metric, failure type and a
-    shared stretch of the quote. paths(trace_id, idx, ancestors): only TOOL spans' rows are used.
+def above(pairs: DataFrame, spans: DataFrame) -> DataFrame:
+    """Those of pairs(trace_id, low, high), distinct, whose span `high` is a proper ancestor of span `low`.
 
-    Each TOOL finding is sent to its span's ancestors, so the join is an equi-join on the span.
+    No list of ancestors is made. Tables of the 1st, 2nd, 4th, … ancestor of each span, of traces that have pairs, come from
+    joining each table to itself; a pair climbs from `low` by the bits of the difference in depth, and must arrive at `high`.
+    Work follows spans and pairs times the log of the depth. A parent that is not in the trace ends a chain. Spans on or
+    below a cycle have no depth: their pairs alone are looked up in ancestors().
+    """
+    pairs, n_pairs = stored_count(pairs.select("trace_id", "low", "high").distinct(), "pairs")
+    if not n_pairs:
+        return pairs
+    nodes = spans.select("trace_id", "idx", "parent").join(pairs.select("trace_id").distinct(), "trace_id", "left_semi").dropDuplicates(["trace_id", "idx"])
+    nodes = stored(nodes, "nodes")
+    most = nodes.groupBy("trace_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    real = nodes.select("trace_id", F.col("idx").alias("parent"), F.lit(1).alias("steps"))
+    # top: the span so many steps up.
+    up = nodes.join(real, ["trace_id", "parent"], "left").select("trace_id", "idx", F.when(F.col("steps") == 1, F.col("parent")).otherwise(F.col("idx")).alias("top"), F.coalesce("steps", F.lit(0)).cast("long").alias("steps"))
+    levels = [stored(up, "climb")]
+    while (1 << (len(levels) - 1)) <= most:
+        last = levels[-1]
+        more = last.select("trace_id", F.col("idx").alias("top"), F.col("top").alias("_top"), F.col("steps").alias("_steps"))
+        step = last.join(more, ["trace_id", "top"]).select("trace_id", "idx", F.col("_top").alias("top"), (F.col("steps") + F.col("_steps")).alias("steps"), (F.col("_steps") > 0).alias("grew"))
+        step = stored(step, "climb")
+        levels.append(step.drop("grew"))
+        if step.where("grew").isEmpty():
+            break
+    depth = levels[-1].select("trace_id", "idx", "steps")
+    low, high = depth.toDF("trace_id", "low", "_low"), depth.toDF("trace_id", "high", "_high")
+    sized = pairs.join(low, ["trace_id", "low"]).join(high, ["trace_id", "high"])
+    # More steps than a trace has spans: a cycle.
+    endless = F.col("_low") > most
+    climb = sized.where(~endless & (F.col("_low") > F.col("_high"))).select("trace_id", "low", "high", (F.col("_low") - F.col("_high")).alias("_d"), F.col("low").alias("_at"))
+    for k, level in enumerate(levels):
+        jump = level.where(F.col("steps") == 1 << k).select("trace_id", F.col("idx").alias("_at"), F.col("top").alias("_to"))
+        moved = F.when(F.col("_d").bitwiseAND(F.lit(1 << k)) != 0, F.col("_to")).otherwise(F.col("_at"))
+        climb = climb.join(jump, ["trace_id", "_at"], "left").select("trace_id", "low", "high", "_d", moved.alias("_at"))
+    found = climb.where("_at = high").select("trace_id", "low", "high")
+    if most and sized.where(endless).isEmpty():
+        return found
+    rest = sized.where(endless).select("trace_id", "low", "high")
+    lists = ancestors(nodes.join(rest.select("trace_id").distinct(), "trace_id", "left_semi")).withColumnRenamed("idx", "low")
+    return found.unionByName(rest.join(lists, ["trace_id", "low"]).where(F.array_contains("ancestors", F.col("high"))).select("trace_id", "low", "high"))
+
+
+def sharing_quotes(outer: DataFrame, inner: DataFrame, on: list[str], n: int = SHARED) -> DataFrame:
+    """(on, high, quote_key, low) of outer(on, high, quote_key) and inner(on, low, tool_quote) whose quotes share a run of n
+    characters, or, if one is shorter, of which one holds the other; empty ones share nothing.
+
+    Long quotes meet in an index of their hashed windows of n characters and are then compared; only pairs with a short
+    quote are compared by their common columns alone.
     """
-    scope = F.col("v") < 2
+    windows = lambda q: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(q) - (n - 1)), lambda i: F.xxhash64(F.substring(q, i, n))))
+    long_o, long_i = outer.where(F.length("quote_key") >= n), inner.where(F.length("tool_quote") >= n)
+    met = long_o.withColumn("_w", F.explode(windows(F.col("quote_key")))).join(long_i.withColumn("_w", F.explode(windows(F.col("tool_quote")))), [*on, "_w"]).drop("_w").distinct()
+    short = outer.join(inner, on).where(F.least(F.length("quote_key"), F.length("tool_quote")) < n)
+    out = met.unionByName(short.select(*met.columns)).where(shares_run(F.col("quote_key"), F.col("tool_quote"), n))
+    return out.select(*on, "high", "quote_key", "low").distinct()
+
+
+def collapsed(findings: DataFrame, spans: DataFrame) -> DataFrame:
+    """Findings less those of provider and tool rules on a span above a TOOL span with the same metric, failure type and a
+    shared stretch of the quote. spans(trace_id, idx, parent): see above()."""
+    scope, on = F.col("v") < 2, ["trace_id", "metric_name", "failure_type"]
     findings = stored(findings, "grouped")
-    tool = findings.where(scope & (F.col("primary_kind") == "TOOL")).select("trace_id", "metric_name", "failure_type", F.col("primary_idx").alias("idx"), F.col("quote_key").alias("tool_quote"))
-    above = tool.join(paths, ["trace_id", "idx"]).select("trace_id", "metric_name", "failure_type", "tool_quote", F.explode("ancestors").alias("above")).distinct()
-    f, a = findings.alias("f"), above.alias("a")
-    cond = (
-        (F.col("f.trace_id") == F.col("a.trace_id")) & (F.col("f.metric_name") == F.col("a.metric_name")) & (F.col("f.failure_type") == F.col("a.failure_type"))
-        & (F.col("f.primary_idx") == F.col("a.above")) & (F.col("f.v") < 2) & (F.coalesce(F.col("f.primary_kind"), F.lit("")) != "TOOL")
-        & shares_run(F.col("f.quote_key"), F.col("a.tool_quote"))
-    )
-    return f.join(a, cond, "left_anti")
+    is_tool = F.coalesce(F.col("primary_kind") == "TOOL", F.lit(False))
+    inner = findings.where(scope & is_tool).select(*on, F.col("primary_idx").alias("low"), F.col("quote_key").alias("tool_quote")).distinct()
+    outer = findings.where(scope & ~is_tool).select(*on, F.col("primary_idx").alias("high"), "quote_key").distinct()
+    shared = stored(sharing_quotes(outer, inner, on), "shared")
+    gone = shared.join(above(shared, spans), ["trace_id", "low", "high"], "left_semi").select(*on, F.col("high").alias("primary_idx"), "quote_key", F.lit(False).alias("_tool"), F.lit(True).alias("_scope")).distinct()
+    marked = findings.withColumn("_tool", is_tool).withColumn("_scope", scope)
+    return marked.join(gone, [*on, "primary_idx", "quote_key", "_tool", "_scope"], "left_anti").select(*findings.columns)
 
 
 def validator_result(findings: DataFrame, spans: DataFrame) -> DataFrame:
@@ -100,15 +154,17 @@ def numbered_for_review(findings: DataFrame) -> DataFrame:
 
 
 def candidate_windows(findings: DataFrame, spans: DataFrame, radius: int = CONFIRM_WINDOW) -> DataFrame:
-    """(trace_id, finding_id, idx, ord, agent, text) of the spans within `radius` of each finding's first span.
+    """(trace_id, finding_id, idx, ord, agent, text) of the spans within `radius` of each finding's first span; where the trace
+    has no such span, that idx alone, with null in the other columns.
 
     A band join on equal (trace_id, ord): each finding names its 2 * radius + 1 places.
     """
     place = spans.select("trace_id", F.col("idx").alias("primary_idx"), F.col("ord").alias("_at"))
-    at = findings.select("trace_id", "finding_id", "primary_idx").join(place, ["trace_id", "primary_idx"])
-    near = at.select("trace_id", "finding_id", F.explode(F.sequence(F.col("_at") - radius, F.col("_at") + radius)).alias("ord"))
+    at = findings.select("trace_id", "finding_id", "primary_idx").join(place, ["trace_id", "primary_idx"], "left")
+    near = at.where("_at IS NOT NULL").select("trace_id", "finding_id", F.explode(F.sequence(F.col("_at") - radius, F.col("_at") + radius)).alias("ord"))
     shown = spans.select("trace_id", "ord", "idx", "agent", F.left(F.coalesce("text", F.lit("")), F.lit(CONFIRM_TEXT)).alias("text"))
-    return near.join(shown, ["trace_id", "ord"])
+    alone = at.where("_at IS NULL AND primary_idx IS NOT NULL").select("trace_id", "finding_id", F.col("primary_idx").alias("idx"))
+    return near.join(shown, ["trace_id", "ord"]).unionByName(alone, allowMissingColumns=True)
 
 
 def confirmed(findings: DataFrame, confirmations: DataFrame, windows: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,37 +81,44 @@ def run_errors(runs: DataFrame) -> DataFrame:
     return runs.where(F.coalesce("status_message", F.lit("")) != "").select("trace_id", "ord", "agent", F.col("status_message").alias("error_message"))
 
 
-def graph_edges(graphs: DataFrame) -> DataFrame:
-    """graphs(trace_id, graph), Mermaid text, as (trace_id, pos, src, dst); labels and node shapes are dropped."""
-    edge = r"(?m)^\s*([A-Za-z0-9_]+)[^\n]*?--[->.|=]*[^\n]*?>\s*(?:\|[^|\n]*\|\s*)?([A-Za-z0-9_]+)"
-    pair = F.arrays_zip(F.regexp_extract_all("graph", F.lit(edge), F.lit(1)).alias("src"), F.regexp_extract_all("graph", F.lit(edge), F.lit(2)).alias("dst"))
-    return graphs.select("trace_id", F.posexplode(pair).alias("pos", "e")).select("trace_id", "pos", "e.src", "e.dst")
+#: How a Mermaid text names a node, and an edge between two named nodes.
+NODE, EDGE = r"(\w+)\[([^\]]+)\]", r"(\w+)\[([^\]]+)\]\s*-->\s*(\w+)\[([^\]]+)\]"
 
 
-def topological_order(edges: DataFrame) -> DataFrame:
-    """(trace_id, agent, rank): sources first, ties by appearance; what lies on a cycle follows in order of appearance.
+def agent_order(graphs: DataFrame) -> DataFrame:
+    """(trace_id, agent, rank) of graphs(trace_id, graph), Mermaid texts: the names in brackets, sources first, then whoever has
+    no predecessor left, in the order in which the last of them was placed. Agents without an edge follow the sources among
+    the edges; what lies on or behind a cycle follows at the end, in order of appearance. A node id that is named twice has its
+    last name; null texts and texts without named nodes give no rows.
 
-    A trace's graph has a node for each agent, so a group is small.
+    A graph is one row's text, so each is ordered within its row.
     """
 
-    def order(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        pairs = list(dict.fromkeys(zip(pdf["src"], pdf["dst"], strict=True)))
-        nodes = list(dict.fromkeys(n for p in pairs for n in p))
-        waits = {n: sum(d == n and s != n for s, d in pairs) for n in nodes}
-        ready, out = [n for n in nodes if not waits[n]], []
-        while ready:
-            n = ready.pop(0)
-            out.append(n)
-            for s, d in pairs:
-                if s == n and d != n:
-                    waits[d] -= 1
-                    if not waits[d]:
-                        ready.append(d)
-        out += [n for n in nodes if n not in set(out)]
-        return pd.DataFrame({"trace_id": pdf["trace_id"].iloc[0], "agent": out, "rank": range(len(out))})
-
-    return edges.groupBy("trace_id").applyInPandas(order, "trace_id string, agent string, rank int")
+    def order(text: str) -> list[str]:
+        named = re.findall(NODE, text)
+        name = dict(named)
+        after: dict[str, list[str]] = {}
+        waits: dict[str, int] = {}
+        for a, _, b, _ in re.findall(EDGE, text):
+            after.setdefault(name[a], []).append(name[b])
+            waits[name[b]] = waits.get(name[b], 0) + 1
+            waits.setdefault(name[a], 0)
+        waits = waits | {n: 0 for n in name.values() if n not in waits}
+        placed = [n for n, k in waits.items() if k == 0]
+        for n in placed:  # the list grows as agents lose their last predecessor
+            for m in after.get(n, ()):
+                waits[m] -= 1
+                if waits[m] == 0:
+                    placed.append(m)
+        left = waits.keys() - set(placed)
+        return placed + [n for n in dict.fromkeys(n for _, n in named) if n in left]
+
+    def run(batches):
+        for b in batches:
+            rows = [(t, n, i) for t, g in zip(b["trace_id"], b["graph"], strict=True) for i, n in enumerate(order(g))]
+            yield pd.DataFrame(rows, columns=["trace_id", "agent", "rank"])
+
+    return graphs.where("graph IS NOT NULL").select("trace_id", "graph").mapInPandas(run, "trace_id string, agent string, rank int")
 
 
 def timestamp_of(x: Column) -> Column:

@@ -115,11 +115,11 @@ def ranked_idxs(rows: DataFrame) -> DataFrame:
 
 
 def reports(rows: DataFrame) -> DataFrame:
-    """One diagnostic status a key: verdict, severity counts, ranked lists, primary type and culprit, first idx both ways."""
+    """One diagnostic status a key: verdict, severity counts, review targets and those of them whose evidence is invalid, ranked lists, primary type and culprit, first idx both ways."""
     rows = stored(rows, "issues")
     bad = lambda s: F.count_if(F.col("usable") & (F.col("severity") == s)).alias(f"{s}_issues")
     counts = rows.groupBy(*KEY).agg(
-        F.count_if("usable").alias("issues"), F.count_if(~F.col("usable")).alias("review_targets"), bad("critical"), bad("major"), bad("minor"),
+        F.count_if("usable").alias("issues"), F.count_if(~F.col("usable")).alias("review_targets"), F.count_if(~F.col("usable") & (F.col("evidence_status") == "invalid")).alias("invalid_findings"), bad("critical"), bad("major"), bad("minor"),
         F.coalesce(F.max(F.when(F.col("usable"), F.col("needs_human_review"))), F.lit(False)).alias("_asked"),
     )
     metric = rows.where("usable").groupBy(*KEY, "metric_name").agg(F.sum("score").alias("s")).groupBy(*KEY).agg(F.max_by("metric_name", F.struct("s", "metric_name")).alias("primary_metric"))
@@ -133,7 +133,7 @@ def reports(rows: DataFrame) -> DataFrame:
     out = counts.join(metric, KEY, "left").join(agents, KEY, "left").join(idxs, KEY, "left")
     verdict = F.when(F.col("issues") > 0, "issues_found").when(F.col("review_targets") > 0, "needs_review").otherwise("clean")
     return out.select(
-        *KEY, verdict.alias("verdict"), "issues", "review_targets", "critical_issues", "major_issues", "minor_issues",
+        *KEY, verdict.alias("verdict"), "issues", "review_targets", "invalid_findings", "critical_issues", "major_issues", "minor_issues",
         F.coalesce(F.size("problematic_agents"), F.lit(0)).alias("n_agents"), F.coalesce(F.size("problematic_idxs"), F.lit(0)).alias("n_idxs"),
         looked_up(F.col("primary_metric"), FAILURE_OF_METRIC, F.col("primary_metric")).alias("primary_failure_type"),
         F.get("problematic_agents", F.lit(0))["agent"].alias("primary_culprit_agent"), "first_problem_idx", "top_ranked_idx", "problematic_agents", "problematic_idxs", "_asked",

@@ -96,13 +96,25 @@ def q_task_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_agent_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A nation's suppliers as a chain of agents, its edges written last first, with labels and shapes."""
+    """A nation's suppliers as a binary tree of agents whose edges are written last first, with two agents on a cycle, one without
+    an edge, and every fourth under two node ids."""
     s = table(spark, sf_dir, "supplier")
-    link = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
-    edge = F.concat(F.lit("  s"), _str("s_suppkey"), F.lit("[agent] -->|then| s"), _str("next"))
-    edges = s.withColumn("next", F.lead("s_suppkey").over(link)).where("next IS NOT NULL").select(_str("s_nationkey").alias("trace_id"), (-F.col("s_suppkey")).alias("at"), edge.alias("e"))
-    text_of = F.concat(F.lit("graph TD\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "e"))), lambda x: x["e"]), "\n"))
-    return observations.topological_order(observations.graph_edges(edges.groupBy("trace_id").agg(text_of.alias("graph"))))
+    place = F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))
+    named = s.select("s_nationkey", "s_suppkey", place.alias("i"))
+    node = lambda i: F.concat(F.when(i % 4 == 0, F.lit("alias")).otherwise("n"), _str(i), F.lit("["), F.lit("Agent "), _str(i), F.lit("]"))
+    up = F.floor(F.col("i") / 2).cast("int")
+    edge = F.concat(F.lit("  "), node(up), F.lit(" --> "), node(F.col("i")))
+    again = F.when(F.col("i") % 4 == 0, F.concat(F.lit("\n  twin"), _str("i"), F.lit("[Agent "), _str("i"), F.lit("]"))).otherwise("")
+    lines = named.where("i > 1").select(_str("s_nationkey").alias("trace_id"), (-F.col("i")).alias("at"), F.concat(edge, again).alias("e"))
+    ends = F.lit("\n  x[Cycle A] --> y[Cycle B]\n  y[Cycle B] --> x[Cycle A]\n  z[Alone]")
+    text_of = F.concat(F.lit("graph TD\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "e"))), lambda x: x["e"]), "\n"), ends)
+    return observations.agent_order(lines.groupBy("trace_id").agg(text_of.alias("graph")))
+
+
+AGENT_ORDER_SQL = """WITH s AS (SELECT s_nationkey AS k, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS i, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier),
+placed AS (SELECT k, 'Agent ' || i AS agent, floor(log2(i)) AS level, -i AS pos FROM s WHERE n > 1
+  UNION ALL SELECT DISTINCT k, 'Alone', 0, 0 FROM s WHERE n > 1 UNION ALL SELECT DISTINCT k, 'Cycle A', 99, 0 FROM s WHERE n > 1 UNION ALL SELECT DISTINCT k, 'Cycle B', 99, 1 FROM s WHERE n > 1)
+SELECT CAST(k AS VARCHAR) AS trace_id, agent, row_number() OVER (PARTITION BY k ORDER BY level, pos) - 1 AS rank FROM placed"""
 
 
 def q_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,12 +235,13 @@ FROM (SELECT user_id, count(*) FILTER (event_id % 90 = 0) AS n, min(event_id) FI
 
 def q_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
-    verdict, confidence = answers.equivalence_verdict(F.when(k % 4 == 0, True).when(k % 4 == 1, False), (k % 121 - 10) / 100)
+    verdict, confidence = answers.equivalence_verdict(F.when(k % 4 == 0, True).when(k % 4 == 1, False), F.when(k % 7 > 1, (k % 121 - 10) / 100))
     return table(spark, sf_dir, "orders").select("o_orderkey", verdict.alias("verdict"), confidence.alias("confidence"))
 
 
-EQUIVALENCE_SQL = """SELECT o_orderkey, CASE WHEN same THEN 'ideal' ELSE 'poor' END AS verdict, CASE WHEN sure >= 80 THEN 'high' WHEN sure >= 50 THEN 'medium' ELSE 'low' END AS confidence
-FROM (SELECT *, CASE WHEN same THEN s ELSE 100 - s END AS sure FROM (SELECT o_orderkey, s, CASE o_orderkey % 4 WHEN 0 THEN true WHEN 1 THEN false ELSE s >= 50 END AS same FROM (SELECT o_orderkey, least(greatest(o_orderkey % 121 - 10, 0), 100) AS s FROM orders)))"""
+EQUIVALENCE_SQL = """SELECT o_orderkey, CASE WHEN same THEN 'ideal' ELSE 'poor' END AS verdict, CASE WHEN s IS NULL OR sure >= 80 THEN 'high' WHEN sure >= 50 THEN 'medium' ELSE 'low' END AS confidence
+FROM (SELECT *, CASE WHEN same THEN s ELSE 100 - s END AS sure FROM (SELECT o_orderkey, s, CASE o_orderkey % 4 WHEN 0 THEN true WHEN 1 THEN false ELSE coalesce(s >= 50, false) END AS same
+  FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 7 > 1 THEN least(greatest(o_orderkey % 121 - 10, 0), 100) END AS s FROM orders)))"""
 
 
 def q_last_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -274,13 +287,19 @@ def q_binarised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strings of all shapes as lists, JSON with an apostrophe among them, without repeats."""
+    """Strings of all shapes as lists, without repeats: JSON with an apostrophe, Python lists with escaped quotes, None and True,
+    tuples, sets, a list that is neither, objects and separators."""
     k, n = F.col("p_partkey"), F.col("p_name")
-    written = F.when(k % 5 == 0, F.concat(F.lit('["O\'Neil", "'), n, F.lit('", "'), F.upper(n), F.lit('"]'))).when(k % 5 == 1, F.concat(F.lit("['"), n, F.lit("', 'b']"))).when(k % 5 == 2, F.concat(n, F.lit("; none ;B"))).when(k % 5 == 3, F.concat(n, F.lit(" | x, y"))).otherwise("n/a")
+    shapes = [
+        F.concat(F.lit('["O\'Neil", "'), n, F.lit('", "'), F.upper(n), F.lit('"]')), F.concat(F.lit("['"), n, F.lit("', 'b']")), F.concat(n, F.lit("; none ;B")), F.concat(n, F.lit(" | x, y")), F.lit("n/a"),
+        F.concat(F.lit("['O\\'Neil', 'say \"hi\"', '"), n, F.lit("']")), F.concat(F.lit("['a', None, True, "), _str(k), F.lit("]")), F.concat(F.lit("['"), n, F.lit("', ('b', \"it's\"),]")), F.lit("{'one'}"), F.concat(F.lit("[a, "), n, F.lit("]")), F.lit('{"agent": "A, B"}'),
+    ]
+    written = F.element_at(F.array(*shapes), (k % len(shapes) + 1).cast("int"))
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(text.distinct_ignoring_case(text.as_list(written)), "/").alias("items"))
 
 
-LISTS_SQL = """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'O''Neil/' || p_name WHEN 1 THEN p_name || '/b' WHEN 2 THEN p_name || '/B' WHEN 3 THEN p_name || '/x, y' ELSE '' END AS items FROM part"""
+LISTS_SQL = """SELECT p_partkey, CASE p_partkey % 11 WHEN 0 THEN 'O''Neil/' || p_name WHEN 1 THEN p_name || '/b' WHEN 2 THEN p_name || '/B' WHEN 3 THEN p_name || '/x, y' WHEN 4 THEN '' WHEN 5 THEN 'O''Neil/say "hi"/' || p_name
+  WHEN 6 THEN 'a/True/' || p_partkey WHEN 7 THEN p_name || '/["b","it''s"]' WHEN 8 THEN 'one' WHEN 9 THEN '[a/' || p_name || ']' ELSE '{"agent": "A, B"}' END AS items FROM part"""
 
 
 def q_raw_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -357,7 +376,7 @@ FROM last l LEFT JOIN obs o ON o.trace_id = l.trace_id AND o.click = l.run AND o
 g AS (SELECT user_id, event_id % 4 AS a, 't' || (min(event_id) % 5) || ',x' AS available FROM events WHERE event_type = 'view' GROUP BY ALL)
 SELECT CAST(user_id AS VARCHAR) AS trace_id, 'agent' || a AS agent, called, available FROM c FULL JOIN g USING (user_id, a)""",
     "task_pool": "SELECT CAST(n_regionkey AS VARCHAR) AS trace_id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS ord, n_name AS agent, 'speak for ' || n_name AS instructions, 'graph TD' AS graph FROM nation",
-    "agent_order": "SELECT CAST(s_nationkey AS VARCHAR) AS trace_id, 's' || s_suppkey AS agent, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS rank FROM supplier QUALIFY count(*) OVER (PARTITION BY s_nationkey) > 1",
+    "agent_order": AGENT_ORDER_SQL,
     "dialogue_states": """SELECT trace_id, 'helper' AS agent, msg, role, 'helper_' || CAST(before AS BIGINT) AS state_id, content_md5 FROM (SELECT CAST(conv_id AS VARCHAR) AS trace_id, role, row_number() OVER w - 1 AS msg, md5(text) AS content_md5,
   coalesce(sum(CASE WHEN turn % 3 = 1 THEN 2 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))""",
     "tree_spans": TREE_SQL,

@@ -105,7 +105,7 @@ def q_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = views.event_spans(spark, sf_dir)
-    return findings.collapsed(findings.deduplicated(scan.scan(spans)), findings.ancestors(spans))
+    return findings.collapsed(findings.deduplicated(scan.scan(spans)), spans)
 
 
 def q_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,14 +157,14 @@ idx_ranked AS (SELECT trace_id, mode, idx, count(*) AS findings_count, CAST(sum(
                FROM (SELECT *, unnest(idxs) AS idx FROM scored WHERE usable) GROUP BY trace_id, mode, idx)"""
 FAILURES_SQL = "CASE primary_metric " + " ".join(f"WHEN '{m}' THEN '{f}'" for m, f in report.FAILURE_OF_METRIC.items()) + " END"
 REPORT_SQL = f"""{AGENT_RANK_SQL}, {IDX_RANK_SQL},
-counts AS (SELECT trace_id, mode, count(*) FILTER (usable) AS issues, count(*) FILTER (NOT usable) AS review_targets, count(*) FILTER (usable AND severity = 'critical') AS critical_issues,
+counts AS (SELECT trace_id, mode, count(*) FILTER (usable) AS issues, count(*) FILTER (NOT usable) AS review_targets, count(*) FILTER (NOT usable AND status = 'invalid') AS invalid_findings, count(*) FILTER (usable AND severity = 'critical') AS critical_issues,
                   count(*) FILTER (usable AND severity = 'major') AS major_issues, count(*) FILTER (usable AND severity = 'minor') AS minor_issues, coalesce(bool_or(needs) FILTER (usable), false) AS asked
            FROM scored GROUP BY ALL),
 metric AS (SELECT trace_id, mode, arg_max(metric_name, (s, metric_name)) AS primary_metric FROM (SELECT trace_id, mode, metric_name, sum(score) AS s FROM scored WHERE usable GROUP BY ALL) GROUP BY ALL),
 a AS (SELECT trace_id, mode, count(*) AS n_agents, arg_min(agent, rank) AS primary_culprit_agent FROM ranked GROUP BY ALL),
 i AS (SELECT trace_id, mode, count(*) AS n_idxs, arg_min(idx, CAST(idx AS BIGINT)) AS first_problem_idx, arg_min(idx, rank) AS top_ranked_idx FROM idx_ranked GROUP BY ALL),
 status AS (SELECT trace_id, mode, CASE WHEN issues > 0 THEN 'issues_found' WHEN review_targets > 0 THEN 'needs_review' ELSE 'clean' END AS verdict, issues, review_targets, critical_issues, major_issues, minor_issues,
-           coalesce(n_agents, 0) AS n_agents, coalesce(n_idxs, 0) AS n_idxs, {FAILURES_SQL} AS primary_failure_type, primary_culprit_agent, first_problem_idx, top_ranked_idx, asked OR (issues = 0 AND review_targets > 0) AS review_required
+           coalesce(n_agents, 0) AS n_agents, coalesce(n_idxs, 0) AS n_idxs, {FAILURES_SQL} AS primary_failure_type, primary_culprit_agent, first_problem_idx, top_ranked_idx, asked OR (issues = 0 AND review_targets > 0) AS review_required, invalid_findings
            FROM counts LEFT JOIN metric USING (trace_id, mode) LEFT JOIN a USING (trace_id, mode) LEFT JOIN i USING (trace_id, mode))"""
 
 LAMBDAS = (0.0, 0.25, 0.5, 1.0)
@@ -196,7 +196,7 @@ def _compared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     pred = rows.select(
         "mode", F.concat(F.lit("/runs/task_"), "trace_id", F.lit(".json")).alias("file"), F.when(F.col("trace_id").cast("long") % 2 == 0, F.col("trace_id")).alias("example_id"),
         F.transform(F.coalesce("problematic_agents", F.array().cast("array<struct<agent:string,findings_count:bigint>>")), lambda a: a["agent"]).alias("agents"), F.col("primary_culprit_agent").alias("primary_agent"),
-        F.transform(F.coalesce("problematic_idxs", F.array().cast("array<struct<idx:string,findings_count:bigint>>")), lambda a: a["idx"]).alias("idxs"), F.col("top_ranked_idx").alias("first_idx"), F.col("review_targets").alias("invalid_findings"),
+        F.transform(F.coalesce("problematic_idxs", F.array().cast("array<struct<idx:string,findings_count:bigint>>")), lambda a: a["idx"]).alias("idxs"), F.col("top_ranked_idx").alias("first_idx"), "invalid_findings",
     )
     return accuracy.evaluate(pred, annotations.normalised(views.gold(spark, sf_dir)), ["trace_id"])
 
@@ -222,7 +222,7 @@ def q_worst(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MATCH_SQL = f"""{REPORT_SQL},
 gold AS (SELECT DISTINCT user_id, 'agent' || (user_id % 5) AS g, [user_id % 50, user_id % 50 + 3] AS steps FROM events WHERE user_id % 4 <> 0),
-outcome AS (SELECT s.mode, '/runs/task_' || s.trace_id || '.json' AS file, g.user_id AS annotation_row_index, s.review_targets AS invalid_findings,
+outcome AS (SELECT s.mode, '/runs/task_' || s.trace_id || '.json' AS file, g.user_id AS annotation_row_index, s.invalid_findings,
   coalesce(s.primary_culprit_agent = g.g, false) AS agent_top1,
   EXISTS (SELECT 1 FROM ranked r WHERE r.trace_id = s.trace_id AND r.mode = s.mode AND r.agent = g.g) AS agent_hit,
   coalesce(s.n_agents = 1 AND s.primary_culprit_agent = g.g, false) AS agent_exact,
@@ -374,7 +374,7 @@ ORACLE_SQL = payload_queries.ORACLE_SQL | {
     "gate_modes": f"WITH {JUDGE_SQL} SELECT trace_id, mode, finding_index, usable, score, len(idxs) AS n_idxs FROM scored",
     "report_agent_rank": f"{AGENT_RANK_SQL} SELECT * FROM ranked",
     "report_idx_rank": f"WITH {JUDGE_SQL}, {IDX_RANK_SQL} SELECT * FROM idx_ranked",
-    "report_status": f"{REPORT_SQL} SELECT * FROM status",
+    "report_status": f"{REPORT_SQL} SELECT * EXCLUDE (invalid_findings) FROM status",
     "lambda_ablation": LAMBDA_SQL,
     "gold_match_cascade": f"{MATCH_SQL} SELECT * EXCLUDE (invalid_findings) FROM outcome",
     "gold_unmatched": f"{REPORT_SQL} SELECT mode, '/runs/task_' || trace_id || '.json' AS file FROM status WHERE CAST(trace_id AS BIGINT) % 4 = 0",

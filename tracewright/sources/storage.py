@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -21,3 +22,10 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = f"{where.rstrip('/')}/tracewright/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stored_count(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """stored(df), and the number of its rows, which the same job counts."""
+    seen = Observation()
+    out = stored(df.observe(seen, F.count(F.lit(1)).alias("n")), label)
+    return out, seen.get["n"]
