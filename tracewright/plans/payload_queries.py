@@ -320,6 +320,27 @@ def q_raw_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 RAW_EVIDENCE_SQL = f"""WITH {SPANS_SQL} SELECT trace_id, event_id AS finding_index, CASE event_id % 6 WHEN 4 THEN 'invalid' WHEN 2 THEN 'weak' WHEN 3 THEN 'weak' ELSE 'verified' END AS evidence_status, event_id % 6 <> 4 AS all_idxs_exist,
   event_id % 6 <> 4 AS quotes_found_in_idxs, event_id % 6 NOT IN (3, 4) AS culprit_agent_matches_evidence, event_id % 6 <> 2 AS idx_roles_are_plausible, event_id % 6 <> 4 AS usable_for_diagnosis FROM spans WHERE agent = 'error'"""
 
+
+def q_raw_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citations of error events against raw traces without blocks: under an id that the text holds, under one that is nowhere,
+    and with words that are nowhere under either."""
+    spans = views.event_spans(spark, sf_dir)
+    line = F.concat(F.lit('{"id": "Worker_'), _str(_id()), F.lit('", "said": "'), F.col("text"), F.lit('"}'))
+    raw = spans.groupBy("trace_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))), lambda x: x["line"]), "\n").alias("trace"))
+    err, kind = spans.where("agent = 'error'"), _id() % 4
+    idx = F.when(kind % 2 == 0, F.concat(F.lit("Worker_"), _str(_id()))).otherwise("nowhere")
+    cite = err.select("trace_id", F.lit("tool_selection").alias("metric_name"), _id().alias("finding_index"), F.lit(0).alias("evidence_index"), idx.alias("idx"), F.lit("primary").alias("role"), F.when(kind < 2, F.col("text")).otherwise("words that no span holds").alias("quote"))
+    none = spark.createDataFrame([], "trace_id string, write_ord long, idx string, content string, agent string, idx_type string, is_default boolean")
+    met = verify.resolved(cite, verify.idx_index(none, raw), raw)
+    return met.select("trace_id", "finding_index", "resolved_idx", "strategy", F.md5("content").alias("content_md5"), F.when(~F.col("used_raw"), F.col("resolved_agent")).alias("resolved_agent"), "idx_exists", "quote_found", "used_raw")
+
+
+RAW_REFERENCES_SQL = f"""WITH {SPANS_SQL}, raw AS (SELECT trace_id, string_agg('{{"id": "Worker_' || event_id || '", "said": "' || text || '"}}', chr(10) ORDER BY ord) AS trace FROM spans GROUP BY 1),
+cited AS (SELECT s.trace_id, event_id, event_id % 4 AS k, text, trace, instr(trace, text) - 1 AS pos FROM spans s JOIN raw USING (trace_id) WHERE agent = 'error')
+SELECT trace_id, event_id AS finding_index, CASE WHEN k % 2 = 0 THEN 'Worker_' || event_id ELSE 'nowhere' END AS resolved_idx, CASE k WHEN 1 THEN 'raw_quote_soft' WHEN 3 THEN 'unresolved' ELSE 'exact' END AS strategy,
+  CASE WHEN k = 1 THEN md5(trace[greatest(pos - 1800, 0) + 1 : pos + length(text) + 1800]) END AS content_md5, CASE WHEN k % 2 = 0 THEN 'Worker' END AS resolved_agent, k <> 3 AS idx_exists, k < 2 AS quote_found, k = 1 AS used_raw FROM cited"""
+
+
 def q_citeable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of a customer as agents' responses under ids that repeat, and failed ones as errors too: what can be cited."""
     o = table(spark, sf_dir, "orders").select(_str("o_custkey").alias("trace_id"), "o_orderkey", "o_orderpriority", "o_orderstatus")
@@ -360,7 +381,7 @@ QUERIES = {
     "task_pool": q_task_pool, "agent_order": q_agent_order, "dialogue_states": q_dialogue, "tree_spans": q_tree, "observation_spans": q_observation_spans, "unknown_format_spans": q_turns,
     "judge_prompts": q_prompts, "judge_answers": q_judge_answers, "confirmations": q_confirmed, "answer_routing": q_routed, "completion_verdicts": q_completion, "equivalence_verdicts": q_equivalence,
     "last_marked_answer": q_last_answer, "inferred_answers": q_inferred, "backfilled_verdicts": q_backfill, "root_cause_gold": q_root_gold, "binarised_gold": q_binarised, "listed_values": q_lists, "raw_trace_evidence": q_raw_evidence,
-    "citeable_index": q_citeable, "final_answers": q_final_answers,
+    "citeable_index": q_citeable, "raw_references": q_raw_references, "final_answers": q_final_answers,
 }
 ORACLE_SQL = {
     "observation_usage": f"""WITH {OBS_SQL}, last AS (SELECT trace_id, agent, max(event_id) AS run FROM obs WHERE event_type = 'click' GROUP BY ALL)
@@ -396,5 +417,6 @@ SELECT CAST(user_id AS VARCHAR) AS trace_id, 'agent' || a AS agent, called, avai
     "listed_values": LISTS_SQL,
     "raw_trace_evidence": RAW_EVIDENCE_SQL,
     "citeable_index": CITEABLE_SQL,
+    "raw_references": RAW_REFERENCES_SQL,
     "final_answers": FINAL_ANSWERS_SQL,
 }

@@ -239,6 +239,21 @@ def q_top_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("trace_id", "verdict", "issues", "primary_failure_type", "primary_culprit_agent", "top_ranked_idx")
 
 
+GONE_SQL = "s.trace_id = d.trace_id AND s.metric_name = d.metric_name AND s.failure_type = d.failure_type AND s.agent = d.agent AND s.quote_key = d.quote_key"
+TOP_AGENTS_SQL = (
+    COLLAPSE_SQL.replace("WITH RECURSIVE ", f"WITH RECURSIVE {JUDGE_SQL}, ", 1)
+    + f""", ev AS (SELECT trace_id, metric_name, failure_type, agent, quote_key, list(DISTINCT idx) AS idxs FROM (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY trace_id, metric_name, failure_type, agent, quote_key ORDER BY v, c, ord, r) <= 5) GROUP BY ALL),
+every AS (SELECT trace_id, metric_name, usable, score, agents, idxs FROM scored WHERE mode = 'soft'
+  UNION ALL SELECT d.trace_id, d.metric_name, true, CASE severity WHEN 'minor' THEN 1 ELSE 2 END * 1000000 * occurrences, [d.agent], ev.idxs FROM (SELECT * FROM dedup d ANTI JOIN share s ON {GONE_SQL}) d JOIN ev USING (trace_id, metric_name, failure_type, agent, quote_key)),
+metric AS (SELECT trace_id, arg_max(metric_name, (s, metric_name)) AS primary_metric FROM (SELECT trace_id, metric_name, sum(score) AS s FROM every WHERE usable GROUP BY ALL) GROUP BY ALL),
+a AS (SELECT trace_id, arg_max(agent, (n, s, -o)) AS primary_culprit_agent FROM (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY lower(agent)) AS o FROM (SELECT trace_id, agent, count(*) AS n, sum(score) AS s FROM (SELECT *, unnest(agents) AS agent FROM every WHERE usable) GROUP BY ALL)) GROUP BY ALL),
+i AS (SELECT trace_id, arg_max(idx, (n, s, -CAST(idx AS BIGINT))) AS top_ranked_idx FROM (SELECT trace_id, idx, count(*) AS n, sum(score) AS s FROM (SELECT *, unnest(idxs) AS idx FROM every WHERE usable) GROUP BY ALL) GROUP BY ALL),
+counts AS (SELECT trace_id, count(*) FILTER (usable) AS issues FROM every GROUP BY 1)
+SELECT trace_id, CASE WHEN issues > 0 THEN 'issues_found' ELSE 'needs_review' END AS verdict, issues, coalesce({FAILURES_SQL}, primary_metric) AS primary_failure_type, primary_culprit_agent, top_ranked_idx
+FROM counts LEFT JOIN metric USING (trace_id) LEFT JOIN a USING (trace_id) LEFT JOIN i USING (trace_id)"""
+)
+
+
 def q_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Citations of error events against their user's spans: exact, off by one, in the raw trace only, or nowhere."""
     spans = views.event_spans(spark, sf_dir)
@@ -360,6 +375,7 @@ QUERIES = {
 }
 QUERIES |= payload_queries.QUERIES
 ORACLE_SQL = payload_queries.ORACLE_SQL | {
+    "top_agents": TOP_AGENTS_SQL,
     "spans_from_events": f"WITH {SPANS_SQL} SELECT trace_id, ord, idx, text, agent, kind, parent FROM spans",
     "spans_from_conversations": CHAT_SQL,
     "format_detection": FORMATS_SQL,
@@ -367,7 +383,7 @@ ORACLE_SQL = payload_queries.ORACLE_SQL | {
     "rule_scan": f"{RAW_SQL} SELECT trace_id, idx, metric_name, failure_type, {SEVERITY_SQL} AS severity, s AS m_start, e AS m_end, quote FROM raw",
     "overlap_suppress": f"{RAW_SQL} SELECT trace_id, idx, metric_name, failure_type, {list(rules.VALIDATORS)}[v + 1] AS validator FROM k3",
     "finding_dedup": f"{DEDUP_SQL} SELECT trace_id, metric_name, failure_type, agent, quote_key, occurrences, primary_idx, severity, n_evidence FROM dedup",
-    "chain_collapse": f"{COLLAPSE_SQL} SELECT d.trace_id, d.metric_name, d.failure_type, d.agent, d.quote_key, occurrences, primary_idx FROM dedup d ANTI JOIN share s ON s.trace_id = d.trace_id AND s.metric_name = d.metric_name AND s.failure_type = d.failure_type AND s.agent = d.agent AND s.quote_key = d.quote_key",
+    "chain_collapse": f"{COLLAPSE_SQL} SELECT d.trace_id, d.metric_name, d.failure_type, d.agent, d.quote_key, occurrences, primary_idx FROM dedup d ANTI JOIN share s ON {GONE_SQL}",
     "validator_result": f"{DEDUP_SQL}, firsts AS (SELECT trace_id, metric_name, min((v, c, ord, r)) AS q FROM keyed GROUP BY ALL) SELECT t.trace_id, true AS agent_attribution_available, coalesce(n, 0) AS n_findings, coalesce(m, 0) AS n_metrics, first_metric FROM (SELECT DISTINCT trace_id FROM spans) t LEFT JOIN (SELECT trace_id, count(*) AS n, count(DISTINCT metric_name) AS m FROM dedup GROUP BY 1) USING (trace_id) LEFT JOIN (SELECT trace_id, arg_min(metric_name, q) AS first_metric FROM firsts GROUP BY 1) USING (trace_id)",
     "candidate_window": f"{DEDUP_SQL}, q AS (SELECT trace_id, metric_name, failure_type, agent, quote_key, min((v, c, ord, r)) AS q, arg_min(ord, (v, c, ord, r)) AS o FROM keyed GROUP BY trace_id, metric_name, failure_type, agent, quote_key), num AS (SELECT *, 'F' || (row_number() OVER (PARTITION BY trace_id ORDER BY mq, q) - 1) AS finding_id FROM (SELECT *, min(q) OVER (PARTITION BY trace_id, metric_name) AS mq FROM q)) SELECT n.trace_id, finding_id, s.idx, s.ord FROM num n JOIN spans s ON s.trace_id = n.trace_id AND s.ord BETWEEN n.o - 4 AND n.o + 4",
     "evidence_status": VERIFY_SQL,
