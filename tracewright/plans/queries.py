@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
-from ..operators import accuracy, answers, findings, metrics, observations, report, scan, verify
+from ..operators import accuracy, answers, findings, metrics, observations, payloads, report, scan, verify
 from ..sources import annotations, traces
 from . import payload_queries, views
 from .views import JUDGE_SQL, SPANS_SQL, quoted, table
@@ -233,6 +233,37 @@ outcome AS (SELECT s.mode, '/runs/task_' || s.trace_id || '.json' AS file, g.use
 ACC_SQL = ", ".join(f"count(*) FILTER ({c}) AS n_{c}" for c in accuracy.OUTCOMES)
 
 
+def q_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions of stored payloads: of the report where one is stored, else of one that is built."""
+    out = payloads.predictions(views.result_payloads(spark, sf_dir))
+    return out.select("file", "example_id", F.array_join("agents", ",").alias("agents"), "primary_agent", F.array_join("idxs", ",").alias("idxs"), "first_idx", "invalid_findings")
+
+
+PREDICTIONS_SQL = f"""{REPORT_SQL},
+a2 AS (SELECT trace_id, string_agg(agent, ',' ORDER BY rank) AS agents FROM ranked WHERE mode = 'soft' GROUP BY 1), i2 AS (SELECT trace_id, string_agg(idx, ',' ORDER BY rank) AS idxs FROM idx_ranked WHERE mode = 'soft' GROUP BY 1),
+built AS (SELECT trace_id, CAST(trace_id AS BIGINT) AS u, coalesce(agents, '') AS agents, primary_culprit_agent, coalesce(idxs, '') AS idxs, first_problem_idx, invalid_findings FROM status LEFT JOIN a2 USING (trace_id) LEFT JOIN i2 USING (trace_id) WHERE mode = 'soft')
+SELECT '/runs/task_' || u || '.json' AS file, trace_id AS example_id, CASE WHEN u % 3 > 0 THEN agents WHEN u % 2 = 1 THEN 'agent6,agent' || (u % 5) ELSE 'agent8,agent9' END AS agents,
+  CASE WHEN u % 3 > 0 THEN primary_culprit_agent WHEN u % 2 = 1 THEN 'agent6' ELSE 'agent8' END AS primary_agent, CASE WHEN u % 3 > 0 THEN idxs ELSE u || ',x7' END AS idxs,
+  CASE WHEN u % 3 > 0 THEN first_problem_idx ELSE trace_id END AS first_idx, CASE WHEN u % 3 > 0 THEN invalid_findings ELSE 1 END AS invalid_findings FROM built"""
+
+
+def q_payload_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports built of stored payloads, with the answer's status from its verification, the stored report or the answers, written
+    back into the payloads and read from there."""
+    made = payloads.with_reports(views.result_payloads(spark, sf_dir))
+    at = lambda path, kind: F.try_variant_get(F.parse_json("payload"), f"$.report.status.{path}", kind)
+    n = lambda k: F.size(F.try_variant_get(F.parse_json("payload"), f"$.report.diagnostic_report.{k}", "array<variant>"))
+    return made.select(
+        "file", at("diagnostic_status.verdict", "string").alias("verdict"), at("diagnostic_status.issues_count", "bigint").alias("issues"), n("issues").alias("n_issues"), n("review_targets").alias("n_targets"), at("diagnostic_status.primary_failure_type", "string").alias("primary_failure_type"),
+        at("answer_status.verdict", "string").alias("answer_verdict"), at("answer_status.verification_mode", "string").alias("verification_mode"), at("review_status.review_required", "boolean").alias("review_required"),
+    )
+
+
+PAYLOAD_REPORTS_SQL = f"""{REPORT_SQL}, said AS (SELECT *, CASE WHEN u % 4 = 1 THEN 'ideal' WHEN u % 3 = 0 THEN 'needs_review' WHEN u % 5 = 0 THEN 'incorrect' ELSE 'correct' END AS answer_verdict FROM (SELECT *, CAST(trace_id AS BIGINT) AS u FROM status WHERE mode = 'soft'))
+SELECT '/runs/task_' || u || '.json' AS file, verdict, issues, issues AS n_issues, review_targets AS n_targets, primary_failure_type, answer_verdict, CASE WHEN u % 4 = 1 THEN 'by_hand' WHEN u % 3 = 0 THEN 'manual' ELSE 'reference_based' END AS verification_mode,
+  review_required OR answer_verdict = 'needs_review' AS review_required FROM said"""
+
+
 def q_top_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: scan, overlap, dedup, collapse, weighted report, and each trace's main culprit."""
     rows = report.reports(_issues(spark, sf_dir, ("soft",), findings=_collapsed(spark, sf_dir), weights=(1.0,)))
@@ -371,11 +402,13 @@ QUERIES = {
     "rule_scan": q_rule_scan, "rule_scan_documents": q_document_scan, "overlap_suppress": q_overlap, "finding_dedup": q_dedup, "chain_collapse": q_collapse, "validator_result": q_result,
     "candidate_window": q_window, "evidence_status": q_verify, "gate_modes": q_gates, "report_agent_rank": q_agent_rank, "report_idx_rank": q_idx_rank, "report_status": q_reports,
     "lambda_ablation": q_lambda, "gold_match_cascade": q_matches, "gold_unmatched": q_unmatched, "verifier_ablation": q_accuracy, "topk_errors": q_worst, "confusion_f1": q_confusion,
-    "tool_efficiency": q_tool_efficiency, "trace_totals": q_trace_totals, "usage_by_agent": q_agent_usage, "cost_rollup": q_cost, "score_histogram": q_histogram, "tool_call_resolve": q_tool_calls, "answer_status": q_answers,
+    "tool_efficiency": q_tool_efficiency, "trace_totals": q_trace_totals, "stored_predictions": q_predictions, "payload_reports": q_payload_reports, "usage_by_agent": q_agent_usage, "cost_rollup": q_cost, "score_histogram": q_histogram, "tool_call_resolve": q_tool_calls, "answer_status": q_answers,
 }
 QUERIES |= payload_queries.QUERIES
 ORACLE_SQL = payload_queries.ORACLE_SQL | {
     "top_agents": TOP_AGENTS_SQL,
+    "stored_predictions": PREDICTIONS_SQL,
+    "payload_reports": PAYLOAD_REPORTS_SQL,
     "spans_from_events": f"WITH {SPANS_SQL} SELECT trace_id, ord, idx, text, agent, kind, parent FROM spans",
     "spans_from_conversations": CHAT_SQL,
     "format_detection": FORMATS_SQL,

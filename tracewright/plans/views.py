@@ -91,6 +91,35 @@ scored AS (SELECT judge.*, mode, CASE mode WHEN 'none' THEN true WHEN 'strict' T
            base * coalesce(CASE status WHEN 'verified' THEN 10 WHEN 'weak' THEN 7 WHEN 'invalid' THEN 0 END, 7) * 1000 AS score FROM judge, modes)"""
 
 
+def result_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, payload): a user's judge findings and verifications as a stored result; every third user has a report already, every
+    fourth an answer verification, and every second stored report lists neither agents nor a culprit."""
+    judge = judge_findings(spark, sf_dir)
+    place = (F.row_number().over(Window.partitionBy("trace_id", "metric_name").orderBy("finding_index")) - 1).cast("long")
+    both = judge.join(judge_verifications(judge).drop("v_ord"), ["trace_id", "metric_name", "finding_index"], "left").withColumn("at", place)
+    agents = F.transform("culprit_agents", lambda a: F.struct(a.alias("agent")))
+    finding = F.struct(F.col("severity").alias("severity_estimate"), F.col("confidence").alias("confidence_estimate"), agents.alias("culprit_agent_candidates"), F.transform("evidence_idxs", lambda i: F.struct(i.alias("idx"))).alias("evidence"), "needs_human_review")
+    checked = F.when(F.col("evidence_status").isNotNull(), F.struct(F.col("at").alias("finding_index"), "evidence_status", F.col("checks").alias("evidence_item_checks")))
+    listed = lambda x: F.transform(F.array_sort(F.collect_list(F.struct("at", x.alias("x")))), lambda v: v["x"])
+    metric = both.groupBy("trace_id", "metric_name").agg(listed(finding).alias("findings"), F.array_compact(listed(checked)).alias("verifications"))
+    entry = lambda x: F.map_from_entries(F.collect_list(F.struct("metric_name", x)))
+    tasks = metric.groupBy("trace_id").agg(F.to_json(entry(F.struct("metric_name", "findings"))).alias("metrics"), F.to_json(entry(F.struct("verifications"))).alias("checks"))
+    u = F.col("trace_id").cast("long")
+    named = u % 2 == 1
+    report = F.struct(
+        F.struct(
+            F.when(named, F.array(F.struct(F.concat(F.lit("agent"), (u % 5).cast("string")).alias("agent")))).alias("problematic_agents"),
+            F.array(F.struct(F.array(F.lit("agent8"), F.lit("agent9")).alias("culprit_agents"), F.array(F.col("trace_id"), F.lit("x7")).alias("problematic_idxs"))).alias("issues"),
+            F.array(F.struct(F.lit("Invalid").alias("evidence_status")), F.struct(F.lit("weak").alias("evidence_status"))).alias("review_targets"),
+        ).alias("diagnostic_report"),
+        F.struct(F.struct(F.when(named, "agent6").alias("primary_culprit_agent")).alias("diagnostic_status"), F.struct(F.lit("needs_review").alias("verdict"), F.lit("manual").alias("verification_mode")).alias("answer_status")).alias("status"),
+    )
+    verified = F.struct(F.lit("ideal").alias("verdict"), F.lit("by_hand").alias("verification_mode"))
+    rest = F.to_json(F.struct(F.when(u % 3 == 0, report).alias("report"), F.when(u % 4 == 1, verified).alias("final_answer_verification"), F.when(u % 5 == 0, "other").otherwise(F.concat(F.lit("Answer "), "trace_id", F.lit("."))).alias("model_answer"), F.concat(F.lit("answer "), "trace_id").alias("gold_answer")))
+    body = F.concat(F.expr("left(metrics, length(metrics) - 1)"), F.lit(', "evidence_verification": '), "checks", F.lit(", "), F.substring(rest, 2, 1 << 20))
+    return tasks.select(F.concat(F.lit("/runs/task_"), "trace_id", F.lit(".json")).alias("file"), body.alias("payload"))
+
+
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Annotations for three of four users."""
     u = table(spark, sf_dir, "events").select("user_id").distinct().where("user_id % 4 <> 0")
