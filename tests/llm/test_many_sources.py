@@ -33,5 +33,5 @@ def test_both_ways_place_alike(spark, small_docs, monkeypatch):
     blocks = {r["source"]: -(-r["n"] // 3) for r in small_docs.groupBy("source").agg(F.count("*").alias("n")).collect()}
     sizes = {r["source"]: r["count"] for r in small_docs.groupBy("source").count().collect()}
     plan = mixing.plan_table(spark, phases(blocks, {s: n**mixing.SMOOTHING for s, n in sizes.items()}, mixing.QUANTA))
-    got = mixing.placed_by_blocks(mixing.numbered(small_docs, 3, few=False), plan, 3).select(*columns)
+    got = mixing.placed_by_blocks(mixing.numbered(small_docs, 3, len(sizes)), plan, 3).select(*columns)
     assert sorted(map(tuple, got.collect())) == want

@@ -4,9 +4,10 @@ Each source's documents are cut into blocks. With weight w, its j-th block (from
 and due by slot ceil(j/w); earliest deadline first among the released blocks then serves one block a slot, and every
 source is less than one block from its share at every slot. Weights are multiples of 1/quanta, so the schedule repeats
 after `quanta` slots: only one such cycle is worked out on the driver (a table of at most `quanta` rows), and Spark places
-all blocks by joining it. When a source runs dry, the rest go on with their weights scaled up; so the schedule has at most
-one phase a source and every document is placed exactly once. With more than FEW_SOURCES sources the cycles have two quanta
-a source at least, are written in parts and unfolded to one row a block, and blocks are joined on (source, block) without
+all blocks by joining it. At the slot where a source runs dry the phase ends, and the next begins there with the weights of
+the rest scaled up: whole cycles, then the beginning of one more. So there are two phases a source at most, every document
+is placed exactly once, and in every phase each block is served in its window and no source is a block or more from its
+share. Where the plan may have more than PLAN_ROWS rows, it is written in parts and unfolded to one row a block, and blocks are joined on (source, block) without
 a broadcast; the plan has no more rows than there are blocks.
 
 Defined cases: a null source is a source of its own; sources without a weight get the least one; an empty table gives an
@@ -26,10 +27,12 @@ from .common import stored
 
 QUANTA = 1000
 BLOCK_DOCS = 16
-#: Sources whose cycles are broadcast; more are joined by blocks.
+#: With more sources than this, a cycle has two quanta a source at least.
 FEW_SOURCES = 500
-#: Rows of the plan that the driver holds at once, where it is written.
+#: Rows of the plan that are broadcast; a plan that may have more is written in parts of so many, and joined by blocks.
 PLAN_ROWS = 100_000
+#: Rows of bucket sizes that are broadcast; more are shuffled.
+SIZE_ROWS = 500_000
 #: Target weights follow the sources' sizes to this power, unless given.
 SMOOTHING = 0.7
 
@@ -74,8 +77,8 @@ def pfair_cycle(share: dict) -> list[tuple]:
 def pfair_phases(blocks: dict, weights: dict, quanta: int) -> Iterator[list[tuple]]:
     """Phase by phase, rows (source, phase, first_block, cycles, first_slot, j, slot_in_cycle, quanta, share).
 
-    A phase has `cycles` whole cycles of its active sources; `cycles` = 0 marks a single last cycle in which sources
-    that have run dry are skipped. first_block: the source's blocks placed before the phase.
+    A phase has `cycles` whole cycles of its active sources; `cycles` = 0 marks the beginning of a cycle, up to the slot in
+    which a source runs dry. first_block: the source's blocks placed before the phase.
     """
     left, slot, phase = dict(blocks), 0, 0
     while left := {s: n for s, n in left.items() if n > 0}:
@@ -91,14 +94,16 @@ def pfair_phases(blocks: dict, weights: dict, quanta: int) -> Iterator[list[tupl
             left.update({s: left[s] - whole * share[s] for s in active})
             phase += 1
             done = {s: blocks[s] - left[s] for s in active}
-        took, k, rows = dict.fromkeys(active, 0), 0, []
-        for s, j in cycle:
-            if left[s] > took[s]:
-                rows.append((s, phase, done[s], 0, slot, j, k, len(cycle), share[s]))
-                took[s] += 1
-                k += 1
+        if min(left.values()) == 0:
+            continue
+        took, rows = dict.fromkeys(active, 0), []
+        for k, (s, j) in enumerate(cycle):
+            rows.append((s, phase, done[s], 0, slot, j, k, len(cycle), share[s]))
+            took[s] += 1
+            if took[s] == left[s]:
+                break
         left.update({s: left[s] - n for s, n in took.items()})
-        slot += k
+        slot += len(rows)
         phase += 1
         yield rows
 
@@ -116,7 +121,7 @@ def plan_table(spark: SparkSession, phases: Iterator[list[tuple]]) -> DataFrame:
     return spark.read.schema(parts[0].schema).parquet(*[f for p in parts for f in p.inputFiles()])
 
 
-def numbered(docs: DataFrame, block_docs: int, few: bool = True) -> DataFrame:
+def numbered(docs: DataFrame, block_docs: int, n_sources: int) -> DataFrame:
     """doc_id, source, row (all columns of docs) and seq, a gapless number from 0 within the source, without sorting a source
     in one task.
 
@@ -126,13 +131,13 @@ def numbered(docs: DataFrame, block_docs: int, few: bool = True) -> DataFrame:
     spread = max(SPREAD, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select("doc_id", "source", F.struct("*").alias("row")).withColumn("_bucket", F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(spread)).cast("int"))
     sizes = rows.groupBy("source", "_bucket").count()
-    # With few sources at most FEW_SOURCES * spread rows, so it can be sent to all.
     before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("source", "_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
     inside = Window.partitionBy("source", "_bucket").orderBy(F.xxhash64("doc_id"), "doc_id")
     rows = rows.withColumn("_n", F.row_number().over(inside) - 1)
     on = rows["source"].eqNullSafe(sizes["source"]) & (rows["_bucket"] == sizes["_bucket"])
-    out = rows.join(F.broadcast(sizes) if few else sizes, on).select(rows["doc_id"], rows["source"], "row", (F.col("_n") + F.col("_before")).alias("seq"))
+    # There are n_sources * spread sizes at most.
+    out = rows.join(F.broadcast(sizes) if n_sources * spread <= SIZE_ROWS else sizes, on).select(rows["doc_id"], rows["source"], "row", (F.col("_n") + F.col("_before")).alias("seq"))
     return out.withColumn("block", F.floor(F.col("seq") / block_docs))
 
 
@@ -145,8 +150,7 @@ def pfair_mix(docs: DataFrame, weights: dict | None = None, block_docs: int = BL
     """doc_id, source, row (docs' own columns, so that none clash), block, phase, slot, release, deadline and position (the
     place in the mixed order, gapless but at blocks' ends).
 
-    release and deadline are the slots of the block's Pfair window in its phase, from the phase's first slot; slots of a
-    last cycle move forward where dry sources are skipped, so there slot >= release need not hold.
+    release and deadline are the slots of the block's Pfair window in its phase: release <= slot < deadline.
     """
     spark = docs.sparkSession
     sizes = {r["source"]: r["n"] for r in docs.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -154,13 +158,13 @@ def pfair_mix(docs: DataFrame, weights: dict | None = None, block_docs: int = BL
     given = weights or {s: n**SMOOTHING for s, n in sizes.items()}
     least = min(given.values(), default=1)
     phases = pfair_phases(blocks, {s: given.get(s, least) for s in blocks}, quanta)
-    if len(sizes) > FEW_SOURCES:
-        return placed_by_blocks(numbered(docs, block_docs, few=False), plan_table(spark, phases), block_docs)
+    if 2 * quanta * len(sizes) > PLAN_ROWS:
+        return placed_by_blocks(numbered(docs, block_docs, len(sizes)), plan_table(spark, phases), block_docs)
     plan = [r for rows in phases for r in rows]
-    # One row a slot of a cycle: at most 2 * quanta rows for each source that runs dry.
+    # One row a slot of a cycle: at most 2 * quanta rows for each source that runs dry, so PLAN_ROWS in all.
     cycles = F.broadcast(spark.createDataFrame(plan, PLAN).withColumn("last_block", F.col("first_block") + F.greatest(F.col("cycles"), F.lit(1)) * F.col("share")))
     spans = F.broadcast(spark.createDataFrame(phase_spans(plan, blocks), "s_source string, s_phase int, s_first long, s_end long, s_share long, s_cycles long"))
-    rows = numbered(docs, block_docs)
+    rows = numbered(docs, block_docs, len(sizes))
     placed = rows.join(spans, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("block") >= F.col("s_first")) & (F.col("block") < F.col("s_end")))
     placed = placed.withColumn("_j", F.when(F.col("s_cycles") > 0, F.pmod(F.col("block") - F.col("s_first"), F.col("s_share"))).otherwise(F.col("block") - F.col("s_first")) + 1)
     placed = placed.withColumn("_c", F.when(F.col("s_cycles") > 0, F.floor((F.col("block") - F.col("s_first")) / F.col("s_share"))).otherwise(0))
