@@ -76,3 +76,16 @@ def test_a_stream_of_spans_is_scanned_as_a_batch_is(spark, tmp_path):
     q = scanned(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/s")).writeStream.format("memory").queryName("hits").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {tuple(r) for r in spark.table("hits").collect()} == {tuple(r) for r in scan(df).collect()}
+
+
+def test_lines_that_are_no_objects_and_tables_of_any_size(spark, tmp_path):
+    from tracewright.sources import annotations
+
+    (tmp_path / "a.jsonl").write_text('{"x": 1}\n5\n\n"text"\n{"x": 2}\nnull\n')
+    assert [(r["row_index"], r["x"]) for r in annotations.read_annotations(spark, str(tmp_path / "a.jsonl")).orderBy("row_index").collect()] == [(0, 1), (1, 2)]
+    many = spark.range(0, 3000, 1, 3).selectExpr("id", "id / 7 AS share", "CASE WHEN id % 2 = 0 THEN 'a|b\nc' END AS said")
+    annotations.write_markdown(many, str(tmp_path / "table"))
+    lines = [x for f in sorted((tmp_path / "table").glob("part-*")) for x in f.read_text().splitlines()]
+    assert lines.count("| id | share | said |") == lines.count("|---|---|---|") == 3
+    assert [x for x in lines if x.startswith("| 2 |")] == ["| 2 | 0.286 | a\\|b c |"] and [x for x in lines if x.startswith("| 1 |")] == ["| 1 | 0.143 |  |"]
+    assert len(lines) == 3006

@@ -34,7 +34,8 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     """Annotations in JSON lines, JSON (a list, a wrapped list or one object), parquet, CSV or TSV, with row_index."""
     kind = path.rsplit(".", 1)[-1].lower()
     if kind in ("jsonl", "ndjson"):
-        return numbered(spark.read.json(path))
+        # Lines that are no JSON object are dropped.
+        return numbered(spark.read.option("mode", "DROPMALFORMED").json(path))
     if kind == "json":
         rows = spark.read.option("multiLine", True).json(path)
         for w in WRAPPERS:
@@ -115,11 +116,28 @@ def not_written(rows: DataFrame, written: DataFrame, key: str = "trace_id") -> D
     return rows.join(written.select(key).distinct(), key, "left_anti")
 
 
+def write_markdown(rows: DataFrame, path: str) -> None:
+    """A report table of any size as Markdown: text files of whole tables, one a partition, each with the heading; rows keep
+    their partitions' order. Numbers with a fraction have three places, bars and line ends in texts are escaped."""
+
+    def cell(name: str, kind: str) -> Column:
+        c = F.col(f"`{name}`")
+        text = F.format_string("%.3f", c.cast("double")) if kind in ("double", "float") or kind.startswith("decimal") else c.cast("string")
+        return F.coalesce(F.when(c.isNotNull(), F.replace(F.replace(text, F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))), F.lit(""))
+
+    heading = f"| {' | '.join(rows.columns)} |\n|{'---|' * len(rows.columns)}\n"
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(n, k) for n, k in rows.dtypes]), F.lit(" |"))
+    # The lower 33 bits count a partition's rows.
+    is_first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    rows.select(F.when(is_first, F.concat(F.lit(heading), line)).otherwise(line).alias("value")).write.text(path)
+
+
 def markdown_table(rows: DataFrame, most: int = 500) -> str:
-    """A report table for people. More than `most` rows are an error: such a table is written as files, not read."""
+    """A small report table for people, as one text. More than `most` rows are an error: such a table is not held by the driver
+    but written, by write_markdown."""
     got = rows.limit(most + 1).collect()
     if len(got) > most:
-        raise ValueError(f"more than {most} rows; write them with write_csv or write_json")
+        raise ValueError(f"more than {most} rows; write them with write_markdown")
     cell = lambda v: "" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v).replace("|", "\\|").replace("\n", " ")
     lines = [f"| {' | '.join(rows.columns)} |", f"|{'---|' * len(rows.columns)}"]
     return "\n".join(lines + [f"| {' | '.join(map(cell, r))} |" for r in got])
