@@ -1,6 +1,7 @@
 """Span trees of any depth keep all their spans and ancestors."""
 
 import json
+import random
 
 from tracewright.operators import findings
 from tracewright.sources import traces
@@ -57,3 +58,46 @@ def test_quotes_share_a_run(spark):
 
     want = sorted((f"o{i}", f"i{j}") for i, a in enumerate(texts) for j, b in enumerate(texts) if shared(a, b))
     assert sorted((r["high"], r["low"]) for r in findings.sharing_quotes(outer, inner, ["on"], 6).collect()) == want
+
+
+def test_own_texts_against_a_recursive_walk():
+    """Random trees with brackets and quotes inside strings, child lists that are none, and nodes that are no objects."""
+    rng = random.Random(7)
+    values = [None, 5, -1.5e3, 'a,"]}{[\\', True, [1, {"child_spans": [{"x": 1}]}, "]"], {"spans": [1], "k": "é\ud83d"}, [], {}]
+
+    def node(depth):
+        if rng.random() < 0.15:
+            return rng.choice([v for v in values if not isinstance(v, dict)])
+        made = {"span_id": str(rng.random()), "v": rng.choice(values)}
+        if rng.random() < 0.7:
+            made["child_spans"] = [node(depth + 1) for _ in range(rng.randrange(4))] if depth < 6 and rng.random() < 0.8 else rng.choice([None, "x", {"a": [1]}])
+        return made | {"w": rng.choice(values)}
+
+    def walk(nodes, up, out):
+        for n in nodes:
+            out.append((n, up))
+            at = len(out) - 1
+            if isinstance(n, dict) and isinstance(n.get("child_spans"), list):
+                out[at] = ({**n, "child_spans": []}, up)
+                walk(n["child_spans"], [*up, at], out)
+        return out
+
+    for _ in range(500):
+        tree = {"a": rng.choice(values), "spans": [node(0) for _ in range(rng.randrange(5))], "z": rng.choice(values)}
+        own, above = traces.own_texts(json.dumps(tree, indent=rng.choice([None, 1]), ensure_ascii=rng.random() < 0.5))
+        assert [(json.loads(x), up) for x, up in zip(own, above, strict=True)] == walk(tree["spans"], [], [])
+    assert [traces.own_texts(x) for x in ("[]", "5", "null", '{"spans": 5}', '[{"spans": [1]}]')] == [([], [])] * 5
+    assert traces.own_texts('{"sp\\u0061ns": [ 1 , {"child\\u005fspans": [ ]} ]}') == (["1", '{"child\\u005fspans": []}'], [[], []])
+
+
+def test_trees_are_one_narrow_plan(spark):
+    """No shuffle and no written level, at any depth; own texts hold no children."""
+    df = spark.createDataFrame([("a", deep(3)), ("b", "{broken"), ("c", None), ("d", '{"spans": [null, "x", [1, 2], {}]}')], "trace_id string, payload string")
+    nodes = traces.tree_nodes(df)
+    assert "Exchange" not in nodes._jdf.queryExecution().executedPlan().toString()
+    got = nodes.orderBy("trace_id", "ord").collect()
+    assert [(r["trace_id"], r["ord"], r["idx"], r["node"], r["ancestors"]) for r in got] == [
+        ("a", 0, "s0", None, []), ("a", 1, "s1", None, ["s0"]), ("a", 2, "s2", None, ["s0", "s1"]), ("d", 0, "0", None, []), ("d", 1, "1", "x", []), ("d", 2, "2", "[1,2]", []), ("d", 3, "3", None, []),
+    ]
+    assert json.loads(got[1]["own"]) == {"span_id": "s1", "span_name": "n", "child_spans": []}
+    assert traces.tree_nodes(df.limit(0)).count() == 0

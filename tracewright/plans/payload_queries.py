@@ -133,23 +133,37 @@ def q_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions as span trees: a root, its nations, their suppliers."""
-    leaf = F.struct(F.concat(F.lit("s"), _str("s_suppkey")).alias("span_id"), F.col("s_name").alias("span_name"), F.lit("tool").alias("span_kind"))
+    """Regions as span trees: a root, its nations, their suppliers. Every sixth supplier has no id; suppliers' attributes name agents
+    in three ways and hold inputs and outputs; nations have what follows their children."""
+    k = F.col("s_suppkey")
+    said = lambda word: F.concat(F.lit(word), _str(k))
+    attrs = F.struct(
+        F.when(k % 7 == 0, said("Managed ")).alias("smolagents.managed_agents.0.name"), F.when(k % 4 == 1, said("Agent ")).alias("agent.name"), F.when(k % 4 < 3, said("Tool ")).alias("tool.name"),
+        F.when(k % 3 == 0, "llm").alias("openinference.span.kind"), F.lit("asked").alias("input.value"), F.lit("m").alias("llm.Messages"), said("said ").alias("output.value"), F.lit("").alias("note"),
+    )
+    leaf = F.struct(
+        F.when(k % 6 > 0, said("s")).alias("span_id"), F.col("s_name").alias("span_name"), F.lit("tool").alias("span_kind"), attrs.alias("span_attributes"), F.lit("OK").alias("status_code"),
+        F.when(k % 3 == 1, said("failed \\ \"")).alias("status_message"), F.when(k % 2 == 0, F.array(F.struct(said("e").alias("name")))).alias("events"), F.when(k % 5 == 1, said("] } log ")).alias("logs"),
+    )
     inner = lambda at, x: F.transform(F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), x.alias("x")))), lambda v: v["x"])
     kids = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(inner("s_suppkey", leaf).alias("kids"))
     n = table(spark, sf_dir, "nation").join(kids, F.col("n_nationkey") == F.col("s_nationkey"), "left")
-    node = F.struct(F.concat(F.lit("n"), _str("n_nationkey")).alias("span_id"), F.col("n_name").alias("span_name"), F.lit("chain").alias("span_kind"), F.col("kids").alias("child_spans"))
+    node = F.struct(F.concat(F.lit("n"), _str("n_nationkey")).alias("span_id"), F.col("n_name").alias("span_name"), F.col("kids").alias("child_spans"), F.lit("chain").alias("span_kind"))
     tops = n.groupBy("n_regionkey").agg(inner("n_nationkey", node).alias("kids")).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     root = F.struct(F.concat(F.lit("r"), _str("r_regionkey")).alias("span_id"), F.col("r_name").alias("span_name"), F.lit("agent").alias("span_kind"), F.col("kids").alias("child_spans"))
     raw = tops.select(_str("r_regionkey").alias("trace_id"), F.to_json(F.struct(F.array(root).alias("spans"))).alias("payload"))
     return traces.spans_of(raw).select("trace_id", "ord", "idx", "text", "agent", "kind", "parent", F.size("ancestors").alias("n_ancestors"))
 
 
-TREE_SQL = """WITH rows AS (
-  SELECT r_regionkey AS r, -1 AS n, -1 AS s, 'r' || r_regionkey AS idx, r_name AS agent, 'agent' AS k, CAST(NULL AS VARCHAR) AS parent, 0 AS n_ancestors FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)
-  UNION ALL SELECT n_regionkey, n_nationkey, -1, 'n' || n_nationkey, n_name, 'chain', 'r' || n_regionkey, 1 FROM nation
-  UNION ALL SELECT n_regionkey, n_nationkey, s_suppkey, 's' || s_suppkey, s_name, 'tool', 'n' || n_nationkey, 2 FROM supplier JOIN nation ON s_nationkey = n_nationkey)
-SELECT CAST(r AS VARCHAR) AS trace_id, row_number() OVER (PARTITION BY r ORDER BY n, s) - 1 AS ord, idx, agent || ' ' || k AS text, agent, upper(k) AS kind, parent, n_ancestors FROM rows"""
+TREE_SQL = """WITH named AS (SELECT *, s_suppkey AS k, CASE WHEN s_suppkey % 7 = 0 THEN 'Managed ' || s_suppkey END AS a, CASE WHEN s_suppkey % 4 = 1 THEN 'Agent ' || s_suppkey END AS b, CASE WHEN s_suppkey % 4 < 3 THEN 'Tool ' || s_suppkey END AS c FROM supplier),
+rows AS (
+  SELECT r_regionkey AS r, -1 AS n, -1 AS s, 'r' || r_regionkey AS idx, r_name || ' agent' AS text, r_name AS agent, 'AGENT' AS kind, CAST(NULL AS VARCHAR) AS parent, 0 AS n_ancestors FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)
+  UNION ALL SELECT n_regionkey, n_nationkey, -1, 'n' || n_nationkey, n_name || ' chain', n_name, 'CHAIN', 'r' || n_regionkey, 1 FROM nation
+  UNION ALL SELECT n_regionkey, n_nationkey, k, CASE WHEN k % 6 > 0 THEN 's' || k END,
+    concat_ws(' ', s_name, 'tool', 'OK', CASE WHEN k % 3 = 1 THEN 'failed \\ "' || k END, CASE WHEN k % 2 = 0 THEN '[{"name":"e' || k || '"}]' END, CASE WHEN k % 5 = 1 THEN '] } log ' || k END, a, b, c, CASE WHEN k % 3 = 0 THEN 'llm' ELSE 'said ' || k END),
+    coalesce(a, b, c, s_name), CASE WHEN k % 3 = 0 THEN 'LLM' ELSE 'TOOL' END, 'n' || n_nationkey, 2 FROM named JOIN nation ON s_nationkey = n_nationkey),
+placed AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY n, s) - 1 AS ord FROM rows)
+SELECT CAST(r AS VARCHAR) AS trace_id, ord, coalesce(idx, CAST(ord AS VARCHAR)) AS idx, text, agent, kind, parent, n_ancestors FROM placed"""
 
 
 def q_observation_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
-"""Raw traces (trace_id, payload) to spans (trace_id, ord, idx, text, agent, kind, parent, ancestors), in built-in functions.
+"""Raw traces (trace_id, payload) to spans (trace_id, ord, idx, text, agent, kind, parent, ancestors), in built-in functions but for
+the walk over a span tree.
 
 JSON objects inside a trace stay JSON text until a field is needed, so key order is the document's. Objects that become text
 are written compactly. A payload that is no JSON gives no spans and is listed by unreadable().
@@ -6,12 +7,15 @@ are written compactly. A payload that is no JSON gives no spans and is listed by
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import MAX_SPAN_TEXT
 from ..functions.text import CHAT_ROLES, observation_agent, present, role_agent, stripped
-from .storage import stored
 
 #: Keys under which unknown traces keep their steps, in order of precedence; attributes that name an agent.
 TRAJECTORY_KEYS = ("trajectory", "steps", "history", "spans", "messages", "events", "observations", "turns", "conversation")
@@ -78,45 +82,96 @@ def with_format(traces: DataFrame) -> DataFrame:
     return traces.where(F.try_parse_json("payload").isNotNull()).withColumn("detected_format", kind)
 
 
-def _attributes(node: Column) -> Column:
-    a = field(node, "span_attributes")
-    return F.coalesce(F.when(is_object(a), F.from_json(a, MAP)), F.from_json(F.lit("{}"), MAP))
+#: What a scan of JSON text has to tell apart: strings whole, brackets, and what stands between values.
+TOKEN = re.compile(r'"[^"\\]*(?:\\.[^"\\]*)*"|[\[\]{},:]', re.S)
+
+
+def own_texts(payload: str) -> tuple[list[str], list[list[int]]]:
+    """All nodes of a span tree depth first: (each node's own JSON text, its child list emptied; the numbers of its ancestors).
+
+    One pass over the tokens of readable JSON with a stack of open brackets. Each character of the tree is in one text at
+    most, so the texts together are no longer than the payload, however deep it is.
+    """
+    own: list[str | None] = []
+    above: list[list[int]] = []
+    # An open bracket: [what it is, number of its node or its owner's, where it starts, where its current item starts, last key, child list]
+    stack: list[list] = []
+    last = None
+
+    def scalar(held: list, end: int) -> None:
+        item = payload[held[3] : end].strip()
+        if item and not item.startswith("{"):
+            own.append(item)
+            above.append(line(held[1]))
+
+    def line(owner: int | None) -> list[int]:
+        return [] if owner is None else [*above[owner], owner]
+
+    for m in TOKEN.finditer(payload):
+        at, c = m.start(), payload[m.start()]
+        top = stack[-1] if stack else None
+        if c == '"':
+            last = m.group()
+        elif c == ":":
+            top[4] = json.loads(last) if "\\" in last else last[1:-1]
+        elif c == "{":
+            kind, number = ("root" if top is None else "other"), None
+            if top and top[0] == "list":
+                kind, number = "node", len(own)
+                own.append(None)
+                above.append(line(top[1]))
+            stack.append([kind, number, at, None, None, None])
+        elif c == "[":
+            tree = top and (top[0], top[4]) in (("root", "spans"), ("node", "child_spans"))
+            stack.append(["list" if tree else "other", top[1] if tree else None, at, at + 1, None, None])
+        elif c == ",":
+            if top[0] == "list":
+                scalar(top, at)
+                top[3] = at + 1
+        else:
+            stack.pop()
+            if top[0] == "node":
+                i, j = top[5] or (at, at)
+                own[top[1]] = payload[top[2] : i] + ("[]" if top[5] else "") + payload[j : at + 1]
+            elif top[0] == "list":
+                scalar(top, at)
+                stack[-1][5] = (top[2], at + 1)
+    return own, above
+
+
+def tree_nodes(traces: DataFrame) -> DataFrame:
+    """(trace_id, ord, idx, own, node, fields, ancestors) of span trees, depth first, in one narrow pass at any depth: `own` is the
+    raw JSON text of a node without its children, `fields` an object's fields as text, `node` the text of what is no object;
+    idx is the node's id, else its running number. Payloads that are no JSON give no rows.
+    """
+
+    @F.pandas_udf("own array<string>, above array<array<int>>")
+    def nodes(payloads: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([own_texts(p) for p in payloads], columns=["own", "above"])
+
+    item = lambda x: F.get(F.from_json(F.concat(F.lit("["), x, F.lit("]")), LIST), F.lit(0))
+    held = lambda x: F.struct(x.alias("own"), F.when(~is_object(x), item(x)).alias("node"), F.when(is_object(x), F.from_json(x, MAP)).alias("fields"))
+    named = lambda x, i: F.coalesce(*[present(x["fields"][k]) for k in ("span_id", "spanId", "id")], i.cast("string"))
+    trees = traces.where(F.try_parse_json("payload").isNotNull()).select("trace_id", nodes("payload").alias("t"))
+    trees = trees.select("trace_id", F.transform("t.own", held).alias("nodes"), "t.above").withColumn("ids", F.transform("nodes", named))
+    lines = F.transform("above", lambda up: F.transform(up, lambda i: F.get(F.col("ids"), i)))
+    rows = trees.select("trace_id", F.posexplode(F.arrays_zip("nodes", "ids", lines.alias("lines"))).alias("ord", "x"))
+    return rows.select("trace_id", "ord", F.col("x.ids").alias("idx"), "x.nodes.*", F.col("x.lines").alias("ancestors"))
 
 
 def tree_spans(traces: DataFrame) -> DataFrame:
-    """Span trees depth first. Levels are unfolded one after the other, each node carrying its path of child numbers, which
-    sorts into pre-order, and its ancestors' ids. The loop ends at an empty level: a payload that the parser reads is finitely
-    deep, and one too deep for the parser is listed by unreadable()."""
-    empty = F.array().cast(LIST)
-    level = traces.select("trace_id", F.posexplode(items(field(F.col("payload"), "spans"))).alias("pos", "node"))
-    level = level.select("trace_id", F.array("pos").alias("path"), "node", empty.alias("ancestors"))
-    levels = []
-    while True:
-        node = F.col("node")
-        # Without an id a node is named by its path, which is unique; the running number is given below.
-        own = F.when(is_object(node), F.coalesce(*[present(field(node, k)) for k in ("span_id", "spanId", "id")]))
-        level = stored(level.withColumn("own", F.coalesce(own, F.concat(F.lit("#"), F.array_join(F.transform("path", lambda x: x.cast("string")), ".")))), "tree-level")
-        if level.isEmpty():
-            break
-        levels.append(level)
-        kids = level.where(is_object(node)).select("trace_id", "path", "ancestors", "own", F.posexplode(items(field(node, "child_spans"))).alias("pos", "node"))
-        level = kids.select("trace_id", F.array_append("path", F.col("pos")).alias("path"), "node", F.array_append("ancestors", F.col("own")).alias("ancestors"))
-    # One scan of all levels' files: a union of as many plans as levels would grow with the depth.
-    done = traces.sparkSession.read.schema(level.schema).parquet(*[f for x in levels for f in x.inputFiles()]) if levels else stored(level, "tree-level")
-    from pyspark.sql import Window
-
-    node, attrs = F.col("node"), _attributes(F.col("node"))
-    kind = F.upper(F.coalesce(present(attrs["openinference.span.kind"]), present(field(node, "span_kind"))))
+    """Span trees depth first: text and agent of each node from its own fields, without its children."""
+    given = F.col("fields")
+    attrs = F.coalesce(F.when(is_object(given["span_attributes"]), F.from_json(given["span_attributes"], MAP)), F.from_json(F.lit("{}"), MAP))
+    kind = F.upper(F.coalesce(present(attrs["openinference.span.kind"]), present(given["span_kind"])))
     keep = F.map_filter(attrs, lambda k, v: ~F.lower(k).contains("input") & ~F.lower(k).contains("messages") & ~((F.coalesce(kind, F.lit("")) == "LLM") & F.lower(k).contains("output")))
-    parts = [present(field(node, k)) for k in ("span_name", "span_kind", "status_code", "status_message", "events", "logs")]
+    parts = [present(given[k]) for k in ("span_name", "span_kind", "status_code", "status_message", "events", "logs")]
     text = F.concat_ws(" ", *parts, F.filter(F.map_values(keep), lambda v: v.isNotNull() & (v != "")))
-    agent = F.coalesce(*[present(attrs[k]) for k in AGENT_ATTRIBUTES], present(field(node, "span_name")))
-    order = Window.partitionBy("trace_id").orderBy("path")
-    out = done.withColumn("ord", F.row_number().over(order) - 1)
-    named = F.when(F.col("own").startswith("#"), F.col("ord").cast("string")).otherwise(F.col("own"))
-    return out.select(
-        "trace_id", "ord", named.alias("idx"), F.when(is_object(node), text).otherwise(node).alias("text"), F.when(is_object(node), agent).alias("agent"),
-        F.when(is_object(node), kind).alias("kind"), F.try_element_at("ancestors", F.lit(-1)).alias("parent"), "ancestors",
+    agent = F.coalesce(*[present(attrs[k]) for k in AGENT_ATTRIBUTES], present(given["span_name"]))
+    whole = given.isNotNull()
+    return tree_nodes(traces).select(
+        "trace_id", "ord", "idx", F.when(whole, text).otherwise(F.col("node")).alias("text"), F.when(whole, agent).alias("agent"), F.when(whole, kind).alias("kind"),
+        F.try_element_at("ancestors", F.lit(-1)).alias("parent"), "ancestors",
     )
 
 
