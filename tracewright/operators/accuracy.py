@@ -136,3 +136,36 @@ def cost_rollup(usage: DataFrame) -> DataFrame:
     grain = F.when(F.grouping("metric_name") == 0, "metric").when(F.grouping("failure_reason") == 0, "reason").otherwise("total")
     out = keys.agg(grain.alias("grain"), F.count(F.lit(1)).alias("calls"), F.sum("tokens").alias("tokens"), F.sum("seconds").alias("seconds"), F.countDistinct("task_id").alias("tasks"))
     return out.select("grain", "metric_name", "failure_reason", "calls", "tokens", "seconds", "tasks")
+
+
+#: What a stored result says of a task and of each metric's run.
+TASK_STATS, METRIC_STATUS = "struct<wall_s:double,input_tokens:double,output_tokens:double,total_tokens:double,metrics_ok:double,metrics_failed:double>", "map<string,struct<status:string,reason:string,duration_s:double,input_tokens:double,output_tokens:double,total_tokens:double>>"
+
+
+def status_rollup(payloads: DataFrame) -> DataFrame:
+    """payloads(file, payload): time, tokens and outcomes of a run, in one pass and one shuffle of short rows.
+
+    (grain, name, files, files_with_stats, ok, failed, seconds, input_tokens, output_tokens, total_tokens, avg_seconds, avg_tokens).
+    grain `total` sums task_stats, with averages over the tasks that have any (0 without one); `metric` sums metric_status by
+    metric; `reason` counts failed metrics by reason, `error` where none is given. A status other than `ok` has failed; missing
+    numbers are 0. A payload that is no JSON is a file without stats. Without payloads there is no row.
+    """
+    top = F.from_json("payload", "map<string,string>")
+    stats, status = F.from_json(top["task_stats"], TASK_STATS), F.from_json(top["metric_status"], METRIC_STATUS)
+    some = F.coalesce(F.size(F.json_object_keys(top["task_stats"])) > 0, F.lit(False))
+    rows = payloads.select(stats.alias("t"), status.alias("m"), some.alias("some"))
+    long = lambda c: F.coalesce(c, F.lit(0.0)).cast("long")
+
+    def item(grain, name, x, ok, failed, seconds, files=0, with_stats=0):
+        tokens = [long(x[c] if x is not None else F.lit(0.0)).alias(c) for c in ("input_tokens", "output_tokens", "total_tokens")]
+        return F.struct(F.lit(grain).alias("grain"), name.cast("string").alias("name"), F.lit(files).alias("files"), (F.lit(with_stats) if isinstance(with_stats, int) else with_stats).alias("files_with_stats"), ok.alias("ok"), failed.alias("failed"), F.coalesce(seconds, F.lit(0.0)).alias("seconds"), *tokens)
+
+    t, yes = F.col("t"), lambda v: F.coalesce(v["status"] == "ok", F.lit(False)).cast("long")
+    total = item("total", F.lit(None), t, long(t["metrics_ok"]), long(t["metrics_failed"]), t["wall_s"], 1, F.col("some").cast("int"))
+    each = F.map_entries(F.coalesce("m", F.from_json(F.lit("{}"), METRIC_STATUS)))
+    metric = F.transform(each, lambda e: item("metric", e["key"], e["value"], yes(e["value"]), 1 - yes(e["value"]), e["value"]["duration_s"]))
+    bad = F.filter(each, lambda e: yes(e["value"]) == 0)
+    reason = F.transform(bad, lambda e: item("reason", F.coalesce(e["value"]["reason"], F.lit("error")), None, F.lit(0).cast("long"), F.lit(1).cast("long"), F.lit(0.0)))
+    out = rows.select(F.inline(F.concat(F.array(total), metric, reason))).groupBy("grain", "name").agg(*[F.sum(c).alias(c) for c in ("files", "files_with_stats", "ok", "failed", "seconds", "input_tokens", "output_tokens", "total_tokens")])
+    mean = lambda c, digits: F.when(F.col("grain") == "total", F.round(F.col(c) / F.greatest("files_with_stats", F.lit(1)), digits))
+    return out.withColumns({"avg_seconds": mean("seconds", 2), "avg_tokens": mean("total_tokens", 1)})

@@ -167,6 +167,37 @@ def candidate_windows(findings: DataFrame, spans: DataFrame, radius: int = CONFI
     return near.join(shown, ["trace_id", "ord"]).unionByName(alone, allowMissingColumns=True)
 
 
+def review_input(findings: DataFrame, spans: DataFrame, whole: DataFrame | None = None, radius: int = CONFIRM_WINDOW) -> DataFrame:
+    """One row a trace with findings, what a confirming model is shown: (trace_id, findings, spans).
+
+    findings: structs in order of their number, with current_idx (the first cited span) and candidate_idxs (its window in span
+    order; the cited id alone where the trace has no such span). spans: each span that a finding cites or may be moved to,
+    once, in span order, with its whole text (of whole(trace_id, idx, text), such as traces.raw_texts(); its own text where that
+    has none) and, beside it, the text that rules see. Of spans that share an id the last counts. Texts are in the last
+    shuffle only, once a span; a row holds one trace's referenced spans.
+    """
+    windows = stored(candidate_windows(findings, spans, radius).select("trace_id", "finding_id", "idx", "ord"), "windows")
+    last = F.array_sort(F.collect_list(F.struct(F.coalesce("ord", F.lit(-1)).alias("ord"), "idx")))
+    offered = windows.groupBy("trace_id", "finding_id").agg(F.transform(last, lambda x: x["idx"]).alias("candidate_idxs"))
+    first = F.get("evidence", F.lit(0))
+    asked = findings.select("trace_id", "finding_id", "metric_name", "failure_type", "explanation", first["quote"].alias("quote"), F.col("primary_idx").alias("current_idx"))
+    asked = asked.join(offered, ["trace_id", "finding_id"], "left").withColumn("candidate_idxs", F.coalesce("candidate_idxs", F.array().cast("array<string>")))
+    item = F.struct(F.substring("finding_id", 2, 20).cast("long").alias("n"), "finding_id", "metric_name", "failure_type", "explanation", "quote", "current_idx", "candidate_idxs")
+    listed = asked.groupBy("trace_id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x.dropFields("n")).alias("findings"))
+    seen = windows.where("ord IS NOT NULL").select("trace_id", "idx").distinct()
+    cut = lambda c: F.left(F.coalesce(c, F.lit("")), F.lit(CONFIRM_TEXT))
+    shown = spans.join(seen, ["trace_id", "idx"], "left_semi").select("trace_id", "idx", "ord", F.col("agent").alias("role"), "kind", cut(F.col("text")).alias("stripped"))
+    if whole is None:
+        shown = shown.withColumn("text", F.col("stripped"))
+    else:
+        raw = whole.join(seen, ["trace_id", "idx"], "left_semi").groupBy("trace_id", "idx").agg(F.max(cut(F.col("text"))).alias("text"))
+        shown = shown.join(raw, ["trace_id", "idx"], "left").withColumn("text", F.coalesce("text", "stripped"))
+    one = shown.groupBy("trace_id", "idx").agg(F.max_by(F.struct("ord", "idx", "role", "kind", "text", "stripped"), "ord").alias("x"))
+    texts = one.groupBy("trace_id").agg(F.array_sort(F.collect_list("x")).alias("spans"))
+    none = F.array().cast(texts.schema["spans"].dataType)
+    return listed.join(texts, "trace_id", "left").withColumn("spans", F.coalesce("spans", none))
+
+
 def confirmed(findings: DataFrame, confirmations: DataFrame, windows: DataFrame) -> DataFrame:
     """findings with llm_verdict and corrected_idx. confirmations(trace_id, finding_id, n, verdict, corrected_idx): the first
     by n counts; a missing one means `uncertain`; a corrected idx counts only if it was offered in the finding's window."""

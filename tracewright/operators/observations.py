@@ -31,21 +31,41 @@ def pool_agents(traces: DataFrame) -> DataFrame:
 
 
 def messages(runs: DataFrame) -> DataFrame:
-    """runs(trace_id, agent_ord, agent, obs_ord, messages array<struct<role, parts array<struct<type, content, id, name>>>>)
-    as one row for each part, agents first, then observations, messages and parts in order."""
+    """runs(trace_id, agent_ord, agent, obs_ord, messages array<struct<role, parts array<struct<type, content, id, name, arguments,
+    result>>>>) as one row for each part, agents first, then observations, messages and parts in order."""
     each = runs.select("trace_id", "agent_ord", "agent", "obs_ord", F.posexplode("messages").alias("msg", "m"))
-    return each.select("trace_id", "agent_ord", "agent", "obs_ord", "msg", mapped_role(F.col("m.role")).alias("role"), F.posexplode("m.parts").alias("part", "p")).select("trace_id", "agent_ord", "agent", "obs_ord", "msg", "part", "role", "p.type", "p.content", "p.id", "p.name")
+    parts = each.select("trace_id", "agent_ord", "agent", "obs_ord", "msg", mapped_role(F.col("m.role")).alias("role"), F.posexplode("m.parts").alias("part", "p"))
+    return parts.select("trace_id", "agent_ord", "agent", "obs_ord", "msg", "part", "role", "p.type", "p.content", "p.id", "p.name", "p.arguments", "p.result")
 
 
 def dialogue(parts: DataFrame) -> DataFrame:
-    """Text parts of system, user and assistant messages; of a system message only the first part."""
-    return parts.where((F.col("type") == "text") & ((F.col("role") != "system") | (F.col("part") == 0)) & (F.col("role") != "tool"))
+    """What is said: the first part of system messages, and user and assistant parts that are no tool calls or their responses."""
+    role, tool = F.col("role"), F.coalesce(F.col("type").isin("tool_call", "tool_call_response"), F.lit(False))
+    return parts.where(F.col("content").isNotNull() & (((role == "system") & (F.col("part") == 0)) | (role.isin("user", "assistant") & ~tool)))
+
+
+def _numbered(parts: DataFrame, name: str) -> DataFrame:
+    order = Window.partitionBy("trace_id", "agent").orderBy("agent_ord", "obs_ord", "msg", "part")
+    return parts.withColumn(name, F.concat("agent", F.lit("_"), F.row_number().over(order).cast("string")))
+
+
+def responses(parts: DataFrame) -> DataFrame:
+    """An assistant's text parts with response_id `<agent>_<n>`, n counting an agent's responses from 1."""
+    return _numbered(parts.where("role = 'assistant' AND type = 'text' AND content IS NOT NULL"), "response_id")
 
 
 def states(parts: DataFrame) -> DataFrame:
-    """parts with state_id `<agent>_<n>`, n counting an agent's parts from 0."""
-    order = Window.partitionBy("trace_id", "agent").orderBy("obs_ord", "msg", "part")
-    return parts.withColumn("state_id", F.concat("agent", F.lit("_"), (F.row_number().over(order) - 1).cast("string")))
+    """The parts that change an agent's state, with state_type, content and state_id `<agent>_<n>`, n counting them from 1: texts of
+    user and assistant, tool calls (content: their arguments) and responses to them (their results), the first part of a
+    system message. Texts without content are none."""
+    role, type_ = F.col("role"), F.col("type")
+    said = F.col("content").isNotNull()
+    kind = (
+        F.when((role == "system") & (F.col("part") == 0) & said, "system.text").when(role.isin("user", "assistant") & (type_ == "text") & said, F.concat(role, F.lit(".text")))
+        .when((role == "assistant") & (type_ == "tool_call"), "assistant.tool_call").when((role == "user") & (type_ == "tool_call_response"), "user.tool_call_response")
+    )
+    content = F.when(kind == "assistant.tool_call", F.col("arguments")).when(kind == "user.tool_call_response", F.col("result")).otherwise(F.col("content"))
+    return _numbered(parts.withColumn("state_type", kind).where("state_type IS NOT NULL").withColumn("content", content), "state_id")
 
 
 def resolved_calls(calls: DataFrame, tool_runs: DataFrame) -> DataFrame:
@@ -54,7 +74,7 @@ def resolved_calls(calls: DataFrame, tool_runs: DataFrame) -> DataFrame:
     runs = tool_runs.where(F.col("name").startswith("running tool: ")).withColumn("name", F.substring("name", 15, 1 << 20))
     first = runs.groupBy("trace_id", "name", "call_id").agg(F.min_by(F.struct("output", "status_message"), "ord").alias("x"))
     out = calls.join(first, ["trace_id", "name", "call_id"], "left")
-    return out.select(*calls.columns, F.col("x.output").alias("result"), F.col("x.status_message").alias("status_message"), (F.coalesce("x.status_message", F.lit("")) != "").alias("is_invalid"))
+    return out.select(*calls.columns, F.col("x").isNotNull().alias("found"), F.col("x.output").alias("result"), F.col("x.status_message").alias("status_message"), (F.coalesce("x.status_message", F.lit("")) != "").alias("is_invalid"))
 
 
 def tools_of_agents(calls: DataFrame, generations: DataFrame) -> DataFrame:

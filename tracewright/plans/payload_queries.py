@@ -122,7 +122,7 @@ def q_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     none = F.lit(None).cast("string")
     part = lambda kind, content, name: F.struct(F.lit(kind).alias("type"), content.alias("content"), F.lit("c").alias("id"), name.alias("name"))
-    said, call = part("text", F.col("text"), none), part("tool-call", none, F.lit("look"))
+    said, call = part("text", F.col("text"), none), part("tool_call", none, F.lit("look"))
     parts = F.when(F.col("turn") % 3 == 1, F.array(said, call)).otherwise(F.array(said))
     message = F.struct(F.col("role"), parts.alias("parts"))
     listed = F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("turn", message.alias("m")))), lambda x: x["m"]))
@@ -132,6 +132,48 @@ def q_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spoken.select("trace_id", "agent", "msg", "role", "state_id", F.md5("content").alias("content_md5"))
 
 
+def q_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as tasks of two agents, the second silent: the helper's assistant turns call a tool whose runner succeeds, fails
+    or is not there by turn, user turns hold the responses. Every fourth has no pool, so that only its runs' errors count."""
+    c = table(spark, sf_dir, "conversations").withColumn("trace_id", _str("conv_id"))
+    t, none = F.col("turn"), F.lit(None).cast("string")
+    call = F.concat(F.lit("c"), _str(t))
+    part = lambda kind, **more: F.struct(F.lit(kind).alias("type"), *[more.get(k, none).alias(k) for k in ("content", "id", "name", "arguments", "result")])
+    extra = F.when(F.col("role") == "assistant", part("tool_call", id=call, name=F.lit("look"), arguments=F.concat(F.lit("{}"), _str(t)))).otherwise(part("tool_call_response", result=F.concat(F.lit("got "), _str(t))))
+    message = F.struct(F.col("role"), F.array(part("text", content=F.md5("text")), extra).alias("parts"))
+    each = lambda x: F.transform(F.array_sort(F.collect_list(F.struct("turn", x.alias("x")))), lambda v: v["x"])
+    shape = lambda kind, id_, name, **more: F.struct(F.lit(kind).alias("type"), id_.alias("id"), F.lit(name).alias("name"), *[more.get(k, F.lit(None).cast(t)).alias(k) for k, t in OBSERVATION.items()])
+    attributes = lambda **more: F.to_json(F.struct(F.struct(*[v.alias(k.replace("__", ".")) for k, v in more.items()]).alias("attributes")))
+    runner = F.when((F.col("role") == "assistant") & (t % 3 > 0), shape("SPAN", call, "running tool: look", metadata=attributes(gen_ai__tool__call__id=call, tool_response=F.concat(F.lit("r"), _str(t))), status_message=F.when(t % 3 == 2, "broke")))
+    k = F.col("conv_id")
+    task = shape("SPAN", F.lit("t"), "gaia_task_1", output=F.when(k % 4 > 0, F.lit('{"pool": [{"name": " helper ", "instructions": "lead"}, {"name": "second"}, {"name": ""}]}')))
+    run = shape("SPAN", F.lit("r"), "helper run", metadata=F.to_json(F.struct(F.struct(F.to_json("m").alias(observed.MESSAGES)).alias("attributes"))), latency=F.lit("1500"), status_message=F.when(k % 8 == 0, F.concat(F.lit("lost "), _str(k))))
+    spoken = shape("GENERATION", F.lit("g"), "chat", parent_observation_id=F.lit("r"), usage_details=F.concat(F.lit('{"input": '), _str(k), F.lit(', "output": 3}')), metadata=attributes(model_request_parameters=F.lit('{"function_tools": [{"name": "look"}, {"name": "ask"}]}')))
+    tasks = c.groupBy("trace_id", "conv_id").agg(each(message).alias("m"), F.array_compact(each(runner)).alias("runners"))
+    body = F.to_json(F.struct(F.lit("test").alias("environment"), F.struct(F.concat(F.lit("why "), _str(k)).alias("question")).alias("output"), F.concat(F.array(task, run, spoken), "runners").alias("observations")))
+    out = observed.evaluation_inputs(tasks.select("trace_id", body.alias("payload")))
+    lines = lambda c, *names: F.array_join(F.transform(c, lambda x: F.concat_ws("|", *[x[n].cast("string") for n in names])), "\n")
+    calls = F.array_join(F.transform("agent_states", lambda s: F.concat_ws("|", s["state_id"], s["type"], s["content"], s["tool_call"]["id"], s["tool_call"]["result"], s["tool_call"]["status_message"])), "\n")
+    tools = F.array_join(F.transform("agents_tools_info", lambda x: F.concat_ws("|", x["agent_name"], F.size(x["tools_called"]).cast("string"), F.array_join(x["available_tools"], ","))), "\n")
+    return out.select(
+        "trace_id", "user_query", "environment", lines("dialogue_history", "role", "content").alias("dialogue"), lines("agent_responses", "response_id", "content").alias("responses"), calls.alias("states"),
+        tools.alias("tools"), lines("agents_usage", "agent_name", "input_tokens", "output_tokens", "latency").alias("usage"), lines("agents_pool", "agent_name", "instructions").alias("pool"), lines("agents_errors", "agent_name", "error_message").alias("errors"),
+    )
+
+
+#: An observation's fields beside type, id and name, as the query writes them.
+OBSERVATION = dict.fromkeys(("metadata", "output", "parent_observation_id", "usage_details", "latency", "status_message"), "string")
+RECORDS_SQL = """WITH turns AS (SELECT conv_id AS k, turn, role, md5(text) AS said, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS nth FROM conversations WHERE conv_id % 4 > 0),
+shown AS (SELECT k, turn, 0 AS part, role || '.text|' || said AS line FROM turns
+  UNION ALL SELECT k, turn, 1, concat_ws('|', CASE WHEN role = 'user' THEN 'user.tool_call_response' WHEN turn % 3 = 2 THEN 'assistant.invalid_tool_call' ELSE 'assistant.tool_call' END,
+    CASE WHEN role = 'user' THEN 'got ' || turn ELSE '{}' || turn END, CASE WHEN role <> 'user' AND turn % 3 > 0 THEN 'c' || turn END, CASE WHEN role <> 'user' AND turn % 3 > 0 THEN 'r' || turn END, CASE WHEN role <> 'user' AND turn % 3 = 2 THEN 'broke' END) FROM turns WHERE role <> 'system'),
+states AS (SELECT k, string_agg('helper_' || place || '|' || line, chr(10) ORDER BY place) AS states FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY turn, part) AS place FROM shown) GROUP BY 1),
+spoken AS (SELECT k, string_agg(role || '|' || said, chr(10) ORDER BY turn) AS dialogue, string_agg('helper_' || nth || '|' || said, chr(10) ORDER BY turn) FILTER (role = 'assistant') AS responses, count(*) FILTER (role = 'assistant') AS calls FROM turns GROUP BY 1)
+SELECT CAST(c.k AS VARCHAR) AS trace_id, CASE WHEN s.k IS NOT NULL THEN 'why ' || c.k END AS user_query, 'test' AS environment, coalesce(dialogue, '') AS dialogue, coalesce(responses, '') AS responses, coalesce(states, '') AS states,
+  CASE WHEN s.k IS NOT NULL THEN 'helper|' || calls || '|look,ask' ELSE '' END AS tools, CASE WHEN s.k IS NOT NULL THEN 'helper|' || c.k || '|3|1.5' ELSE '' END AS usage, CASE WHEN s.k IS NOT NULL THEN 'helper|lead' || chr(10) || 'second' ELSE '' END AS pool,
+  CASE WHEN c.k % 8 = 0 THEN 'helper|lost ' || c.k ELSE '' END AS errors FROM (SELECT DISTINCT conv_id AS k FROM conversations) c LEFT JOIN spoken s USING (k) LEFT JOIN states t USING (k)"""
+
+
 def q_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions as span trees: a root, its nations, their suppliers. Every sixth supplier has no id; suppliers' attributes name agents
     in three ways and hold inputs and outputs; nations have what follows their children."""
@@ -392,7 +434,7 @@ FINAL_ANSWERS_SQL = """SELECT c_custkey, CASE WHEN c_custkey % 5 = 3 THEN CASE W
 
 QUERIES = {
     "observation_usage": q_obs_usage, "observation_agents": q_obs_agents, "observation_errors": q_obs_errors, "observation_states": q_obs_states, "observation_tools": q_obs_tools, "tools_of_agents": q_tools_of_agents,
-    "task_pool": q_task_pool, "agent_order": q_agent_order, "dialogue_states": q_dialogue, "tree_spans": q_tree, "observation_spans": q_observation_spans, "unknown_format_spans": q_turns,
+    "task_pool": q_task_pool, "agent_order": q_agent_order, "dialogue_states": q_dialogue, "evaluation_records": q_records, "tree_spans": q_tree, "observation_spans": q_observation_spans, "unknown_format_spans": q_turns,
     "judge_prompts": q_prompts, "judge_answers": q_judge_answers, "confirmations": q_confirmed, "answer_routing": q_routed, "completion_verdicts": q_completion, "equivalence_verdicts": q_equivalence,
     "last_marked_answer": q_last_answer, "inferred_answers": q_inferred, "backfilled_verdicts": q_backfill, "root_cause_gold": q_root_gold, "binarised_gold": q_binarised, "listed_values": q_lists, "raw_trace_evidence": q_raw_evidence,
     "citeable_index": q_citeable, "raw_references": q_raw_references, "final_answers": q_final_answers,
@@ -412,8 +454,9 @@ g AS (SELECT user_id, event_id % 4 AS a, 't' || (min(event_id) % 5) || ',x' AS a
 SELECT CAST(user_id AS VARCHAR) AS trace_id, 'agent' || a AS agent, called, available FROM c FULL JOIN g USING (user_id, a)""",
     "task_pool": "SELECT CAST(n_regionkey AS VARCHAR) AS trace_id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS ord, n_name AS agent, 'speak for ' || n_name AS instructions, 'graph TD' AS graph FROM nation",
     "agent_order": AGENT_ORDER_SQL,
-    "dialogue_states": """SELECT trace_id, 'helper' AS agent, msg, role, 'helper_' || CAST(before AS BIGINT) AS state_id, content_md5 FROM (SELECT CAST(conv_id AS VARCHAR) AS trace_id, role, row_number() OVER w - 1 AS msg, md5(text) AS content_md5,
-  coalesce(sum(CASE WHEN turn % 3 = 1 THEN 2 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))""",
+    "dialogue_states": """SELECT trace_id, 'helper' AS agent, msg, role, 'helper_' || CAST(before + 1 AS BIGINT) AS state_id, content_md5 FROM (SELECT CAST(conv_id AS VARCHAR) AS trace_id, role, row_number() OVER w - 1 AS msg, md5(text) AS content_md5,
+  coalesce(sum(CASE WHEN turn % 3 = 1 AND role = 'assistant' THEN 2 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))""",
+    "evaluation_records": RECORDS_SQL,
     "tree_spans": TREE_SQL,
     "observation_spans": OBSERVATION_SPANS_SQL,
     "unknown_format_spans": "SELECT CAST(conv_id AS VARCHAR) AS trace_id, ord, CAST(ord AS VARCHAR) AS idx, CASE WHEN turn % 2 = 0 THEN 'Bot ' || role ELSE role END AS agent, md5(text) AS content FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS ord FROM conversations)",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
@@ -125,6 +125,32 @@ def q_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.candidate_windows(marked, spans).select("trace_id", "finding_id", "idx", "ord")
 
 
+REVIEW_SQL = (
+    DEDUP_SQL
+    + """, q AS (SELECT trace_id, metric_name, failure_type, agent, quote_key, min((v, c, ord, r)) AS q, arg_min(ord, (v, c, ord, r)) AS o, arg_min(quote, (v, c, ord, r)) AS quote FROM keyed GROUP BY trace_id, metric_name, failure_type, agent, quote_key),
+num AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY mq, q) - 1 AS f, length(quote) % 5 = 0 AS lost FROM (SELECT *, min(q) OVER (PARTITION BY trace_id, metric_name) AS mq FROM q)),
+near AS (SELECT n.trace_id, f, s.ord, s.idx, s.agent, s.kind, s.text, s.event_id FROM num n JOIN spans s ON s.trace_id = n.trace_id AND s.ord BETWEEN n.o - 4 AND n.o + 4 WHERE NOT lost),
+offered AS (SELECT trace_id, f, string_agg(idx, ',' ORDER BY ord) AS ids FROM near GROUP BY ALL),
+asked AS (SELECT n.trace_id, string_agg(concat_ws('|', 'F' || f, metric_name, failure_type, quote, CASE WHEN lost THEN 'x' || o ELSE CAST(o AS VARCHAR) END, CASE WHEN lost THEN 'x' || o ELSE ids END), chr(10) ORDER BY f) AS findings FROM num n LEFT JOIN offered USING (trace_id, f) GROUP BY 1),
+texts AS (SELECT trace_id, string_agg(concat_ws('|', idx, agent, kind, CASE WHEN event_id % 4 > 0 THEN 'raw ' ELSE '' END || text, text), chr(10) ORDER BY ord) AS spans FROM (SELECT DISTINCT trace_id, ord, idx, agent, kind, text, event_id FROM near) GROUP BY 1)
+SELECT trace_id, findings, coalesce(t.spans, '') AS spans FROM asked LEFT JOIN texts t USING (trace_id)"""
+)
+
+
+def q_review_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a confirming model is shown of each trace: a finding whose quote's length is a multiple of five cites a span that is
+    not there; three of four spans have a whole text."""
+    spans = views.event_spans(spark, sf_dir)
+    marked = findings.numbered_for_review(findings.deduplicated(scan.scan(spans)))
+    lost = F.length(F.col("evidence")[0]["quote"]) % 5 == 0
+    marked = marked.withColumn("primary_idx", F.when(lost, F.concat(F.lit("x"), "primary_idx")).otherwise(F.col("primary_idx")))
+    whole = spans.where("event_id % 4 > 0").select("trace_id", "idx", F.concat(F.lit("raw "), "text").alias("text"))
+    shown = findings.review_input(marked, spans, whole)
+    asked = F.transform("findings", lambda f: F.concat_ws("|", f["finding_id"], f["metric_name"], f["failure_type"], f["quote"], f["current_idx"], F.array_join(f["candidate_idxs"], ",")))
+    texts = F.transform("spans", lambda x: F.concat_ws("|", x["idx"], x["role"], x["kind"], x["text"], x["stripped"]))
+    return shown.select("trace_id", F.array_join(asked, "\n").alias("findings"), F.array_join(texts, "\n").alias("spans"))
+
+
 def _issues(spark: SparkSession, sf_dir: str, modes=report.MODES, **more) -> DataFrame:
     judge = views.judge_findings(spark, sf_dir)
     return report.issues(judge, views.judge_verifications(judge), modes, **more)
@@ -356,6 +382,30 @@ COST_SQL = """SELECT CASE WHEN grouping(m) = 0 THEN 'metric' WHEN grouping(f) =
 FROM (SELECT *, l_returnflag AS m, l_linestatus AS f FROM lineitem) GROUP BY GROUPING SETS ((m), (f), ())"""
 
 
+def q_status_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as stored results, their lines as metrics m1, m2, …: two of three have task stats, every sixth empty ones, every fiftieth is cut off."""
+    k = F.col("l_orderkey")
+    place = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus")
+    line = table(spark, sf_dir, "lineitem").withColumn("at", F.row_number().over(place))
+    ok = F.when(F.col("l_returnflag") == "N", "ok").when(F.col("l_returnflag") == "R", "failed")
+    status = F.struct(ok.alias("status"), F.when(F.col("l_linestatus") == "F", F.concat(F.lit("reason "), (F.col("l_suppkey") % 5).cast("string"))).alias("reason"), F.col("l_quantity").cast("double").alias("duration_s"), F.col("l_partkey").alias("input_tokens"), F.when(F.col("l_suppkey") % 2 == 0, F.col("l_suppkey")).alias("output_tokens"))
+    stats = F.struct((F.col("n") + 0.5).alias("wall_s"), (k % 100).alias("input_tokens"), (k % 7).alias("total_tokens"), F.col("n").alias("metrics_ok"))
+    tasks = line.groupBy("l_orderkey").agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("m"), F.col("at").cast("string")), status))).alias("metric_status"), F.count(F.lit(1)).alias("n"))
+    body = F.to_json(F.struct(F.when(k % 6 == 0, F.from_json(F.lit("{}"), "struct<wall_s:double>")).alias("none"), F.when(k % 3 > 0, stats).alias("task_stats"), "metric_status"))
+    body = F.when(k % 6 == 0, F.replace(body, F.lit('"none"'), F.lit('"task_stats"'))).otherwise(body)
+    return accuracy.status_rollup(tasks.select(F.col("l_orderkey").cast("string").alias("file"), F.when(k % 50 == 0, F.left(body, F.length(body) - 1)).otherwise(body).alias("payload")))
+
+
+STATUS_SQL = """WITH line AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag, l_linestatus) AS place, CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END AS good, CASE WHEN l_linestatus = 'F' THEN 'reason ' || (l_suppkey % 5) ELSE 'error' END AS reason FROM lineitem WHERE l_orderkey % 50 > 0),
+task AS (SELECT l_orderkey AS k, count(*) AS n, l_orderkey % 50 > 0 AND l_orderkey % 3 > 0 AS given FROM lineitem GROUP BY 1),
+rows AS (
+  SELECT 'total' AS grain, NULL AS name, count(*) AS files, count(*) FILTER (given) AS files_with_stats, coalesce(sum(n) FILTER (given), 0) AS ok, 0 AS failed, coalesce(sum(n + 0.5) FILTER (given), 0) AS seconds, coalesce(sum(k % 100) FILTER (given), 0) AS input_tokens, 0 AS output_tokens, coalesce(sum(k % 7) FILTER (given), 0) AS total_tokens FROM task
+  UNION ALL SELECT 'metric', 'm' || place, 0, 0, sum(good), sum(1 - good), sum(l_quantity), sum(l_partkey), sum(CASE WHEN l_suppkey % 2 = 0 THEN l_suppkey ELSE 0 END), 0 FROM line GROUP BY 2
+  UNION ALL SELECT 'reason', reason, 0, 0, 0, count(*), 0, 0, 0, 0 FROM line WHERE good = 0 GROUP BY 2)
+SELECT grain, name, CAST(files AS BIGINT) AS files, CAST(files_with_stats AS BIGINT) AS files_with_stats, CAST(ok AS BIGINT) AS ok, CAST(failed AS BIGINT) AS failed, CAST(seconds AS DOUBLE) AS seconds, CAST(input_tokens AS BIGINT) AS input_tokens, CAST(output_tokens AS BIGINT) AS output_tokens,
+  CAST(total_tokens AS BIGINT) AS total_tokens, CASE WHEN grain = 'total' THEN round(CAST(seconds AS DOUBLE) / greatest(files_with_stats, 1), 2) END AS avg_seconds, CASE WHEN grain = 'total' THEN round(CAST(total_tokens AS DOUBLE) / greatest(files_with_stats, 1), 1) END AS avg_tokens FROM rows"""
+
+
 def q_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return metrics.score_histogram(e.select(F.col("event_type").alias("metric_name"), F.get(F.array(F.lit("ideal"), F.lit("fair"), F.lit("poor")), (F.col("event_id") % 3).cast("int")).alias("score")))
@@ -400,9 +450,9 @@ FORMATS_SQL = "SELECT ['who_and_when', 'pumpkin', 'trail', 'unknown'][conv_id %
 QUERIES = {
     "top_agents": q_top_agents, "spans_from_events": q_spans, "spans_from_conversations": q_chat_spans, "format_detection": q_formats, "scalar_normalisers": q_scalars,
     "rule_scan": q_rule_scan, "rule_scan_documents": q_document_scan, "overlap_suppress": q_overlap, "finding_dedup": q_dedup, "chain_collapse": q_collapse, "validator_result": q_result,
-    "candidate_window": q_window, "evidence_status": q_verify, "gate_modes": q_gates, "report_agent_rank": q_agent_rank, "report_idx_rank": q_idx_rank, "report_status": q_reports,
+    "candidate_window": q_window, "review_input": q_review_input, "evidence_status": q_verify, "gate_modes": q_gates, "report_agent_rank": q_agent_rank, "report_idx_rank": q_idx_rank, "report_status": q_reports,
     "lambda_ablation": q_lambda, "gold_match_cascade": q_matches, "gold_unmatched": q_unmatched, "verifier_ablation": q_accuracy, "topk_errors": q_worst, "confusion_f1": q_confusion,
-    "tool_efficiency": q_tool_efficiency, "trace_totals": q_trace_totals, "stored_predictions": q_predictions, "payload_reports": q_payload_reports, "usage_by_agent": q_agent_usage, "cost_rollup": q_cost, "score_histogram": q_histogram, "tool_call_resolve": q_tool_calls, "answer_status": q_answers,
+    "tool_efficiency": q_tool_efficiency, "trace_totals": q_trace_totals, "stored_predictions": q_predictions, "payload_reports": q_payload_reports, "usage_by_agent": q_agent_usage, "cost_rollup": q_cost, "status_rollup": q_status_rollup, "score_histogram": q_histogram, "tool_call_resolve": q_tool_calls, "answer_status": q_answers,
 }
 QUERIES |= payload_queries.QUERIES
 ORACLE_SQL = payload_queries.ORACLE_SQL | {
@@ -419,6 +469,7 @@ ORACLE_SQL = payload_queries.ORACLE_SQL | {
     "chain_collapse": f"{COLLAPSE_SQL} SELECT d.trace_id, d.metric_name, d.failure_type, d.agent, d.quote_key, occurrences, primary_idx FROM dedup d ANTI JOIN share s ON {GONE_SQL}",
     "validator_result": f"{DEDUP_SQL}, firsts AS (SELECT trace_id, metric_name, min((v, c, ord, r)) AS q FROM keyed GROUP BY ALL) SELECT t.trace_id, true AS agent_attribution_available, coalesce(n, 0) AS n_findings, coalesce(m, 0) AS n_metrics, first_metric FROM (SELECT DISTINCT trace_id FROM spans) t LEFT JOIN (SELECT trace_id, count(*) AS n, count(DISTINCT metric_name) AS m FROM dedup GROUP BY 1) USING (trace_id) LEFT JOIN (SELECT trace_id, arg_min(metric_name, q) AS first_metric FROM firsts GROUP BY 1) USING (trace_id)",
     "candidate_window": f"{DEDUP_SQL}, q AS (SELECT trace_id, metric_name, failure_type, agent, quote_key, min((v, c, ord, r)) AS q, arg_min(ord, (v, c, ord, r)) AS o FROM keyed GROUP BY trace_id, metric_name, failure_type, agent, quote_key), num AS (SELECT *, 'F' || (row_number() OVER (PARTITION BY trace_id ORDER BY mq, q) - 1) AS finding_id FROM (SELECT *, min(q) OVER (PARTITION BY trace_id, metric_name) AS mq FROM q)) SELECT n.trace_id, finding_id, s.idx, s.ord FROM num n JOIN spans s ON s.trace_id = n.trace_id AND s.ord BETWEEN n.o - 4 AND n.o + 4",
+    "review_input": REVIEW_SQL,
     "evidence_status": VERIFY_SQL,
     "gate_modes": f"WITH {JUDGE_SQL} SELECT trace_id, mode, finding_index, usable, score, len(idxs) AS n_idxs FROM scored",
     "report_agent_rank": f"{AGENT_RANK_SQL} SELECT * FROM ranked",
@@ -434,6 +485,7 @@ ORACLE_SQL = payload_queries.ORACLE_SQL | {
     "trace_totals": f"WITH {USAGE_SQL} SELECT trace_id, CAST(sum(latency) AS BIGINT) AS latency, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens FROM usage GROUP BY 1",
     "usage_by_agent": f"WITH {USAGE_SQL}, u AS (SELECT trace_id, agent, ord, max(latency) AS latency, max(input_tokens) AS input_tokens, max(output_tokens) AS output_tokens FROM usage GROUP BY ALL) SELECT trace_id, agent, arg_max(latency, ord) AS latency, arg_max(input_tokens, ord) AS input_tokens, arg_max(output_tokens, ord) AS output_tokens FROM u GROUP BY ALL",
     "cost_rollup": COST_SQL,
+    "status_rollup": STATUS_SQL,
     "score_histogram": HISTOGRAM_SQL,
     "tool_call_resolve": TOOL_CALLS_SQL,
     "answer_status": ANSWERS_SQL,

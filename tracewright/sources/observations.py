@@ -10,12 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import present, stripped
-from ..operators.observations import RUN, agent_runs, mapped_role, messages, pool_agents
+from ..operators.observations import RUN, agent_runs, dialogue, mapped_role, messages, pool_agents, resolved_calls, responses, run_errors, states, usage_of_agents
+from .storage import stored
 from .traces import field, items
 
 #: Attributes with an agent's messages, its instructions and its tools; the run that draws graphs.
 MESSAGES, INSTRUCTIONS, TOOLS = "pydantic_ai.all_messages", "gen_ai.system_instructions", "model_request_parameters"
 GRAPH_RUN = "GraphGenerator run"
+CALL_ID, CALL_RESULT = "gen_ai.tool.call.id", "tool_response"
 PART = "struct<type:string,content:string,id:string,name:string,arguments:string,result:string>"
 MESSAGE = f"array<struct<role:string,parts:array<{PART}>>>"
 
@@ -105,3 +107,84 @@ def chain_states(observations: DataFrame) -> DataFrame:
 def chain_tools(observations: DataFrame) -> DataFrame:
     """(trace_id, name): the distinct tools of a trace."""
     return observations.where("type = 'TOOL' AND name <> ''").select("trace_id", "name").distinct()
+
+
+CALL = "struct<id:string,name:string,parameters:string,result:string,status_message:string>"
+
+
+def evaluation_inputs(traces: DataFrame) -> DataFrame:
+    """traces(trace_id, payload) as one nested record each: (trace_id, user_query, environment, metadata, dialogue_history,
+    agent_responses, agent_states, agents_tools_info, agents_usage, agents_pool, agents_errors).
+
+    Agents are those of the task's pool. A trace without any has the errors of its runs and nothing else; others have no
+    errors. Lists are in order of agents, observations, messages and parts, and empty where there is nothing. A tool call
+    whose runner left a status message is invalid; one without a runner has a null tool_call. All tables meet as tagged
+    rows in one shuffle by trace; a record holds one trace.
+    """
+    obs = stored(observations_of(traces), "observations")
+    agents = stored(task_agents(obs), "agents")
+    parts = stored(agent_messages(obs, agents), "parts")
+    last = agents.groupBy("trace_id", "agent").agg(F.min("ord").alias("agent_ord"))
+    runs = agent_runs(obs.where("type = 'SPAN'")).join(last, ["trace_id", "agent"])
+    run = runs.groupBy("trace_id", "agent", "agent_ord").agg(F.max_by("obs_id", "ord").alias("parent_observation_id"))
+    offered = F.from_json(field(F.col("attributes")[TOOLS], "function_tools"), "array<struct<name:string>>")
+    first = obs.where("type = 'GENERATION'").join(run, ["trace_id", "parent_observation_id"]).groupBy("trace_id", "agent").agg(F.min_by(offered, "ord").alias("tools"))
+    tools = run.join(first, ["trace_id", "agent"], "left").select("trace_id", "agent", "agent_ord", F.coalesce(F.transform("tools", lambda t: t["name"]), F.array().cast("array<string>")).alias("available"))
+    usage = usage_of_agents(runs.drop("agent_ord"), obs).join(last, ["trace_id", "agent"])
+
+    keys = ["trace_id", "agent_ord", "obs_ord", "msg", "part"]
+    state = states(parts).withColumnRenamed("id", "call_id")
+    runners = obs.where("type = 'SPAN'").select("trace_id", "ord", "name", F.col("attributes")[CALL_ID].alias("call_id"), F.col("attributes")[CALL_RESULT].alias("output"), "status_message")
+    calls = resolved_calls(state.where("state_type = 'assistant.tool_call'").select(*keys, "agent", "name", "call_id", "arguments"), runners)
+    met = F.col("found")
+    call = F.when(met, F.struct(F.col("call_id").alias("id"), "name", F.col("arguments").alias("parameters"), "result", "status_message"))
+    called = calls.select(*keys, call.cast(CALL).alias("call"), F.col("status_message").isNotNull().alias("invalid"))
+    state = state.join(called, keys, "left").withColumn("state_type", F.when(F.coalesce("invalid", F.lit(False)), "assistant.invalid_tool_call").otherwise(F.col("state_type")))
+
+    columns = {"agent_ord": "long", "obs_ord": "long", "msg": "long", "part": "long", "agent": "string", "id": "string", "type": "string", "content": "string", "call": CALL, "listed": "array<string>", "input_tokens": "long", "output_tokens": "long", "latency": "double"}
+
+    def tagged(kind: int, rows: DataFrame, **given: str) -> DataFrame:
+        value = lambda c: given.get(c, c if c in rows.columns else None)
+        fields = [(F.col(value(c)) if value(c) else F.lit(None)).cast(t).alias(c) for c, t in columns.items()]
+        return rows.select("trace_id", F.struct(F.lit(kind).alias("kind"), *fields).alias("x"))
+
+    tables = [
+        tagged(0, dialogue(parts), type="role", id="agent"), tagged(1, responses(parts), id="response_id"), tagged(2, state, id="state_id", type="state_type"), tagged(3, tools, listed="available"),
+        tagged(4, usage), tagged(5, agents, agent_ord="ord", content="instructions"), tagged(6, run_errors(agent_runs(obs.where("type = 'SPAN'"))), obs_ord="ord", content="error_message"),
+    ]
+    rows = tables[0]
+    for more in tables[1:]:
+        rows = rows.unionByName(more)
+    # Calls do not order; what does stands before them, and is unique within a kind.
+    folded = rows.groupBy("trace_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    none = F.array().cast(folded.schema["x"].dataType)
+    of = lambda kind: F.filter(F.coalesce("x", none), lambda r: r["kind"] == kind)
+    pick = lambda kind, **names: F.transform(of(kind), lambda r: F.struct(*[r[c].alias(n) for n, c in names.items()]))
+    is_call = lambda r, agent: (r["agent"] == agent) & r["type"].isin("assistant.tool_call", "assistant.invalid_tool_call")
+    tool_info = F.transform(of(3), lambda t: F.struct(t["agent"].alias("agent_name"), F.transform(F.filter(of(2), lambda s: is_call(s, t["agent"])), lambda s: s["call"]).alias("tools_called"), t["listed"].alias("available_tools")))
+    errors = pick(6, agent_name="agent", error_message="content")
+    p = F.col("payload")
+    either = lambda *names: F.coalesce(*[present(field(p, n)) for n in names])
+    top = F.struct(either("projectId", "project_id").alias("project_id"), either("latency").alias("latency"), either("createdAt", "created_at").alias("created_at"))
+    return traces.join(folded, "trace_id", "left").select(
+        "trace_id", F.when(F.size(of(5)) > 0, field(field(p, "output"), "question")).alias("user_query"), either("environment").alias("environment"), top.alias("metadata"), pick(0, role="type", content="content").alias("dialogue_history"),
+        pick(1, response_id="id", content="content").alias("agent_responses"), pick(2, state_id="id", type="type", content="content", tool_call="call").alias("agent_states"), tool_info.alias("agents_tools_info"),
+        pick(4, agent_name="agent", input_tokens="input_tokens", output_tokens="output_tokens", latency="latency").alias("agents_usage"), pick(5, agent_name="agent", instructions="content").alias("agents_pool"),
+        F.when(F.size(of(5)) > 0, F.slice(errors, 1, 0)).otherwise(errors).alias("agents_errors"),
+    )
+
+
+def record_tables(records: DataFrame) -> dict[str, DataFrame]:
+    """The tables that operators.verify.citeable_items takes, of evaluation_inputs()."""
+    none = F.lit(None).cast("string")
+    rows = lambda c: records.select("trace_id", F.posexplode(c).alias("ord", "x"))
+    call = F.to_json("x.tool_call")
+    listed = F.transform("x.tools_called", lambda t: F.struct(t["id"].alias("id"), F.to_json(t).alias("body")))
+    return {
+        "messages": rows("dialogue_history").select("trace_id", "ord", "x.role", "x.content"),
+        "responses": rows("agent_responses").select("trace_id", "ord", "x.response_id", "x.content", none.alias("metadata")),
+        "states": rows("agent_states").select("trace_id", "ord", "x.state_id", "x.type", "x.content", none.alias("metadata"), F.col("x.tool_call.id").alias("call_id"), call.alias("call")),
+        "tools": rows("agents_tools_info").select("trace_id", "ord", "x.agent_name", F.to_json("x").alias("body"), listed.alias("calls")),
+        "errors": rows("agents_errors").select("trace_id", "ord", "x.agent_name", "x.error_message"),
+        "pool": rows("agents_pool").select("trace_id", "ord", "x.agent_name", "x.instructions"),
+    }

@@ -42,6 +42,19 @@ def unreadable(traces: DataFrame) -> DataFrame:
     return traces.where(F.try_parse_json("payload").isNull())
 
 
+def tally(traces: DataFrame) -> DataFrame:
+    """(source, traces, ok, skipped): how many of each source's traces can be read; unreadable() lists the others. No trace, no row."""
+    bad = F.try_parse_json("payload").isNull()
+    return traces.groupBy("source").agg(F.count(F.lit(1)).alias("traces"), F.count_if(~bad).alias("ok"), F.count_if(bad).alias("skipped"))
+
+
+def required(traces: DataFrame, path: str) -> DataFrame:
+    """traces, or an error where there is none: a run over a folder that holds no trace is a mistake in its name."""
+    if traces.isEmpty():
+        raise FileNotFoundError(f"no traces in {path}")
+    return traces
+
+
 def field(obj: Column, name: str) -> Column:
     """A field of a JSON object as text: strings unquoted, objects as JSON; null if absent or JSON null."""
     return F.from_json(obj, MAP)[name]
@@ -159,6 +172,12 @@ def tree_nodes(traces: DataFrame) -> DataFrame:
     return rows.select("trace_id", "ord", F.col("x.ids").alias("idx"), "x.nodes.*", F.col("x.lines").alias("ancestors"))
 
 
+def raw_texts(traces: DataFrame) -> DataFrame:
+    """(trace_id, idx, text) of span trees: all that a node holds but its children, inputs and outputs included, as JSON text; a
+    text node's text. What tree_spans() leaves out for the rules, a reader wants to see."""
+    return tree_nodes(traces).select("trace_id", "idx", F.coalesce("node", "own").alias("text"))
+
+
 def tree_spans(traces: DataFrame) -> DataFrame:
     """Span trees depth first: text and agent of each node from its own fields, without its children."""
     given = F.col("fields")
