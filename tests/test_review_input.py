@@ -48,3 +48,13 @@ def test_tally(spark, tmp_path):
     assert sorted(tuple(r) for r in traces.tally(read).collect()) == [("a", 2, 1, 1), ("b", 1, 1, 0)]
     with pytest.raises(FileNotFoundError):
         traces.required(traces.read_traces(spark, f"{tmp_path}/none"), "none")
+
+
+def test_gold_of_annotations(spark):
+    given = {
+        "high": {"scores": [{"overall": 4}]}, "low": {"scores": [{"overall": 3.5}]}, "no overall": {"scores": [{}]}, "all 0": {"a": 0, "b": 0.0, "c": False}, "all 1": {"a": 1, "b": True}, "mixed": {"a": 1, "b": 0}, "null": {"a": None},
+        "text": {"a": "x"}, "empty": {}, "none": None,
+    }
+    rows = [(k, json.dumps({"summarizer_score": {"scores": [{"score": "IDEAL" if "0" in k else "fair"}]}, "annotation": v})) for k, v in given.items()] + [("cut", "{")]
+    got = {r["file"]: (r["predicted"], r["gold"]) for r in accuracy.judged(spark.createDataFrame(rows, "file string, payload string")).collect()}
+    assert got == {"high": (0, 1), "low": (0, 0), "no overall": (0, 0), "all 0": (1, 1), "all 1": (0, 0), "mixed": (0, None), "null": (0, None), "text": (0, None), "empty": (0, None), "none": (0, None), "cut": (0, None)}

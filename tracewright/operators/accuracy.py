@@ -129,6 +129,23 @@ def binarised(score: Column, n_errors: Column, threshold: float = 4.0) -> Column
     return F.when(score >= threshold, 1).when(n_errors == 0, 1)
 
 
+def judged(payloads: DataFrame, threshold: float = 4.0) -> DataFrame:
+    """(file, predicted, gold) of payloads(file, payload) with a summarizer's score and an annotation, for confusion().
+
+    predicted is 1 where the first score is `ideal`, else 0. gold of an annotation with scores is 1 from the threshold on, else
+    0 (no overall score is 0); of one that lists errors by name it is 1 where all are 0, 0 where all are 1. Mixed, empty and
+    missing annotations, and payloads that are no JSON, have null gold.
+    """
+    said = F.lower(F.get_json_object("payload", "$.summarizer_score.scores[0].score"))
+    given = F.from_json(F.get_json_object("payload", "$.annotation"), "map<string,string>")
+    overall = F.coalesce(F.get_json_object("payload", "$.annotation.scores[0].overall").try_cast("double"), F.lit(0.0))
+    flags = F.transform(F.map_values(given), lambda v: F.when(v == "true", 1.0).when(v == "false", 0.0).otherwise(v.try_cast("double")))
+    every = lambda n: F.coalesce((F.size(flags) > 0) & F.forall(flags, lambda v: F.coalesce(v == n, F.lit(False))), F.lit(False))
+    scored = F.coalesce(F.map_contains_key(given, "scores"), F.lit(False))
+    gold = F.when(scored, (overall >= threshold).cast("int")).when(every(0.0), 1).when(every(1.0), 0)
+    return payloads.select("file", F.coalesce(said == "ideal", F.lit(False)).cast("int").alias("predicted"), gold.alias("gold"))
+
+
 def cost_rollup(usage: DataFrame) -> DataFrame:
     """usage(task_id, metric_name, tokens, seconds, failure_reason): totals, per metric and per reason in one pass
     (grouping sets); grain says which."""

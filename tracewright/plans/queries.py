@@ -406,6 +406,30 @@ SELECT grain, name, CAST(files AS BIGINT) AS files, CAST(files_with_stats AS BIG
   CAST(total_tokens AS BIGINT) AS total_tokens, CASE WHEN grain = 'total' THEN round(CAST(seconds AS DOUBLE) / greatest(files_with_stats, 1), 2) END AS avg_seconds, CASE WHEN grain = 'total' THEN round(CAST(total_tokens AS DOUBLE) / greatest(files_with_stats, 1), 1) END AS avg_tokens FROM rows"""
 
 
+def q_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as judged results: half have an overall score, others list errors that are all 0, all 1 or mixed; some have no
+    annotation. Both thresholds in use."""
+    k = F.col("o_orderkey")
+    score = F.get(F.array(*map(F.lit, ("Ideal", "fair", "poor", "ideal"))), (k % 4).cast("int"))
+    flag = lambda n: F.when(k % 10 < 3, 0).when(k % 10 == 3, 1).otherwise(F.lit(n))
+    scored = F.to_json(F.struct(F.array(F.struct(((k % 11) / 2).alias("overall"))).alias("scores")))
+    listed = F.to_json(F.struct(flag(0).alias("loops"), flag(1).alias("stalls")))
+    note = F.when(k % 7 == 0, "{}").when(k % 10 > 4, scored).otherwise(listed)
+    body = F.concat(F.lit('{"summarizer_score": {"scores": [{"score": "'), score, F.lit('"}]}'), F.when(k % 13 > 0, F.concat(F.lit(', "annotation": '), note)).otherwise(""), F.lit("}"))
+    payloads = table(spark, sf_dir, "orders").select(k.cast("string").alias("file"), body.alias("payload"))
+    out = None
+    for least in (4.0, 3.0):
+        part = accuracy.confusion(accuracy.judged(payloads, least).withColumn("threshold", F.lit(least)), "predicted", "gold", ["threshold"])
+        out = part if out is None else out.unionByName(part)
+    return out.select("threshold", "tp", "fp", "fn", "tn", *[F.round(c, 9).alias(c) for c in ("accuracy", "precision", "recall", "f1")])
+
+
+JUDGED_SQL = """WITH t AS (SELECT CAST(threshold AS DOUBLE) AS threshold, o_orderkey % 4 IN (0, 3) AS p, CASE WHEN o_orderkey % 13 = 0 OR o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 10 > 4 THEN (o_orderkey % 11) / 2 >= threshold
+    WHEN o_orderkey % 10 < 3 THEN true WHEN o_orderkey % 10 = 3 THEN false END AS g FROM orders, (VALUES (4.0), (3.0)) AS v(threshold)),
+n AS (SELECT threshold, count(*) FILTER (p AND g) AS tp, count(*) FILTER (p AND NOT g) AS fp, count(*) FILTER (NOT p AND g) AS fn, count(*) FILTER (NOT p AND NOT g) AS tn FROM t WHERE g IS NOT NULL GROUP BY 1)
+SELECT *, round((tp + tn) / (tp + fp + fn + tn), 9) AS accuracy, round(coalesce(tp / nullif(tp + fp, 0), 0), 9) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 9) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 9) AS f1 FROM n"""
+
+
 def q_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return metrics.score_histogram(e.select(F.col("event_type").alias("metric_name"), F.get(F.array(F.lit("ideal"), F.lit("fair"), F.lit("poor")), (F.col("event_id") % 3).cast("int")).alias("score")))
@@ -451,7 +475,7 @@ QUERIES = {
     "top_agents": q_top_agents, "spans_from_events": q_spans, "spans_from_conversations": q_chat_spans, "format_detection": q_formats, "scalar_normalisers": q_scalars,
     "rule_scan": q_rule_scan, "rule_scan_documents": q_document_scan, "overlap_suppress": q_overlap, "finding_dedup": q_dedup, "chain_collapse": q_collapse, "validator_result": q_result,
     "candidate_window": q_window, "review_input": q_review_input, "evidence_status": q_verify, "gate_modes": q_gates, "report_agent_rank": q_agent_rank, "report_idx_rank": q_idx_rank, "report_status": q_reports,
-    "lambda_ablation": q_lambda, "gold_match_cascade": q_matches, "gold_unmatched": q_unmatched, "verifier_ablation": q_accuracy, "topk_errors": q_worst, "confusion_f1": q_confusion,
+    "lambda_ablation": q_lambda, "gold_match_cascade": q_matches, "gold_unmatched": q_unmatched, "verifier_ablation": q_accuracy, "topk_errors": q_worst, "confusion_f1": q_confusion, "judged_confusion": q_judged,
     "tool_efficiency": q_tool_efficiency, "trace_totals": q_trace_totals, "stored_predictions": q_predictions, "payload_reports": q_payload_reports, "usage_by_agent": q_agent_usage, "cost_rollup": q_cost, "status_rollup": q_status_rollup, "score_histogram": q_histogram, "tool_call_resolve": q_tool_calls, "answer_status": q_answers,
 }
 QUERIES |= payload_queries.QUERIES
@@ -481,6 +505,7 @@ ORACLE_SQL = payload_queries.ORACLE_SQL | {
     "verifier_ablation": f"{MATCH_SQL} SELECT mode, count(*) AS examples, count(*) AS agent_examples, count(*) AS step_examples, CAST(sum(invalid_findings) AS BIGINT) AS invalid_findings, {ACC_SQL} FROM outcome GROUP BY mode",
     "topk_errors": f"{MATCH_SQL} SELECT file, CAST(NOT agent_top1 AS INT) + CAST(NOT agent_hit AS INT) + CAST(NOT step_top1_0 AS INT) + CAST(NOT step_hit AS INT) AS misses, invalid_findings FROM outcome WHERE mode = 'soft' ORDER BY misses DESC, invalid_findings DESC, file LIMIT 20",
     "confusion_f1": CONFUSION_SQL,
+    "judged_confusion": JUDGED_SQL,
     "tool_efficiency": f"WITH {USAGE_SQL} SELECT trace_id, v AS valid_calls, i AS invalid_calls, coalesce(v / nullif(v + 2 * i, 0), 0) AS efficiency FROM (SELECT trace_id, count(*) FILTER (NOT is_invalid) AS v, count(*) FILTER (is_invalid) AS i FROM usage GROUP BY 1)",
     "trace_totals": f"WITH {USAGE_SQL} SELECT trace_id, CAST(sum(latency) AS BIGINT) AS latency, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens FROM usage GROUP BY 1",
     "usage_by_agent": f"WITH {USAGE_SQL}, u AS (SELECT trace_id, agent, ord, max(latency) AS latency, max(input_tokens) AS input_tokens, max(output_tokens) AS output_tokens FROM usage GROUP BY ALL) SELECT trace_id, agent, arg_max(latency, ord) AS latency, arg_max(input_tokens, ord) AS input_tokens, arg_max(output_tokens, ord) AS output_tokens FROM u GROUP BY ALL",
