@@ -147,7 +147,7 @@ def q_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     runner = F.when((F.col("role") == "assistant") & (t % 3 > 0), shape("SPAN", call, "running tool: look", metadata=attributes(gen_ai__tool__call__id=call, tool_response=F.concat(F.lit("r"), _str(t))), status_message=F.when(t % 3 == 2, "broke")))
     k = F.col("conv_id")
     task = shape("SPAN", F.lit("t"), "gaia_task_1", output=F.when(k % 4 > 0, F.lit('{"pool": [{"name": " helper ", "instructions": "lead"}, {"name": "second"}, {"name": ""}]}')))
-    run = shape("SPAN", F.lit("r"), "helper run", metadata=F.to_json(F.struct(F.struct(F.to_json("m").alias(observed.MESSAGES)).alias("attributes"))), latency=F.lit("1500"), status_message=F.when(k % 8 == 0, F.concat(F.lit("lost "), _str(k))))
+    run = shape("SPAN", F.lit("r"), "helper run", metadata=F.to_json(F.struct(F.struct(F.to_json("m").alias(observed.MESSAGES)).alias("attributes"))), latency=F.lit("1504"), status_message=F.when(k % 8 == 0, F.concat(F.lit("lost "), _str(k))))
     spoken = shape("GENERATION", F.lit("g"), "chat", parent_observation_id=F.lit("r"), usage_details=F.concat(F.lit('{"input": '), _str(k), F.lit(', "output": 3}')), metadata=attributes(model_request_parameters=F.lit('{"function_tools": [{"name": "look"}, {"name": "ask"}]}')))
     tasks = c.groupBy("trace_id", "conv_id").agg(each(message).alias("m"), F.array_compact(each(runner)).alias("runners"))
     body = F.to_json(F.struct(F.lit("test").alias("environment"), F.struct(F.concat(F.lit("why "), _str(k)).alias("question")).alias("output"), F.concat(F.array(task, run, spoken), "runners").alias("observations")))

@@ -130,7 +130,7 @@ def evaluation_inputs(traces: DataFrame) -> DataFrame:
     offered = F.from_json(field(F.col("attributes")[TOOLS], "function_tools"), "array<struct<name:string>>")
     first = obs.where("type = 'GENERATION'").join(run, ["trace_id", "parent_observation_id"]).groupBy("trace_id", "agent").agg(F.min_by(offered, "ord").alias("tools"))
     tools = run.join(first, ["trace_id", "agent"], "left").select("trace_id", "agent", "agent_ord", F.coalesce(F.transform("tools", lambda t: t["name"]), F.array().cast("array<string>")).alias("available"))
-    usage = usage_of_agents(runs.drop("agent_ord"), obs).join(last, ["trace_id", "agent"])
+    usage = usage_of_agents(runs.drop("agent_ord"), obs).join(last, ["trace_id", "agent"]).withColumn("latency", F.round("latency", 2))
 
     keys = ["trace_id", "agent_ord", "obs_ord", "msg", "part"]
     state = states(parts).withColumnRenamed("id", "call_id")
