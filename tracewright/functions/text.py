@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ OBSERVATION_ROLES = "^(chat |running |generation)"
 CHAT_ROLES = ("system", "user", "assistant", "tool", "tool-call", "tool-response", "tool_call", "tool_response", "human")
 
 
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x, with x worked out once a row: inside a lambda Spark works an expression out anew each time that it is named."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def stripped(x: Column) -> Column:
     """Without white space of any kind at either end (Spark's trim drops blanks only)."""
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
@@ -145,24 +152,29 @@ def literal_json(x: Column) -> Column:
         return F.when(is_set, F.concat(F.lit("["), F.substring(joined, F.lit(2), F.length(joined) - 2), F.lit("]"))).otherwise(joined)
 
     # A token that is none of these is null, and so is the whole.
-    read = F.transform(tokens, plain)
-    whole = F.when(~F.exists(read, lambda t: t.isNull()), F.get(F.transform(F.array(read), closed), F.lit(0)))
-    return F.when(F.try_parse_json(whole).isNotNull(), whole)
+    whole = bound(F.transform(tokens, plain), lambda read: F.when(~F.exists(read, lambda t: t.isNull()), closed(read)))
+    return bound(whole, lambda w: F.when(F.try_parse_json(w).isNotNull(), w))
 
 
 def as_list(x: Column) -> Column:
     """A string as a list; null vocabulary dropped. In brackets: the items of a JSON or Python list, tuple or set, inner
     lists as JSON; in braces: a JSON object as one item, as it is written. Else, and where brackets hold no literal, split
     at the first present of `;`, `|` and `,`."""
-    t = clean_scalar(x)
-    text = F.when(t.rlike(r"(?s)^\[.*\]$|^\{.*\}$"), literal_json(t))
-    listed = F.when(F.startswith(text, F.lit("[")), F.from_json(text, "array<string>")).when(text.isNotNull(), F.array(t))
-    cut = F.when(F.contains(t, F.lit(";")), F.split(t, ";")).when(F.contains(t, F.lit("|")), F.split(t, r"\|")).when(F.contains(t, F.lit(",")), F.split(t, ",")).otherwise(F.array(t))
-    items = F.transform(F.coalesce(listed, cut), clean_scalar)
-    return F.when(t.isNull(), F.array().cast("array<string>")).otherwise(F.filter(items, lambda v: v.isNotNull()))
+
+    def items(t: Column) -> Column:
+        text = F.when(t.rlike(r"(?s)^\[.*\]$|^\{.*\}$"), literal_json(t))
+        listed = bound(text, lambda w: F.when(F.startswith(w, F.lit("[")), F.from_json(w, "array<string>")).when(w.isNotNull(), F.array(t)))
+        cut = F.when(F.contains(t, F.lit(";")), F.split(t, ";")).when(F.contains(t, F.lit("|")), F.split(t, r"\|")).when(F.contains(t, F.lit(",")), F.split(t, ",")).otherwise(F.array(t))
+        kept = F.filter(F.transform(F.coalesce(listed, cut), clean_scalar), lambda v: v.isNotNull())
+        return F.when(t.isNull(), F.array().cast("array<string>")).otherwise(kept)
+
+    return bound(clean_scalar(x), items)
 
 
 def distinct_ignoring_case(xs: Column) -> Column:
     """The first of each value without regard to case, in order."""
-    keys = F.transform(xs, F.lower)
-    return F.filter(F.transform(xs, lambda x, i: F.when(F.array_position(keys, F.lower(x)) == i + 1, x)), lambda x: x.isNotNull())
+
+    def first(ys: Column, keys: Column) -> Column:
+        return F.filter(F.transform(ys, lambda x, i: F.when(F.array_position(keys, F.get(keys, i)) == i + 1, x)), lambda x: x.isNotNull())
+
+    return bound(xs, lambda ys: bound(F.transform(ys, F.lower), lambda keys: first(ys, keys)))
