@@ -18,7 +18,8 @@ def deduplicated(raw: DataFrame) -> DataFrame:
     """One row for each (trace, metric, failure type, agent, quote key): occurrences, the first evidence rows by scan order.
 
     Null agents group together. Only MAX_EVIDENCE rows of a group reach the collecting aggregate: the window's limit is
-    applied before the shuffle too.
+    applied before the shuffle too. Counts and evidence meet in an aggregate of tagged rows, not in a join, which Spark would
+    send through the driver as a broadcast.
     """
     seq = F.struct("v", "c", "ord", "r")
     # Findings are few next to the spans they come from, and both aggregates below read them: scan once.
@@ -28,10 +29,8 @@ def deduplicated(raw: DataFrame) -> DataFrame:
     first = Window.partitionBy(*group).orderBy("seq")
     few = keyed.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= MAX_EVIDENCE)
     item = F.struct(F.col("_n").alias("n"), F.col("idx").alias("idx"), F.col("agent").alias("agent"), F.col("quote").alias("quote"), F.col("kind").alias("kind"))
-    shown = few.groupBy(*group).agg(F.array_sort(F.collect_list(item)).alias("evidence"))
-    same = [counts[c].eqNullSafe(shown[c]) for c in group]
-    joined = counts.join(shown, [*same][0] & same[1] & same[2] & same[3] & same[4])
-    out = joined.select(*[counts[c] for c in group], counts["occurrences"], counts["seq"], counts["severity"], counts["v"], "evidence")
+    tagged = counts.unionByName(few.select(*group, item.alias("item")), allowMissingColumns=True)
+    out = tagged.groupBy(*group).agg(*[F.max(c).alias(c) for c in ("occurrences", "seq", "severity", "v")], F.array_sort(F.collect_list("item")).alias("evidence"))
     return out.withColumn("primary_idx", F.col("evidence")[0]["idx"]).withColumn("primary_kind", F.col("evidence")[0]["kind"]).withColumn("explanation", explanation(F.col("failure_type")))
 
 
