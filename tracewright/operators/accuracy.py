@@ -175,22 +175,28 @@ def status_rollup(payloads: DataFrame) -> DataFrame:
     metric; `reason` counts failed metrics by reason, `error` where none is given. A status other than `ok` has failed; missing
     numbers are 0. A payload that is no JSON is a file without stats. Without payloads there is no row.
     """
-    top = F.from_json("payload", "map<string,string>")
-    stats, status = F.from_json(top["task_stats"], TASK_STATS), F.from_json(top["metric_status"], METRIC_STATUS)
-    some = F.coalesce(F.size(F.json_object_keys(top["task_stats"])) > 0, F.lit(False))
-    rows = payloads.select(stats.alias("t"), status.alias("m"), some.alias("some"))
+    # Each object is parsed in its own step, as Spark parses it once for each use in one.
+    top = payloads.select(F.from_json("payload", "map<string,string>").alias("top")).select(F.col("top")["task_stats"].alias("t"), F.col("top")["metric_status"].alias("m"))
+    some = F.coalesce(F.size(F.json_object_keys("t")) > 0, F.lit(False)).cast("int")
+    rows = top.select(F.from_json("t", TASK_STATS).alias("t"), F.from_json("m", METRIC_STATUS).alias("m"), some.alias("some"))
+    each = rows.select("t", "some", F.posexplode_outer("m").alias("pos", "metric", "x"))
+    first, ok = F.coalesce(F.col("pos") == 0, F.lit(True)), F.coalesce(F.col("x.status") == "ok", F.lit(False))
+    bad = F.col("metric").isNotNull() & ~ok
     long = lambda c: F.coalesce(c, F.lit(0.0)).cast("long")
-
-    def item(grain, name, x, ok, failed, seconds, files=0, with_stats=0):
-        tokens = [long(x[c] if x is not None else F.lit(0.0)).alias(c) for c in ("input_tokens", "output_tokens", "total_tokens")]
-        return F.struct(F.lit(grain).alias("grain"), name.cast("string").alias("name"), F.lit(files).alias("files"), (F.lit(with_stats) if isinstance(with_stats, int) else with_stats).alias("files_with_stats"), ok.alias("ok"), failed.alias("failed"), F.coalesce(seconds, F.lit(0.0)).alias("seconds"), *tokens)
-
-    t, yes = F.col("t"), lambda v: F.coalesce(v["status"] == "ok", F.lit(False)).cast("long")
-    total = item("total", F.lit(None), t, long(t["metrics_ok"]), long(t["metrics_failed"]), t["wall_s"], 1, F.col("some").cast("int"))
-    each = F.map_entries(F.coalesce("m", F.from_json(F.lit("{}"), METRIC_STATUS)))
-    metric = F.transform(each, lambda e: item("metric", e["key"], e["value"], yes(e["value"]), 1 - yes(e["value"]), e["value"]["duration_s"]))
-    bad = F.filter(each, lambda e: yes(e["value"]) == 0)
-    reason = F.transform(bad, lambda e: item("reason", F.coalesce(e["value"]["reason"], F.lit("error")), None, F.lit(0).cast("long"), F.lit(1).cast("long"), F.lit(0.0)))
-    out = rows.select(F.inline(F.concat(F.array(total), metric, reason))).groupBy("grain", "name").agg(*[F.sum(c).alias(c) for c in ("files", "files_with_stats", "ok", "failed", "seconds", "input_tokens", "output_tokens", "total_tokens")])
+    tokens = ("input_tokens", "output_tokens", "total_tokens")
+    of_task = {"files": F.lit(1), "files_with_stats": F.col("some"), "ok": long(F.col("t.metrics_ok")), "failed": long(F.col("t.metrics_failed")), "seconds": F.coalesce("t.wall_s", F.lit(0.0))} | {c: long(F.col(f"t.{c}")) for c in tokens}
+    of_metric = {"ok": ok.cast("long"), "failed": bad.cast("long"), "seconds": F.coalesce("x.duration_s", F.lit(0.0))} | {c: long(F.col(f"x.{c}")) for c in tokens}
+    sums = [F.sum(F.when(first, v).otherwise(0)).alias(f"t_{c}") for c, v in of_task.items()] + [F.sum(v).alias(f"m_{c}") for c, v in of_metric.items()]
+    # A row a metric and reason, which the few grains are made of.
+    found = each.groupBy("metric", F.when(bad, F.coalesce("x.reason", F.lit("error"))).alias("reason")).agg(*sums)
+
+    def item(grain: str, name: Column, have: dict[str, str]) -> Column:
+        return F.struct(F.lit(grain).alias("grain"), name.alias("name"), *[(F.col(have[c]) if c in have else F.lit(0).cast("double" if c == "seconds" else "long")).alias(c) for c in of_task])
+
+    items = F.array(
+        item("total", F.lit(None).cast("string"), {c: f"t_{c}" for c in of_task}), F.when(F.col("metric").isNotNull(), item("metric", F.col("metric"), {c: f"m_{c}" for c in of_metric})),
+        F.when(F.col("reason").isNotNull(), item("reason", F.col("reason"), {"failed": "m_failed"})),
+    )
+    out = found.select(F.inline(F.array_compact(items))).groupBy("grain", "name").agg(*[F.sum(c).alias(c) for c in of_task])
     mean = lambda c, digits: F.when(F.col("grain") == "total", F.round(F.col(c) / F.greatest("files_with_stats", F.lit(1)), digits))
     return out.withColumns({"avg_seconds": mean("seconds", 2), "avg_tokens": mean("total_tokens", 1)})
