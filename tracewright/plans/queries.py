@@ -276,9 +276,9 @@ SELECT '/runs/task_' || u || '.json' AS file, trace_id AS example_id, CASE WHEN
 def q_payload_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports built of stored payloads, with the answer's status from its verification, the stored report or the answers, written
     back into the payloads and read from there."""
-    made = payloads.with_reports(views.result_payloads(spark, sf_dir))
-    at = lambda path, kind: F.try_variant_get(F.parse_json("payload"), f"$.report.status.{path}", kind)
-    n = lambda k: F.size(F.try_variant_get(F.parse_json("payload"), f"$.report.diagnostic_report.{k}", "array<variant>"))
+    made = payloads.with_reports(views.result_payloads(spark, sf_dir)).select("file", F.parse_json("payload").alias("v"))
+    at = lambda path, kind: F.try_variant_get("v", f"$.report.status.{path}", kind)
+    n = lambda k: F.size(F.try_variant_get("v", f"$.report.diagnostic_report.{k}", "array<variant>"))
     return made.select(
         "file", at("diagnostic_status.verdict", "string").alias("verdict"), at("diagnostic_status.issues_count", "bigint").alias("issues"), n("issues").alias("n_issues"), n("review_targets").alias("n_targets"), at("diagnostic_status.primary_failure_type", "string").alias("primary_failure_type"),
         at("answer_status.verdict", "string").alias("answer_verdict"), at("answer_status.verification_mode", "string").alias("verification_mode"), at("review_status.review_required", "boolean").alias("review_required"),
