@@ -14,6 +14,11 @@ SHARED = 30
 CONFIRM_WINDOW, CONFIRM_TEXT = 4, 3500
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df as a side of a join that is shuffled at any size: a side that looks small goes whole through the driver."""
+    return df.hint("merge")
+
+
 def deduplicated(raw: DataFrame) -> DataFrame:
     """One row for each (trace, metric, failure type, agent, quote key): occurrences, the first evidence rows by scan order.
 
@@ -71,31 +76,31 @@ def above(pairs: DataFrame, spans: DataFrame) -> DataFrame:
     pairs, n_pairs = stored_count(pairs.select("trace_id", "low", "high").distinct(), "pairs")
     if not n_pairs:
         return pairs
-    nodes = spans.select("trace_id", "idx", "parent").join(pairs.select("trace_id").distinct(), "trace_id", "left_semi").dropDuplicates(["trace_id", "idx"])
+    nodes = spans.select("trace_id", "idx", "parent").join(shuffled(pairs.select("trace_id").distinct()), "trace_id", "left_semi").dropDuplicates(["trace_id", "idx"])
     nodes = stored(nodes, "nodes")
     most = nodes.groupBy("trace_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     real = nodes.select("trace_id", F.col("idx").alias("parent"), F.lit(1).alias("steps"))
     # top: the span so many steps up.
-    up = nodes.join(real, ["trace_id", "parent"], "left").select("trace_id", "idx", F.when(F.col("steps") == 1, F.col("parent")).otherwise(F.col("idx")).alias("top"), F.coalesce("steps", F.lit(0)).cast("long").alias("steps"))
+    up = nodes.join(shuffled(real), ["trace_id", "parent"], "left").select("trace_id", "idx", F.when(F.col("steps") == 1, F.col("parent")).otherwise(F.col("idx")).alias("top"), F.coalesce("steps", F.lit(0)).cast("long").alias("steps"))
     levels = [stored(up, "climb")]
     while (1 << (len(levels) - 1)) <= most:
         last = levels[-1]
         more = last.select("trace_id", F.col("idx").alias("top"), F.col("top").alias("_top"), F.col("steps").alias("_steps"))
-        step = last.join(more, ["trace_id", "top"]).select("trace_id", "idx", F.col("_top").alias("top"), (F.col("steps") + F.col("_steps")).alias("steps"), (F.col("_steps") > 0).alias("grew"))
+        step = last.join(shuffled(more), ["trace_id", "top"]).select("trace_id", "idx", F.col("_top").alias("top"), (F.col("steps") + F.col("_steps")).alias("steps"), (F.col("_steps") > 0).alias("grew"))
         step = stored(step, "climb")
         levels.append(step.drop("grew"))
         if step.where("grew").isEmpty():
             break
     depth = levels[-1].select("trace_id", "idx", "steps")
     low, high = depth.toDF("trace_id", "low", "_low"), depth.toDF("trace_id", "high", "_high")
-    sized = pairs.join(low, ["trace_id", "low"]).join(high, ["trace_id", "high"])
+    sized = pairs.join(shuffled(low), ["trace_id", "low"]).join(shuffled(high), ["trace_id", "high"])
     # More steps than a trace has spans: a cycle.
     endless = F.col("_low") > most
     climb = sized.where(~endless & (F.col("_low") > F.col("_high"))).select("trace_id", "low", "high", (F.col("_low") - F.col("_high")).alias("_d"), F.col("low").alias("_at"))
     for k, level in enumerate(levels):
         jump = level.where(F.col("steps") == 1 << k).select("trace_id", F.col("idx").alias("_at"), F.col("top").alias("_to"))
         moved = F.when(F.col("_d").bitwiseAND(F.lit(1 << k)) != 0, F.col("_to")).otherwise(F.col("_at"))
-        climb = climb.join(jump, ["trace_id", "_at"], "left").select("trace_id", "low", "high", "_d", moved.alias("_at"))
+        climb = climb.join(shuffled(jump), ["trace_id", "_at"], "left").select("trace_id", "low", "high", "_d", moved.alias("_at"))
     found = climb.where("_at = high").select("trace_id", "low", "high")
     if most and sized.where(endless).isEmpty():
         return found
@@ -113,8 +118,8 @@ def sharing_quotes(outer: DataFrame, inner: DataFrame, on: list[str], n: int = S
     """
     windows = lambda q: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(q) - (n - 1)), lambda i: F.xxhash64(F.substring(q, i, n))))
     long_o, long_i = outer.where(F.length("quote_key") >= n), inner.where(F.length("tool_quote") >= n)
-    met = long_o.withColumn("_w", F.explode(windows(F.col("quote_key")))).join(long_i.withColumn("_w", F.explode(windows(F.col("tool_quote")))), [*on, "_w"]).drop("_w").distinct()
-    short = outer.join(inner, on).where(F.least(F.length("quote_key"), F.length("tool_quote")) < n)
+    met = long_o.withColumn("_w", F.explode(windows(F.col("quote_key")))).join(shuffled(long_i.withColumn("_w", F.explode(windows(F.col("tool_quote"))))), [*on, "_w"]).drop("_w").distinct()
+    short = outer.join(shuffled(inner), on).where(F.least(F.length("quote_key"), F.length("tool_quote")) < n)
     out = met.unionByName(short.select(*met.columns)).where(shares_run(F.col("quote_key"), F.col("tool_quote"), n))
     return out.select(*on, "high", "quote_key", "low").distinct()
 
@@ -128,9 +133,9 @@ def collapsed(findings: DataFrame, spans: DataFrame) -> DataFrame:
     inner = findings.where(scope & is_tool).select(*on, F.col("primary_idx").alias("low"), F.col("quote_key").alias("tool_quote")).distinct()
     outer = findings.where(scope & ~is_tool).select(*on, F.col("primary_idx").alias("high"), "quote_key").distinct()
     shared = stored(sharing_quotes(outer, inner, on), "shared")
-    gone = shared.join(above(shared, spans), ["trace_id", "low", "high"], "left_semi").select(*on, F.col("high").alias("primary_idx"), "quote_key", F.lit(False).alias("_tool"), F.lit(True).alias("_scope")).distinct()
+    gone = shared.join(shuffled(above(shared, spans)), ["trace_id", "low", "high"], "left_semi").select(*on, F.col("high").alias("primary_idx"), "quote_key", F.lit(False).alias("_tool"), F.lit(True).alias("_scope")).distinct()
     marked = findings.withColumn("_tool", is_tool).withColumn("_scope", scope)
-    return marked.join(gone, [*on, "primary_idx", "quote_key", "_tool", "_scope"], "left_anti").select(*findings.columns)
+    return marked.join(shuffled(gone), [*on, "primary_idx", "quote_key", "_tool", "_scope"], "left_anti").select(*findings.columns)
 
 
 def validator_result(findings: DataFrame, spans: DataFrame) -> DataFrame:
